@@ -25,6 +25,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(docs, model).select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chunkwright.llm.decontam import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chunkwright.llm.warc import round_trip
 
@@ -76,6 +82,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_token_tables": op5_token_tables,
     "op6_quality_rules": op6_quality_rules,
