@@ -60,6 +60,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chunkwright.llm.suffix_dedup import removals
+
+    return removals(_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chunkwright.llm.order_minhash import near_duplicates
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_token_tables": op5_token_tables,
     "op6_quality_rules": op6_quality_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_order_minhash": op8_order_minhash,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
