@@ -185,7 +185,8 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     active = materialise(members.select("key", "cls").join(met, "cls"), "active")
     # One text for each class that shares a bucket: written once, read by every round.
     first = docs.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(met, "cls", "left_semi")
-    texts = docs.join(first, ["cls", "doc_id"], "left_semi").select("cls", "text")
+    same = (docs["cls"] == first["cls"]) & docs["doc_id"].eqNullSafe(first["doc_id"])
+    texts = docs.join(first, same, "left_semi").select("cls", "text")
     texts = materialise(texts, "texts").dropDuplicates(["cls"])
     found = spark.createDataFrame([], "cls binary, lead binary")
     while True:
@@ -205,17 +206,32 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
             return found.distinct()
 
 
+def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Documents with their text's hash cls, and (cls, least doc_id, n_copies, n_links, root) of each text."""
+    rows = docs.withColumn("cls", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    texts = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "cls")
+    found = links(texts, least)
+    both = found.select(F.col("cls").alias("node"), F.col("lead").alias("other")).unionByName(found.select(F.col("lead").alias("node"), F.col("cls").alias("other"))).distinct()
+    degree = both.groupBy(F.col("node").alias("cls")).agg(F.count(F.lit(1)).alias("n_links"))
+    roots = components(found, "cls", "lead").withColumnRenamed("node", "cls")
+    copies = texts.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
+    known = copies.join(roots, "cls", "left").join(degree, "cls", "left")
+    known = known.select("cls", "least", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("root", "cls").alias("root"))
+    return rows, materialise(known, "known")
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Per document: doc_id, class_id (least doc_id of its class), n_links (other texts its text is linked with), n_copies (rows with its very text)."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("cls", F.unhex(F.md5("text")))
-    found = links(rows, least)
-    both = found.select(F.col("cls").alias("node"), F.col("lead").alias("other")).unionByName(found.select(F.col("lead").alias("node"), F.col("cls").alias("other"))).distinct()
-    degree = both.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    roots = components(found, "cls", "lead")
-    texts = rows.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
-    known = texts.join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(degree.withColumnRenamed("node", "cls"), "cls", "left")
-    known = materialise(known.withColumn("root", F.coalesce("root", "cls")), "known")
+    rows, known = _classes(docs.select("doc_id", "text"), least)
     heads = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    labelled = known.join(heads, "root").select("cls", "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_copies")
-    return rows.select("doc_id", "cls").join(labelled, "cls").select("doc_id", "class_id", "n_links", "n_copies")
+    labelled = known.join(heads, "root").select("cls", "class_id", "n_links", "n_copies")
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "cls").join(labelled, "cls").select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """One document of each class: the least by doc_id, then by text hash; of rows that agree in both, one. All columns stay."""
+    rows, known = _classes(docs, least)
+    heads = known.groupBy("root").agg(F.min(F.struct(F.col("least").isNotNull(), "least", "cls")).alias("head"))
+    heads = heads.select(F.coalesce("head.least", F.lit(-(1 << 63))).alias("did"), F.col("head.cls").alias("cls"))
+    rows = rows.withColumn("did", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))))
+    return rows.join(heads, ["did", "cls"]).dropDuplicates(["did", "cls"]).select(*docs.columns)

@@ -12,7 +12,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _fold(modulus: int):
+def op1_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chunkwright.llm.html_wrappers import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def fold(modulus: int):
     """The remainder of crc32(doc_id as text)."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
@@ -21,8 +27,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chunkwright.llm.toxicity import assess, fit
 
     docs = _table(spark, sf_dir, "documents")
-    model = fit(docs, _table(spark, sf_dir, "labels"), _fold(3) != 1)
-    return assess(docs, model).select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+    model = fit(docs, _table(spark, sf_dir, "labels"), fold(3) != 1)
+    return assess(docs, model).select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +82,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chunkwright.llm.langid import fit, identify
 
     docs = _table(spark, sf_dir, "documents")
-    model = fit(docs, _fold(4) != 2)
-    return identify(docs, model).select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
+    model = fit(docs, fold(4) != 2)
+    return identify(docs, model).select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +93,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_wrappers": op1_html_wrappers,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_warc_round_trip": op4_warc_round_trip,

@@ -393,7 +393,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first")
                 out.append(t)
                 continue
             body = t.encode()
-            runs, kept, at = merged(g), [], 0
+            runs, kept, at = merged(list(g)), [], 0
             for a, b in runs:
                 while a < b and body[a] & 0xC0 == 0x80:
                     a += 1

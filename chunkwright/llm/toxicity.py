@@ -196,3 +196,15 @@ def assess(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     schema = "doc_id bigint, score double, predicted int, passages array<struct<begin:bigint,end:bigint,score:double>>"
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The documents that score below the threshold; all columns stay."""
+    place = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            x, _ = model.scan(part.column(place))
+            yield part.filter(pa.array(model.score(x) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
