@@ -1,10 +1,494 @@
-"""Queries over the engine's operators and the same results in DuckDB's SQL."""
+"""Queries over the engine's operators, and the same results in DuckDB's SQL.
+
+Stand-ins for media data: events are scored chunks (group user_id, time in seconds from 2024-01-01, token
+event_type, score value), embeddings are feature vectors (group label, time vec_id * 5), documents and
+conversations are transcripts, customers and events.props are manifest and captions. Events lie hours apart, so
+their chunks are 12 hours and bridges one hour.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chunkwright.functions import scalar as S
+from chunkwright.operators import attention, features, relevance, temporal, text
+from chunkwright.operators.evaluate import evaluate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+CHUNK, BRIDGE = 43200.0, 3600.0
+FLOOR = 20.0
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as scored chunks; one per user and second (the highest), so that time is a key."""
+    rows = table(spark, sf, "events").select("event_id", "user_id", S.seconds_since("ts").alias("t"), "event_type", F.col("value").alias("score"))
+    return rows.groupBy("user_id", "t").agg(F.max("score").alias("score"))
+
+
+_SECONDS = "date_diff('microsecond', timestamp '2024-01-01', ts)/1e6::double"
+_CHUNKS = f"c AS (SELECT user_id, {_SECONDS} AS t, max(value) AS score FROM events GROUP BY 1, 2)"
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", "label", (F.col("vec_id") * 5.0).alias("t"), "embedding", (F.col("vec_id") % 7 / 7.0).alias("score"))
+
+
+_VECTORS = "v AS (SELECT vec_id, label, (vec_id * 5)::double AS t, embedding::double[] AS e, (vec_id % 7) / 7::double AS score FROM embeddings)"
+_UNIT = f"{_VECTORS}, u AS (SELECT *, list_transform(e, lambda x: x / (sqrt(list_dot_product(e, e)) + 1e-10)) AS n FROM v)"
+
+
+# scans, projections, scalar functions
+
+
+@query("SELECT l_orderkey AS file, l_linenumber AS pos, CAST(l_quantity AS DOUBLE) AS score FROM lineitem")
+def scan_project_cast(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("pos"), S.as_double(F.col("l_quantity").cast("string")).alias("score"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
+def category_filter(spark, sf):
+    return table(spark, sf, "customer").where(F.col("c_mktsegment") == "BUILDING").select("c_custkey", "c_name")
+
+
+@query("SELECT page_id, regexp_replace(url, '#top$', '') AS base FROM pages")
+def suffix_strip(spark, sf):
+    return table(spark, sf, "pages").select("page_id", S.strip_suffix("url", "#top").alias("base"))
+
+
+@query("SELECT page_id, regexp_extract(url, '[^/]*$') AS name FROM pages")
+def basename(spark, sf):
+    return table(spark, sf, "pages").select("page_id", S.basename("url").alias("name"))
+
+
+@query("SELECT page_id, split_part(url, '.', 1) AS stem FROM pages")
+def stem(spark, sf):
+    return table(spark, sf, "pages").select("page_id", S.stem("url").alias("stem"))
+
+
+@query("SELECT page_id, replace(url, 'example', 'sample') AS url FROM pages")
+def literal_replace(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.replace("url", F.lit("example"), F.lit("sample")).alias("url"))
+
+
+@query("SELECT event_id, CASE WHEN value > 100 THEN 'SHARP' ELSE 'BLURRY' END AS status, CASE WHEN value > 0.8 THEN 'HIGH RELEVANCE' ELSE 'NORMAL' END AS relevance FROM events")
+def case_label(spark, sf):
+    return table(spark, sf, "events").select("event_id", S.band_label("value", 100.0, "SHARP", "BLURRY").alias("status"), S.band_label("value", 0.8, "HIGH RELEVANCE", "NORMAL").alias("relevance"))
+
+
+@query(f"SELECT event_id, event_type || '_' || CAST(floor({_SECONDS}) AS INT) || '.jpg' AS image_name FROM events")
+def frame_key(spark, sf):
+    return table(spark, sf, "events").select("event_id", S.frame_name("event_type", S.seconds_since("ts")).alias("image_name"))
+
+
+@query("SELECT event_id, CASE WHEN trim(props) <> '' THEN 1 ELSE 0 END AS has_caption FROM events")
+def caption_flag(spark, sf):
+    return table(spark, sf, "events").select("event_id", S.has_text("props").alias("has_caption"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_discount > 0 THEN l_tax / l_discount ELSE 0 END, 6) AS ratio FROM lineitem")
+def safe_ratio(spark, sf):
+    return rounded(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.safe_ratio("l_tax", "l_discount").alias("ratio")), "ratio")
+
+
+@query(f"WITH {_CHUNKS} SELECT user_id, round(greatest(0.35::double, least(0.55::double, 0.55::double - 0.0015::double * (max(t) - min(t)) / 43200)), 6) AS alpha FROM c GROUP BY 1")
+def clamp_alpha(spark, sf):
+    span = (F.max("t") - F.min("t")) / 43200
+    return rounded(chunks(spark, sf).groupBy("user_id").agg(S.clamp(F.lit(0.55) - F.lit(0.0015) * span, 0.35, 0.55).alias("alpha")), "alpha")
+
+
+@query("SELECT p_partkey, round_even(p_retailprice / 7, 3) AS price FROM part")
+def bankers_round(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.bround(F.col("p_retailprice") / 7, 3).alias("price"))
+
+
+@query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
+def json_extract(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+
+
+# relevance
+
+
+@query("SELECT user_id, event_type, count(*) AS tf FROM events GROUP BY 1, 2")
+def term_frequency(spark, sf):
+    return relevance.term_frequency(table(spark, sf, "events"), "user_id", "event_type")
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS df FROM events GROUP BY 1")
+def doc_frequency(spark, sf):
+    return relevance.document_frequency(table(spark, sf, "events"), "user_id", "event_type")
+
+
+@query("SELECT count(DISTINCT user_id) AS n_docs FROM events")
+def corpus_size(spark, sf):
+    return relevance.corpus_size(table(spark, sf, "events"), "user_id")
+
+
+_TFIDF = """tf AS (SELECT user_id, event_type, count(*) AS tf FROM events GROUP BY 1, 2), df AS (SELECT event_type, count(*) AS df FROM tf GROUP BY 1),
+ s AS (SELECT user_id, event_type, tf, df, tf * ln((SELECT count(DISTINCT user_id) FROM events)::double / (df + 1)) AS score FROM tf JOIN df USING (event_type))"""
+
+
+@query(f"WITH {_TFIDF} SELECT user_id, event_type, tf, df, round(score, 6) AS score FROM s")
+def tfidf_score(spark, sf):
+    return rounded(relevance.tfidf(table(spark, sf, "events"), "user_id", "event_type"), "score")
+
+
+@query(f"WITH {_TFIDF} SELECT event_id, s.user_id, s.event_type, round(score, 6) AS score FROM events JOIN s USING (user_id, event_type)")
+def tfidf_chunk_fanout(spark, sf):
+    return rounded(relevance.tfidf_rows(table(spark, sf, "events").select("event_id", "user_id", "event_type"), "user_id", "event_type").select("event_id", "user_id", "event_type", "score"), "score")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type) AS tf FROM events")
+def term_window_count(spark, sf):
+    return relevance.term_count_on_rows(table(spark, sf, "events"), "user_id", "event_type").select("event_id", "tf")
+
+
+# joins and sets
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = (o_custkey % 7) + 1")
+def composite_key_fusion(spark, sf):
+    right = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 7 + 1).cast("int").alias("l_linenumber"), "o_custkey", "o_orderstatus")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").join(right, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "o_custkey", "o_orderstatus")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def semi_selected(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", "c_name").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_existing(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", "c_name").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("SELECT user_id, event_type FROM events WHERE event_type IS NOT NULL UNION SELECT user_id, 'any' FROM events")
+def union_all_distinct(spark, sf):
+    rows = table(spark, sf, "events")
+    return rows.where("event_type is not null").select("user_id", "event_type").unionByName(rows.select("user_id", F.lit("any").alias("event_type"))).distinct()
+
+
+@query("SELECT n_nationkey, r_name FROM nation JOIN region ON n_name LIKE '%' || substr(r_name, 1, 2) || '%'")
+def pattern_join(spark, sf):
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    # a pattern that data supply has no key to join on; the right side is the region table, five rows at every scale
+    return nation.join(F.broadcast(region), F.col("n_name").contains(F.substring("r_name", 1, 2))).select("n_nationkey", "r_name")
+
+
+# time
+
+
+_SMOOTH = f"""{_CHUNKS}, s AS (SELECT *, 0.2::double * lag(score, 1, 0::double) OVER w + 0.6::double * score + 0.2::double * lead(score, 1, 0::double) OVER w AS smooth FROM c WINDOW w AS (PARTITION BY user_id ORDER BY t))"""
+_GATE = f"{_SMOOTH}, g AS (SELECT *, quantile_disc(smooth, 0.6) OVER (PARTITION BY user_id) AS edge FROM s), h AS (SELECT * FROM g WHERE smooth >= edge AND smooth > {FLOOR})"
+
+
+@query(f"WITH {_SMOOTH} SELECT user_id, t, round(smooth, 6) AS smooth FROM s")
+def smooth_lag_lead(spark, sf):
+    return rounded(temporal.smooth(chunks(spark, sf), "user_id", "t", "score").select("user_id", "t", "smooth"), "smooth")
+
+
+@query(f"WITH {_CHUNKS}, g AS (SELECT *, quantile_disc(score, 0.6) OVER (PARTITION BY user_id) AS edge FROM c) SELECT user_id, t, score, edge FROM g WHERE score >= edge AND score > {FLOOR}")
+def percentile_gate(spark, sf):
+    return temporal.percentile_gate(chunks(spark, sf), "user_id", "score", 0.6, FLOOR)
+
+
+@query(f"WITH {_GATE} SELECT user_id, t, round(smooth, 6) AS smooth FROM h")
+def temporal_highpass(spark, sf):
+    return rounded(temporal.highpass(chunks(spark, sf), "user_id", "t", "score", 0.6, FLOOR).select("user_id", "t", "smooth"), "smooth")
+
+
+@query(f"WITH {_CHUNKS} SELECT user_id, round(quantile_cont(score, 0.8), 6) AS edge FROM c GROUP BY 1")
+def exact_quantile(spark, sf):
+    return rounded(chunks(spark, sf).groupBy("user_id").agg(F.percentile("score", 0.8).alias("edge")), "edge")
+
+
+_K = "CAST(floor(greatest(5::double, 0.2::double * d) / 1) AS INT)"
+_TOP = f"""{_CHUNKS}, n AS (SELECT *, count(*) OVER (PARTITION BY user_id)::double AS d, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, t) AS rank FROM c), k AS (SELECT * FROM n WHERE rank <= {_K})"""
+
+
+def _budgeted(spark, sf):
+    counted = chunks(spark, sf).withColumn("d", F.count(F.lit(1)).over(Window.partitionBy("user_id")).cast("double"))
+    return temporal.top_k(counted, "user_id", "t", "score", temporal.budget_rows("d", 5.0, 0.2, 1.0))
+
+
+@query(f"WITH {_TOP} SELECT user_id, t, score, rank FROM k")
+def topk_budget(spark, sf):
+    return _budgeted(spark, sf).select("user_id", "t", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+_ISLANDS = f"""{_TOP}, f AS (SELECT *, CASE WHEN t - (lag(t) OVER w + {CHUNK}::double) <= {BRIDGE} THEN 0 ELSE 1 END AS fresh FROM k WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+ i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS island FROM f),
+ m AS (SELECT user_id, min(t) AS start_time, max(t) + {CHUNK}::double AS end_time, count(*) AS chunks FROM i GROUP BY user_id, island)"""
+
+
+def _segments(spark, sf):
+    return temporal.merge_islands(_budgeted(spark, sf), "user_id", "t", CHUNK, BRIDGE)
+
+
+@query(f"WITH {_ISLANDS} SELECT user_id, start_time, end_time, chunks FROM m")
+def island_merge(spark, sf):
+    return _segments(spark, sf)
+
+
+_CAPPED = f"""{_ISLANDS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY end_time - start_time DESC, start_time) AS p FROM m), capped AS (SELECT user_id, start_time, end_time FROM r WHERE p <= 3)"""
+
+
+def _capped(spark, sf):
+    return temporal.cap_segments(_segments(spark, sf).withColumn("total", F.lit(0.0)), "user_id", "total").select("user_id", "start_time", "end_time")
+
+
+@query(f"WITH {_CAPPED} SELECT user_id, start_time, end_time FROM capped")
+def segment_cap(spark, sf):
+    return _capped(spark, sf)
+
+
+@query(f"""WITH {_CAPPED} SELECT user_id, start_time, end_time, row_number() OVER (PARTITION BY user_id ORDER BY start_time) - 1 AS "index", greatest(0::double, start_time - 0.25::double) AS seek,
+ greatest(start_time + 1, end_time) - start_time + 0.5::double AS length FROM capped""")
+def cut_plan(spark, sf):
+    return temporal.cut_plan(_capped(spark, sf), "user_id").withColumn("index", F.col("index").cast("bigint"))
+
+
+@query(f"""WITH {_CAPPED} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_time) - 1 AS "index", 'file ''temp_chunks/' || user_id || '_' || (row_number() OVER (PARTITION BY user_id ORDER BY start_time) - 1) || '.mp4''' AS line FROM capped""")
+def concat_list(spark, sf):
+    cuts = temporal.cut_plan(_capped(spark, sf), "user_id").withColumn("index", F.col("index").cast("bigint"))
+    return temporal.concat_list(cuts.withColumn("key", F.col("user_id")), "user_id")
+
+
+@query("SELECT doc_id, n_chars, before FROM (SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents) WHERE before < 500000")
+def running_budget(spark, sf):
+    return temporal.running_budget(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 500_000).select("doc_id", "n_chars", "before")
+
+
+_RAMP = f"""{_CHUNKS}, l AS (SELECT *, least(900000::double, 0.1::double * (max(t) OVER g - min(t) OVER g)) AS lim FROM c WINDOW g AS (PARTITION BY user_id)),
+ x AS (SELECT *, (t < lim)::int AS intro, row_number() OVER (PARTITION BY user_id ORDER BY t) AS rn FROM l), y AS (SELECT *, sum(intro) OVER (PARTITION BY user_id) AS k FROM x)"""
+
+
+@query(f"WITH {_RAMP} SELECT user_id, t, round(CASE WHEN intro = 1 THEN CASE WHEN k = 1 THEN 0.7::double ELSE 0.7::double + 0.3::double * (rn - 1) / (k - 1) END ELSE 1 END, 6) AS ramp FROM y")
+def intro_ramp(spark, sf):
+    return rounded(temporal.intro_ramp(chunks(spark, sf), "user_id", "t", 900000.0).select("user_id", "t", "ramp"), "ramp")
+
+
+_PAIRS = f"""{_ISLANDS}, e AS (SELECT user_id, quantile_cont(score, 0.8) AS edge FROM c GROUP BY 1), imp AS (SELECT c.user_id, t AS start_time, t + {CHUNK}::double AS end_time FROM c JOIN e USING (user_id) WHERE score >= edge),
+ o AS (SELECT m.user_id, sum(greatest(0::double, least(m.end_time, imp.end_time) - greatest(m.start_time, imp.start_time))) AS overlap_sec FROM m JOIN imp USING (user_id) GROUP BY 1),
+ sa AS (SELECT user_id, sum(end_time - start_time) AS a_sec FROM m GROUP BY 1), sb AS (SELECT user_id, sum(end_time - start_time) AS b_sec FROM imp GROUP BY 1),
+ pr AS (SELECT user_id, a_sec, b_sec, overlap_sec, CASE WHEN a_sec > 0 THEN overlap_sec / a_sec ELSE 0 END AS p, CASE WHEN b_sec > 0 THEN overlap_sec / b_sec ELSE 0 END AS r FROM sa JOIN sb USING (user_id) JOIN o USING (user_id)),
+ f1 AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM pr)"""
+
+
+def _important(spark, sf):
+    scores = chunks(spark, sf)
+    edges = scores.groupBy("user_id").agg(F.percentile("score", 0.8).alias("edge"))
+    return scores.join(edges, "user_id").where("score >= edge").select("user_id", F.col("t").alias("start_time"), (F.col("t") + CHUNK).alias("end_time"))
+
+
+@query(f"WITH {_PAIRS} SELECT user_id, round(a_sec, 3) AS a_sec, round(b_sec, 3) AS b_sec, round(overlap_sec, 3) AS overlap_sec, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM f1")
+def interval_overlap_f1(spark, sf):
+    found = temporal.precision_recall(temporal.interval_overlap(_segments(spark, sf), _important(spark, sf), "user_id"))
+    return rounded(rounded(found, "precision", "recall", "f1"), "a_sec", "b_sec", "overlap_sec", digits=3)
+
+
+_RED_PART = "q AS (SELECT user_id, end_time, lead(start_time) OVER (PARTITION BY user_id ORDER BY start_time) AS nxt FROM m), red AS (SELECT user_id, coalesce(avg(CASE WHEN nxt IS NOT NULL THEN greatest(0::double, end_time - nxt) END), 0) AS redundancy FROM q GROUP BY 1)"
+_RED = f"{_ISLANDS}, {_RED_PART}"
+
+
+@query(f"WITH {_RED} SELECT user_id, round(redundancy, 6) AS redundancy FROM red")
+def redundancy(spark, sf):
+    return rounded(temporal.redundancy(_segments(spark, sf), "user_id"), "redundancy")
+
+
+@query(f"""WITH {_PAIRS}, {_RED_PART},
+ tot AS (SELECT user_id, 2592000::double AS total FROM c GROUP BY 1),
+ a AS (SELECT user_id, sum(end_time - start_time) AS s, count(*) AS n, max(end_time) - min(start_time) AS span FROM m GROUP BY 1),
+ w AS (SELECT user_id, sum(score) AS imp FROM c GROUP BY 1),
+ ch AS (SELECT c.user_id, sum(score) AS chosen, avg(score) AS mean FROM c SEMI JOIN m ON c.user_id = m.user_id AND c.t = m.start_time GROUP BY 1)
+ SELECT user_id, round_even(total, 2) AS original_duration_sec, round_even(s, 2) AS summary_duration_sec, round_even(s / total, 3) AS compression_ratio, n AS segments, round_even(span, 2) AS timeline_span_sec,
+ round_even(span / total, 3) AS timeline_coverage, round_even(n / s, 3) AS diversity_score, round_even(n / total, 4) AS highlight_density, round_even(coalesce(chosen, 0) / imp, 3) AS importance_coverage,
+ round_even(coalesce(mean, 0), 3) AS avg_importance, round_even(redundancy, 3) AS redundancy_score, round_even(p, 3) AS temporal_precision, round_even(r, 3) AS temporal_recall, round_even(f1, 3) AS temporal_f1
+ FROM a JOIN tot USING (user_id) JOIN w USING (user_id) LEFT JOIN ch USING (user_id) JOIN red USING (user_id) JOIN f1 USING (user_id)""")
+def eval_report(spark, sf):
+    segments = _segments(spark, sf).withColumn("duration", F.col("end_time") - F.col("start_time"))
+    scores = chunks(spark, sf).withColumnRenamed("t", "start_time")
+    durations = scores.select("user_id").distinct().withColumn("duration", F.lit(2592000.0))
+    return evaluate(segments, scores, durations, "user_id", chunk=CHUNK)
+
+
+# attention
+
+
+@query(f"WITH {_UNIT} SELECT a.label, a.t, round(sum(list_dot_product(a.n, b.n) * exp(-abs(a.t - b.t) / 45)), 6) AS local FROM u a JOIN u b ON a.label = b.label AND abs(a.t - b.t) <= 90 GROUP BY 1, 2")
+def band_attention(spark, sf):
+    return rounded(attention.band_attention(vectors(spark, sf), "label", "t", "embedding").select("label", "t", "local"), "local")
+
+
+_ANCHOR = f"""{_UNIT}, pl AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY label) AS cnt FROM u),
+ hd AS (SELECT *, greatest(1, floor(cnt * 0.15::double)::int) AS head FROM pl), bs AS (SELECT *, max(CASE WHEN i < head THEN score END) OVER (PARTITION BY label) AS best FROM hd),
+ pk AS (SELECT *, CASE WHEN best < 0.05 THEN head ELSE min(CASE WHEN i < head AND score = best THEN i END) OVER (PARTITION BY label) END AS peak FROM bs),
+ an AS (SELECT label, t, n, (i = peak)::int + (i = cnt // 2)::int + (i = cnt - 1)::int AS hits FROM pk)"""
+
+
+@query(f"WITH {_ANCHOR} SELECT label, t, hits FROM an WHERE hits > 0")
+def anchor_rows(spark, sf):
+    return attention.anchors(vectors(spark, sf), "label", "t", "score", "embedding").select("label", "t", "hits")
+
+
+_HYBRID = f"""{_ANCHOR}, gl AS (SELECT u.label, u.t, sum(hits * list_dot_product(u.n, an.n)) / 3 AS g FROM u JOIN an ON u.label = an.label AND hits > 0 GROUP BY 1, 2),
+ lo AS (SELECT a.label, a.t, sum(list_dot_product(a.n, b.n) * exp(-abs(a.t - b.t) / 45)) AS l FROM u a JOIN u b ON a.label = b.label AND abs(a.t - b.t) <= 90 GROUP BY 1, 2),
+ rw AS (SELECT u.label, u.t, u.score, l + g AS raw FROM u JOIN gl USING (label, t) JOIN lo USING (label, t)),
+ st AS (SELECT *, count(*) OVER w AS cnt, max(t) OVER w - min(t) OVER w AS span, min(score) OVER w AS s0, max(score) OVER w AS s1, min(raw) OVER w AS r0, max(raw) OVER w AS r1, row_number() OVER (PARTITION BY label ORDER BY t) AS rn FROM rw WINDOW w AS (PARTITION BY label)),
+ al AS (SELECT *, greatest(0.35::double, least(0.55::double, 0.55::double - 0.0015::double * span)) AS al, (t < least(30::double, 0.1::double * span))::int AS intro FROM st),
+ ki AS (SELECT *, sum(intro) OVER (PARTITION BY label) AS k FROM al),
+ hy AS (SELECT label, t, CASE WHEN cnt < 5 THEN score ELSE (al * CASE WHEN s1 <> s0 THEN 0.1::double + 0.9::double * (score - s0) / (s1 - s0) ELSE 0.5 END + (1 - al) * CASE WHEN r1 <> r0 THEN 0.1::double + 0.9::double * (raw - r0) / (r1 - r0) ELSE 0.5 END)
+   * CASE WHEN intro = 1 THEN CASE WHEN k = 1 THEN 0.7::double ELSE 0.7::double + 0.3::double * (rn - 1) / (k - 1) END ELSE 1 END END AS hybrid_score FROM ki)"""
+
+
+@query(f"WITH {_ANCHOR} SELECT u.label, u.t, round(sum(hits * list_dot_product(u.n, an.n)) / 3, 6) AS overall FROM u JOIN an ON u.label = an.label AND hits > 0 GROUP BY 1, 2")
+def global_anchor_attention(spark, sf):
+    rows = vectors(spark, sf)
+    found = attention.anchors(rows, "label", "t", "score", "embedding").select("label", "anchor", "hits")
+    met = rows.join(found, "label")  # three anchors at most per group
+    return rounded(met.groupBy("label", "t").agg((F.sum(F.col("hits") * S.dot(S.l2_normalise("embedding"), S.l2_normalise("anchor"))) / 3).alias("overall")), "overall")
+
+
+@query(f"WITH {_HYBRID} SELECT label, t, round(hybrid_score, 6) AS hybrid_score FROM hy")
+def hybrid_score(spark, sf):
+    return rounded(attention.hybrid_attention(vectors(spark, sf), "label", "t", "score", "embedding"), "hybrid_score")
+
+
+@query(f"WITH {_HYBRID} SELECT label, t, round(hybrid_score, 6) AS hybrid_score FROM hy")
+def grouped_map_attention(spark, sf):
+    def run(pdf):
+        return attention.attention_kernel(pdf, "t", "score", "embedding")[["label", "t", "hybrid_score"]]
+
+    return rounded(vectors(spark, sf).groupBy("label").applyInPandas(run, "label int, t double, hybrid_score double"), "hybrid_score")
+
+
+@query(f"WITH {_CHUNKS} SELECT user_id, t, round(CASE WHEN max(score) OVER w <> min(score) OVER w THEN 0.1::double + 0.9::double * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0.5 END, 6) AS norm FROM c WINDOW w AS (PARTITION BY user_id)")
+def minmax_norm(spark, sf):
+    w = Window.partitionBy("user_id")
+    return rounded(chunks(spark, sf).select("user_id", "t", S.min_max(F.col("score"), F.min("score").over(w), F.max("score").over(w)).alias("norm")), "norm")
+
+
+# text
+
+
+@query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1")
+def ordered_concat(spark, sf):
+    return text.ordered_concat(table(spark, sf, "conversations"), "conv_id", "turn", "text")
+
+
+@query("SELECT doc_id, unnest(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentence FROM documents")
+def sentence_split(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.explode(text.sentences("text")).alias("sentence"))
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) > 2 AND word NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ") GROUP BY 1")
+def word_tokens(spark, sf):
+    return table(spark, sf, "documents").select(F.explode(text.content_words(text.words_of("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@query(f"""WITH s AS (SELECT item_id, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 10) AS kept FROM benchmark),
+ e AS (SELECT item_id, kept, len(kept) AS n, unnest(range(len(kept))) AS i FROM s), f AS (SELECT item_id, n, i, kept[i + 1] AS sent, regexp_extract_all(lower(kept[i + 1]), '[a-z]+') AS words FROM e),
+ g AS (SELECT *, list_filter(words, lambda w: length(w) > 2 AND w NOT IN ({_STOP})) AS terms FROM f), h AS (SELECT item_id, i, unnest(terms) AS w FROM g), tf AS (SELECT item_id, i, w, count(*) AS c FROM h GROUP BY ALL),
+ df AS (SELECT item_id, w, count(*) AS df FROM tf GROUP BY ALL), sc AS (SELECT g.item_id, g.i, coalesce(sum(ln(1 + c::double) / greatest(len(words), 1) * ln((n + 1) / (1 + df)::double)), 0) * CASE WHEN g.i / g.n < 0.30 THEN 1.10::double ELSE 1 END AS score
+   FROM g LEFT JOIN tf ON g.item_id = tf.item_id AND g.i = tf.i LEFT JOIN df ON tf.item_id = df.item_id AND tf.w = df.w GROUP BY g.item_id, g.i, g.n),
+ v AS (SELECT g.*, score, (len(words) >= 8) AS long, sum((len(words) >= 8)::int) OVER (PARTITION BY g.item_id) AS nlong FROM g JOIN sc USING (item_id, i)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, i) AS p FROM v WHERE nlong < 2 OR long),
+ b AS (SELECT item_id, string_agg(sent, ' ' ORDER BY i) AS summary FROM r WHERE p <= 2 GROUP BY 1)
+ SELECT s.item_id, CASE WHEN len(kept) <= 2 THEN array_to_string(kept, ' ') ELSE summary END AS summary FROM s LEFT JOIN b USING (item_id)""")
+def extractive_summary(spark, sf):
+    return text.extractive_summary(table(spark, sf, "benchmark"), "item_id", "text", 2)
+
+
+@query("WITH a AS (SELECT text, unnest(range(1, length(text))) AS i FROM documents WHERE lang = 'en' AND length(text) = strlen(text)) SELECT ascii(substr(text, i, 1)) AS left, ascii(substr(text, i + 1, 1)) AS right, count(*) AS n FROM a GROUP BY 1, 2")
+def bpe_pair_counts(spark, sf):
+    rows = table(spark, sf, "documents").where((F.col("lang") == "en") & (F.length("text") == F.octet_length("text")))
+    return text.pair_counts(rows, "doc_id", "text")
+
+
+@query()
+def bpe_encode(spark, sf):
+    bench = table(spark, sf, "benchmark")
+    merges = text.train_bpe(bench, "item_id", "text", 300)
+    return bench.select("item_id", text.bpe_encode(merges)("text").alias("ids")).select("item_id", "ids", text.bpe_decode(merges)("ids").alias("text"))
+
+
+# arrays, vectors, features
+
+
+@query("SELECT vec_id, pos, list_transform(list_resize(embedding[pos * 10 + 1 : pos * 10 + 10], 10, 0::float), lambda x: x::double) AS chunk FROM (SELECT vec_id, embedding, unnest(range(7)) AS pos FROM embeddings)")
+def array_chunk_pad(spark, sf):
+    cut = features.chunk_arrays(table(spark, sf, "embeddings"), "vec_id", "embedding", 10)
+    return cut.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.transform("chunk", lambda x: x.cast("double")).alias("chunk"))
+
+
+@query("WITH v AS (SELECT vec_id, embedding::double[] AS e FROM embeddings) SELECT vec_id, list_transform(e, lambda x: round(x / (sqrt(list_dot_product(e, e)) + 1e-10), 6)) AS unit FROM v")
+def vector_l2norm(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(S.l2_normalise("embedding"), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query("SELECT vec_id, dim, embedding[dim + 1]::double AS value FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS dim FROM embeddings)")
+def vector_explode(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "value")).select("vec_id", F.col("dim").cast("bigint").alias("dim"), F.col("value").cast("double").alias("value"))
+
+
+@query("WITH l AS (SELECT vec_id, dim, embedding[dim + 1]::double AS x FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS dim FROM embeddings)) SELECT vec_id, dim, round(x / stddev_samp(x) OVER (PARTITION BY dim), 6) AS scaled FROM l")
+def standard_scale(spark, sf):
+    scaled = features.standard_scale(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding")
+    return scaled.select("vec_id", F.posexplode("scaled").alias("dim", "scaled")).select("vec_id", F.col("dim").cast("bigint").alias("dim"), F.round("scaled", 6).alias("scaled"))
+
+
+@query()
+def kmeans_tokens(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return features.cluster_tokens(rows, "embedding", ["vec_id"])[0].select("vec_id", "token_id")
+
+
+@query()
+def mfcc_chunks(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", F.flatten(F.array_repeat("embedding", 50)).alias("samples"))
+    return rows.select("vec_id", features.mfcc()("samples").alias("mfcc"))
+
+
+@query(f"WITH {_TOP} SELECT user_id, 'point' AS kind, t AS x0, t AS x1, score AS y FROM c UNION ALL SELECT user_id, 'span', start_time, end_time, NULL FROM (WITH {_ISLANDS} SELECT * FROM m)")
+def timeline_rows(spark, sf):
+    from chunkwright.sources.files import timeline
+
+    return timeline(chunks(spark, sf).withColumnRenamed("t", "start_time"), _segments(spark, sf), "user_id")
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def distinct_values(spark, sf):
+    return table(spark, sf, "events").select("event_type").distinct()
+
+
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20")
+def preview_top(spark, sf):
+    return table(spark, sf, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(20)
