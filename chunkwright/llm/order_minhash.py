@@ -207,9 +207,9 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """Documents with their text's hash cls, and (cls, least doc_id, n_copies, n_links, root) of each text."""
-    rows = docs.withColumn("cls", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    texts = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "cls")
+    """(row, doc_id, cls): whole rows with their text's hash; and (cls, least doc_id, n_copies, n_links, root) of each text."""
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(F.coalesce("row.text", F.lit("")))).alias("cls"))
+    texts = rows.select("doc_id", F.coalesce("row.text", F.lit("")).alias("text"), "cls")
     found = links(texts, least)
     both = found.select(F.col("cls").alias("node"), F.col("lead").alias("other")).unionByName(found.select(F.col("lead").alias("node"), F.col("cls").alias("other"))).distinct()
     degree = both.groupBy(F.col("node").alias("cls")).agg(F.count(F.lit(1)).alias("n_links"))
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rows, known = _classes(docs.select("doc_id", "text"), least)
     heads = known.groupBy("root").agg(F.min("least").alias("class_id"))
     labelled = known.join(heads, "root").select("cls", "class_id", "n_links", "n_copies")
-    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "cls").join(labelled, "cls").select("doc_id", "class_id", "n_links", "n_copies")
+    return rows.select("doc_id", "cls").join(labelled, "cls").select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -233,5 +233,5 @@ def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rows, known = _classes(docs, least)
     heads = known.groupBy("root").agg(F.min(F.struct(F.col("least").isNotNull(), "least", "cls")).alias("head"))
     heads = heads.select(F.coalesce("head.least", F.lit(-(1 << 63))).alias("did"), F.col("head.cls").alias("cls"))
-    rows = rows.withColumn("did", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))))
-    return rows.join(heads, ["did", "cls"]).dropDuplicates(["did", "cls"]).select(*docs.columns)
+    rows = rows.withColumn("did", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    return rows.join(heads, ["did", "cls"]).dropDuplicates(["did", "cls"]).select("row.*")

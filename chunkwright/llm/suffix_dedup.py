@@ -338,9 +338,10 @@ def _narrow(length: int, width: int):
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """Documents with did (doc_id, null lowest) and key (hash of the text), which join spans to rows."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("did", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("key", F.xxhash64(text)).withColumn("text", text)
+    """(row, did, key, text): whole rows with did (doc_id, null lowest) and key (hash of the text), which join spans to them."""
+    rows = docs.select(F.struct("*").alias("row"))
+    text = F.coalesce("row.text", F.lit(""))
+    return rows.select("row", F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def merged(found: list[dict] | None) -> list[tuple[int, int]]:
@@ -357,7 +358,7 @@ def merged(found: list[dict] | None) -> list[tuple[int, int]]:
 def removals(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed byte ranges."""
     rows = identified(docs.select("doc_id", "text"))
-    found = spans(rows, length, keep)
+    found = spans(rows.select("did", "key", "text"), length, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
@@ -374,8 +375,8 @@ def removals(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), kind), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<begin:int,end:int>>"
-    joined = rows.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(found, ["did", "key"], "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, schema)
+    joined = rows.join(found, ["did", "key"], "left")
+    return joined.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), "text", "spans").mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
@@ -406,5 +407,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first")
         return pd.Series(out)
 
     joined = rows.join(found, ["did", "key"], "left")
-    texts = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))
-    return joined.withColumn("text", texts).select(*docs.columns)
+    # a row without spans keeps its very text (null too)
+    texts = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(cut("text", "spans"))
+    return joined.select(F.col("row").withField("text", texts).alias("row")).select("row.*")
