@@ -21,7 +21,7 @@ def evaluate(segments: DataFrame, scores: DataFrame, durations: DataFrame, group
     important = important.select(group, F.col(t).alias("start_time"), (F.col(t) + chunk).alias("end_time"))
     agreed = precision_recall(interval_overlap(segments.select(group, "start_time", "end_time"), important, group))
     joined = known.join(overall, group, "left").join(chosen, group, "left").join(redundancy(segments, group), group).join(agreed.select(group, "precision", "recall", "f1"), group)
-    r = lambda x, d: F.bround(x, d)
+    r = lambda x, d: F.bround(F.round(x, 9), d)  # noqa: E731  ties are decided on what is left of summation noise
     return joined.select(
         group,
         r(F.col("_total"), 2).alias("original_duration_sec"),

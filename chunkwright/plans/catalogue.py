@@ -326,9 +326,9 @@ def redundancy(spark, sf):
  a AS (SELECT user_id, sum(end_time - start_time) AS s, count(*) AS n, max(end_time) - min(start_time) AS span FROM m GROUP BY 1),
  w AS (SELECT user_id, sum(score) AS imp FROM c GROUP BY 1),
  ch AS (SELECT c.user_id, sum(score) AS chosen, avg(score) AS mean FROM c SEMI JOIN m ON c.user_id = m.user_id AND c.t = m.start_time GROUP BY 1)
- SELECT user_id, round_even(total, 2) AS original_duration_sec, round_even(s, 2) AS summary_duration_sec, round_even(s / total, 3) AS compression_ratio, n AS segments, round_even(span, 2) AS timeline_span_sec,
- round_even(span / total, 3) AS timeline_coverage, round_even(n / s, 3) AS diversity_score, round_even(n / total, 4) AS highlight_density, round_even(coalesce(chosen, 0) / imp, 3) AS importance_coverage,
- round_even(coalesce(mean, 0), 3) AS avg_importance, round_even(redundancy, 3) AS redundancy_score, round_even(p, 3) AS temporal_precision, round_even(r, 3) AS temporal_recall, round_even(f1, 3) AS temporal_f1
+ SELECT user_id, round_even(round(total, 9), 2) AS original_duration_sec, round_even(round(s, 9), 2) AS summary_duration_sec, round_even(round(s / total, 9), 3) AS compression_ratio, n AS segments, round_even(round(span, 9), 2) AS timeline_span_sec,
+ round_even(round(span / total, 9), 3) AS timeline_coverage, round_even(round(n / s, 9), 3) AS diversity_score, round_even(round(n / total, 9), 4) AS highlight_density, round_even(round(coalesce(chosen, 0) / imp, 9), 3) AS importance_coverage,
+ round_even(round(coalesce(mean, 0), 9), 3) AS avg_importance, round_even(round(redundancy, 9), 3) AS redundancy_score, round_even(round(p, 9), 3) AS temporal_precision, round_even(round(r, 9), 3) AS temporal_recall, round_even(round(f1, 9), 3) AS temporal_f1
  FROM a JOIN tot USING (user_id) JOIN w USING (user_id) LEFT JOIN ch USING (user_id) JOIN red USING (user_id) JOIN f1 USING (user_id)""")
 def eval_report(spark, sf):
     segments = _segments(spark, sf).withColumn("duration", F.col("end_time") - F.col("start_time"))
