@@ -98,7 +98,7 @@ def test_smoothing_edges(spark):
 
 def test_bridge_and_cap(spark):
     rows = chunks(spark, [("a", 0.0, 1.0), ("a", 6.0, 1.0), ("a", 12.01, 1.0)])
-    assert sorted((r["start_time"], r["end_time"]) for r in temporal.merge_islands(rows, "g", "t").collect()) == [(0.0, 11.0), (12.01, 17.01)]
+    assert sorted((r["start_time"], round(r["end_time"], 9)) for r in temporal.merge_islands(rows, "g", "t").collect()) == [(0.0, 11.0), (12.01, 17.01)]
     segments = spark.createDataFrame([("a", 10.0 * i, 10.0 * i + 5) for i in range(5)], "g string, start_time double, end_time double").withColumn("d", F.lit(0.0))
     assert sorted(r["start_time"] for r in temporal.cap_segments(segments, "g", "d").collect()) == [0.0, 10.0, 20.0]
     cut = temporal.cut_plan(spark.createDataFrame([("a", 0.1, 5.1)], "g string, start_time double, end_time double"), "g").first()
