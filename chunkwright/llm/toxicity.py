@@ -109,7 +109,7 @@ def _decay(values: np.ndarray, shares: np.ndarray) -> float:
         return 1.0
     low, high = 1e-6, 1.0
     f = lambda t: float((shares * np.exp(np.minimum(t * values, 700))).sum()) - 1
-    while f(high) < 0:
+    while f(high) < 0 and high < 1e3:
         high *= 2
     for _ in range(80):
         mid = (low + high) / 2
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, bound: int = SAMPLE)
     weights = np.array([r["odds"] for r in kept], float)
     order = np.argsort(hashes)
     model = Model(hashes[order], weights[order])
-    shares = np.array([r["clean"] for r in kept], float)[order] / n0
+    shares = (np.array([r["clean"] for r in kept], float)[order] + 0.5) / (n0 + 0.5 * len(kept))  # none is impossible
     values = np.append(model.weights - DRIFT, -DRIFT)
     shares = np.append(shares, max(0.0, 1 - shares.sum()))
     model.decay = _decay(values, shares)
