@@ -12,7 +12,8 @@ A key is 12 bytes, big-endian, so that byte order is document order: identifier
 (8 bytes), then a running number for rows that share an identifier (4 bytes). A value is the row's ids.
 
 Rows: a null text has only the end id. Rows with a null identifier come first, under the lowest key with flag 0
-in the running number's top bit. Repeated identifiers keep all their rows, ordered by text.
+in the running number's top bit. Repeated identifiers keep all their rows,
+ordered by a hash of the text, then the text; many rows of one identifier may fill several shards.
 """
 
 from __future__ import annotations
@@ -175,12 +176,13 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     and writes one file. A task that is run again writes another file, and only the file named in the
     surviving attempt's row is used. The list holds one entry per shard, whatever the number of documents.
     """
-    columns = docs.select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         coder, table, sink = None, None, None
-        name, last, turn, lowest = "", None, -1, None
-        for part in slices(batches, "text"):
+        name, last, turn = "", None, -1
+        for part in slices(batches, "text", 8 << 20):
             if table is None:
                 coder = WordEncoder(tokenizer)
                 store, path = filesystem(folder)
@@ -188,7 +190,6 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str | None = None, end
                 name = f"shard-{uuid.uuid4().hex}.sst"
                 sink = store.open_output_stream(f"{path}/{name}")
                 table = TableWriter(sink, 2 if max(coder.whole.get_vocab_size(True), end_id) <= 1 << 16 else 4)
-                lowest = part.column(0)[0].as_py()
             ids, offsets = coder.encode(part.column(1))
             ids = ids.astype("<u2" if table.width == 2 else "<u4")
             end = np.array([end_id], ids.dtype).tobytes()
@@ -199,11 +200,13 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         if table is not None:
             table.close()
             sink.close()
-            yield pa.RecordBatch.from_pydict({"file": [name], "first": pa.array([lowest], pa.int64()), "docs": [table.docs], "ids": [table.ids]})
+            yield pa.RecordBatch.from_pydict({"file": [name], "place": [TaskContext.get().partitionId()], "docs": [table.docs], "ids": [table.ids]})
 
-    dealt = columns.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = dealt.mapInArrow(write, "file string, first bigint, docs bigint, ids bigint").collect()
-    shards.sort(key=lambda s: (s["first"] is not None, s["first"] or 0))
+    # Ranges of (identifier, hash): partitions are in key order, and one identifier's rows may spread over several.
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    dealt = keyed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
+    shards = dealt.mapInArrow(write, "file string, place bigint, docs bigint, ids bigint").collect()
+    shards.sort(key=lambda s: s["place"])
     return [(s["file"], s["docs"], s["ids"]) for s in shards]
 
 
