@@ -4,7 +4,7 @@ Equal texts are one class from the start (a 128-bit hash). A sketch takes the `E
 labelled with its occurrence number, under its own random order and keeps them in text order; texts whose
 sketches are equal share a bucket. In a bucket all members are compared with one leader, the member that meets
 most others over all sketches; members that fail come together again under another leader until none are left,
-small remainders at once in one task. Buckets are never paired out, a leader's members are spread over salts,
+small remainders at once in one task. From a large remainder those leave whose class already holds the leader. Buckets are never paired out, a leader's members are spread over salts,
 and texts are compared with a leader one at a time.
 
 Verification aligns the labelled shingles of two texts inside a band around the diagonal: with m aligned, the
@@ -27,9 +27,9 @@ from chunkwright.llm.common import buffer, materialise, mix, slices, span_hashes
 from chunkwright.llm.components import components
 
 WORDS, LEAST = 5, 0.8
-SKETCHES, ELL = 16, 4
+SKETCHES, ELL = 24, 6
 #: Members of a leader that one task compares; members that are left in a bucket and then compared in one task.
-SALT, REST = 500, 200
+SALT, REST = 500, 400
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -196,9 +196,17 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
         judged = materialise(_verify(pairs, texts, least), "judged")
         found = found.unionByName(judged.where(F.col("sim") >= least).select("cls", "lead"))
         failed = judged.where(F.col("sim") < least).select("cls", "lead").distinct()
-        rest = led.join(failed, ["cls", "lead"], "left_semi").select("key", "cls", "met")
+        rest = materialise(led.join(failed, ["cls", "lead"], "left_semi"), "rest")
+        large = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REST).select("key")
+        if not large.isEmpty():
+            # In a large remainder those whose component already holds the leader have their class; they leave it.
+            roots = components(found, "cls", "lead")
+            mine = roots.select(F.col("node").alias("cls"), F.col("root").alias("own"))
+            its = roots.select(F.col("node").alias("lead"), F.col("root").alias("other"))
+            seen = rest.join(large, "key", "left_semi").join(mine, "cls").join(its, "lead").where("own = other").select("key", "cls")
+            rest = rest.join(seen, ["key", "cls"], "left_anti")
         several = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rest = materialise(rest.join(several, "key"), "rest")
+        rest = materialise(rest.select("key", "cls", "met").join(several, "key"), "rest")
         small = rest.where(F.col("n") <= REST)
         found = materialise(found.unionByName(_finish(small.select("key", "cls"), texts, least)), "found")
         active = rest.where(F.col("n") > REST).drop("n")
