@@ -209,7 +209,8 @@ def _solve(block: list[tuple], length: int, first: bool) -> Iterator[tuple[int,
 def _states(occ: DataFrame) -> DataFrame:
     """Regions of groups with several regions; `mixed` groups hold different ones."""
     groups = occ.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.min("reg").alias("a"), F.max("reg").alias("b")).where("n > 1")
-    return occ.join(groups.select("gid", (F.col("a") != F.col("b")).alias("mixed")), "gid")
+    # The groups stand in a table, so that both sides of the join are plain exchanges, which Spark splits where a group is large.
+    return occ.join(materialise(groups.select("gid", (F.col("a") != F.col("b")).alias("mixed")), "groups"), "gid")
 
 
 def _whole(regions: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
