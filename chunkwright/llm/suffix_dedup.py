@@ -167,7 +167,6 @@ def has_previous(order: np.ndarray, ranks: np.ndarray) -> np.ndarray:
         return np.zeros(0, bool)
     new = np.ones(len(ranks), bool)
     new[1:] = ranks[1:] != ranks[:-1]
-    starts = np.flatnonzero(new)
     run = np.cumsum(new) - 1
     wide = int(order.max()) + 1
     # a running minimum over each run: later runs get lower offsets so that it restarts
@@ -177,7 +176,6 @@ def has_previous(order: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     back = np.minimum.accumulate((order + run * wide)[::-1])[::-1] - run * wide
     smaller_after = np.zeros(len(order), bool)
     smaller_after[:-1] = (back[1:] < order[:-1]) & ~new[1:]
-    del starts
     return smaller_before | smaller_after
 
 

@@ -241,18 +241,19 @@ def test_pages(spark):
     rows = [(k, f"http://a.example/{k}", PAGE.format(tag="article", close="article", k=k)) for k in range(4)]
     rows += [(10 + k, f"http://b.example/{k}", PAGE.format(tag='div class="x1"', close="div", k=10 + k)) for k in range(4)]
     rows += [(90, None, None), (91, "http://c", ""), (92, "http://c", "just text"), (93, "http://c", "<p>a<p>b & c &nosuch; < d<li>e"), (94, "http://a.example/0", PAGE.format(tag="article", close="article", k=94)), (94, "http://a.example/0", PAGE.format(tag="article", close="article", k=94))]
+    rows.append((95, "http://d/", '<div class="page has-sidebar"><article><p>kept</p></article><div class="sidebar">x</div></div>'))
+    rows.append((96, "http://d/1", '<article><p>own</p></article><div id="comments"><article><p>reader</p></article></div>'))
     got = html_wrappers.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()
     text = {r["page_id"]: r["text"] for r in got}
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
     for k in [*range(4), *range(10, 14), 94]:
         assert text[k] == want(k), k
+    assert text[95] == "kept" and text[96] == "own"
     assert text[90] == text[91] == "" and text[92] == "just text" and text[93] == "a\n\nb & c &nosuch; < d\n\ne"
 
 
 def test_wrapper_shapes():
-    node = lambda name, *kids: [name, False, False, False, 1, 0, 0, None, list(kids)]
     a, b = html_wrappers.tree("<div><h1>x</h1><p>1</p><p>2</p></div>"), html_wrappers.tree("<div><h1>y</h1><hr><p>3</p></div>")
     both = html_wrappers._union(a, b)
     kids = both[html_wrappers.KIDS][0][html_wrappers.KIDS]
     assert [(k[0], k[html_wrappers.OPTIONAL], k[html_wrappers.REPEATED]) for k in kids] == [("h1", False, False), ("hr", True, False), ("p", False, True)]
-    assert node("x")[0] == "x"
