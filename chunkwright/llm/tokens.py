@@ -18,8 +18,8 @@ import regex
 
 from chunkwright.llm.common import buffer, ranges, strings
 
-#: Cached words per worker; the cache is emptied when full, which changes only speed.
-CACHE_WORDS = 300_000
+#: Cached words per worker; the cache is emptied when a column finds it full, which changes only speed.
+CACHE_WORDS = 500_000
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -43,7 +43,7 @@ class WordEncoder:
         spec = json.loads(self.whole.to_str())
         self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []})).model
         self.pieces = regex.compile(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.plain = regex.compile(r"[ \n]?[!-&(-;=-~¡-įı-ž]*")
+        self.plain = regex.compile(r"[!-&(-;=-~¡-įı-ž]*")
         self.signs = self._signs()
         self.clear()
 
@@ -62,16 +62,26 @@ class WordEncoder:
         self.starts = array("q")
         self.counts = array("q")
 
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.by_piece.get(piece)
+        if ids is None:
+            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.signs)
+            ids = self.by_piece[piece] = [t.id for t in self.model.tokenize(text)]
+        return ids
+
     def _ids(self, word: str) -> list[int]:
+        if word[0] in " \n":
+            word = word[1:]
+        if word.isascii():
+            if word.isalpha():  # one run of letters
+                return self._piece(word.lower())
+            if word[:-1].isalpha() and word[-1] in ".,":
+                return self._piece(word[:-1].lower()) + self._piece(word[-1])
         if not self.plain.fullmatch(word):
             return self.whole.encode(word, add_special_tokens=False).ids
         out: list[int] = []
         for piece in self.pieces.findall(normalize("NFC", word).lower()):
-            ids = self.by_piece.get(piece)
-            if ids is None:
-                text = piece if piece.isascii() else "".join(self.signs[b] for b in piece.encode())
-                ids = self.by_piece[piece] = [t.id for t in self.model.tokenize(text)]
-            out += ids
+            out += self._piece(piece)
         return out
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +97,7 @@ class WordEncoder:
             bounds = np.insert(bounds, 0, 0)
         coded = strings(data, bounds).dictionary_encode()
         fresh = coded.dictionary.to_pylist()
-        if len(self.index) + len(fresh) > CACHE_WORDS:
+        if len(self.index) > CACHE_WORDS:
             self.clear()
         places = np.empty(len(fresh), np.int64)
         get, index = self.index.get, self.index
