@@ -2,7 +2,9 @@
 
 Equal texts are one class from the start (a 128-bit hash). A sketch takes the `ELL` least shingles, each
 labelled with its occurrence number, under its own random order and keeps them in text order; texts whose
-sketches are equal share a bucket. In a bucket all members are compared with one leader, the member that meets
+sketches are equal share a bucket. Texts of up to `SHORT` shingles, whose sketches depend on their length, also
+share one for each shingle that both have among their rarest ones (an exact prefix filter): of those no pair of
+similarity `LEAST` is missed, nor is one of a text of up to 0.8 `SHORT` shingles and a longer one. In a bucket all members are compared with one leader, the member that meets
 most others over all sketches; members that fail come together again under another leader until none are left,
 small remainders at once in one task. From a large remainder those leave whose class already holds the leader. Buckets are never paired out, a leader's members are spread over salts,
 and texts are compared with a leader one at a time.
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwright.llm.common import buffer, materialise, mix, slices, span_hashes, words
+from chunkwright.llm.common import SPACES, buffer, materialise, mix, slices, span_hashes, words
 from chunkwright.llm.components import components
 
 WORDS, LEAST = 5, 0.8
 SKETCHES, ELL = 24, 6
 #: Members of a leader that one task compares; members that are left in a bucket and then compared in one task.
 SALT, REST = 500, 400
+#: Shingles of a text up to which buckets are exact.
+SHORT = 25
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -96,6 +100,33 @@ def sketches(col: pa.Array, count: int = SKETCHES, ell: int = ELL) -> list[np.nd
     return out
 
 
+def brief(col: pa.Array, most: int = SHORT) -> list[np.ndarray]:
+    """Labelled shingles of each text that has up to `most`; none for the others."""
+    data, offsets = buffer(col)
+    inside = ~SPACES[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    first[heads] = inside[heads]
+    counts = np.diff(np.concatenate([[0], np.cumsum(first)])[offsets])
+    at = np.flatnonzero((counts > 0) & (counts <= most + WORDS - 1))
+    out = [np.zeros(0, np.int64)] * len(col)
+    if len(at):
+        for i, own in zip(at.tolist(), _shingles_of(col.take(pa.array(at))), strict=True):
+            out[i] = own.view(np.int64)
+    return out
+
+
+def _prefixes(shorts: DataFrame, least: float) -> DataFrame:
+    """(cls, key): the rarest shingles of short texts (cls, own), as many as leave fewer than a similar text must share."""
+    rows = shorts.select("cls", F.explode("own").alias("shingle"))
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    ordered = rows.join(common, "shingle").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("own"))
+    size = F.size("own")
+    kept = F.slice("own", F.lit(1), size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1)
+    return ordered.select("cls", F.explode(kept).alias("x")).select("cls", F.xxhash64(F.lit("prefix"), "x.shingle").alias("key"))
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
     """Similarity of two labelled shingle lists by alignment in the band that similarity `least` allows; 0 if surely below."""
     n1, n2 = len(a), len(b)
@@ -175,10 +206,11 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sketches(part.column(1)), pa.list_(pa.int64()))], ["cls", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in (sketches(part.column(1)), brief(part.column(1))))], ["cls", "keys", "own"])
 
-    keys = docs.select("cls", "text").mapInArrow(sketch, "cls binary, keys array<bigint>")
-    keys = materialise(keys.groupBy("cls").agg(F.first("keys").alias("keys")), "sketches").select("cls", F.explode("keys").alias("key"))
+    keys = docs.select("cls", "text").mapInArrow(sketch, "cls binary, keys array<bigint>, own array<bigint>")
+    made = materialise(keys.groupBy("cls").agg(F.first("keys").alias("keys"), F.first("own").alias("own")), "sketches")
+    keys = made.select("cls", F.explode("keys").alias("key")).unionByName(materialise(_prefixes(made.where(F.size("own") > 0), least), "prefixes"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(keys.join(shared, "key"), "members")
     met = members.groupBy("cls").agg(F.sum("n").alias("met"))

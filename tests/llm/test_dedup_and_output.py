@@ -76,6 +76,40 @@ def test_failed_members_meet_again(spark, docs_of, monkeypatch, rest):
     assert all(got[i] == i // 10 * 10 for i, _ in rows)
 
 
+def brute_classes(rows):
+    """Least doc_id of each text's class, and its number of similar texts, by comparing all pairs."""
+    lists = order_minhash._shingles_of(pa.array([t for _, t in rows]))
+    root, near = list(range(len(rows))), Counter()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if order_minhash.aligned(lists[i], lists[j]) >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+                near.update((i, j))
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}, {rows[i][0]: near[i] for i in range(len(rows))}
+
+
+def test_short_texts_are_exact(spark, docs_of):
+    """Texts of few words and the same with words added or changed, whose sketches differ in length or symbols."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = []
+    for n in [*range(1, 32)] * 4:
+        own = [word() for _ in range(n)]
+        rows.append((len(rows), " ".join(own)))
+        rows.append((len(rows), " ".join([word(), *own] if len(rows) % 4 == 1 else [*own, word()])))
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs_of(rows)).collect()}
+    brief = {i for i, t in rows if len(t.split()) <= 29}
+    want, _ = brute_classes(rows)
+    assert any(want[i] != i and len(t.split()) in (9, 10) for i, t in rows)
+    assert {i: got[i] for i in brief} == {i: want[i] for i in brief}
+
+
 def test_aligned():
     a = np.arange(100, dtype=np.uint64)
     assert order_minhash.aligned(a, a) == 1
