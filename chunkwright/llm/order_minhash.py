@@ -5,9 +5,13 @@ labelled with its occurrence number, under its own random order and keeps them i
 sketches are equal share a bucket. Texts of up to `SHORT` shingles, whose sketches depend on their length, also
 share one for each shingle that both have among their rarest ones (an exact prefix filter): of those no pair of
 similarity `LEAST` is missed, nor is one of a text of up to 0.8 `SHORT` shingles and a longer one. In a bucket all members are compared with one leader, the member that meets
-most others over all sketches; members that fail come together again under another leader until none are left,
-small remainders at once in one task. From a large remainder those leave whose class already holds the leader. Buckets are never paired out, a leader's members are spread over salts,
-and texts are compared with a leader one at a time.
+most others over all sketches; members that fail are compared with each other: small remainders in one task, large ones under another leader until
+they are small, or have one class already, or few are outside their largest class; those few meet all others. 1 - similarity is
+a metric, so that a member which fails can only be similar to a passed one if it has `2 * LEAST - 1` with their leader;
+such members meet the passed ones of their leader unless both are in one class by then. So no link that would join two classes
+of a bucket is missed. Links inside a class may be: those between two texts that passed with one leader, between a passed and a
+failed one, and in large remainders, where both were in one class already; `n_links` counts the verified ones.
+Leaders' members are spread over salts, and texts are compared with a leader one at a time.
 
 Verification aligns the labelled shingles of two texts inside a band around the diagonal: with m aligned, the
 similarity is m / (n1 + n2 - m), and pairs of `LEAST` or more are links. Classes are the components of links.
@@ -100,8 +104,9 @@ def sketches(col: pa.Array, count: int = SKETCHES, ell: int = ELL) -> list[np.nd
     return out
 
 
-def brief(col: pa.Array, most: int = SHORT) -> list[np.ndarray]:
-    """Labelled shingles of each text that has up to `most`; none for the others."""
+def brief(col: pa.Array, most: int | None = None) -> list[np.ndarray]:
+    """Labelled shingles of each text that has up to `most` (`SHORT`); none for the others."""
+    most = SHORT if most is None else most
     data, offsets = buffer(col)
     inside = ~SPACES[data]
     first = inside.copy()
@@ -157,7 +162,7 @@ def _shingles_of(texts: pa.Array) -> list[np.ndarray]:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(cls, lead, sim) for pairs of classes; texts is (cls, text)."""
+    """(cls, lead, sim) for pairs of classes, sim exact from 2 * least - 1 on; texts is (cls, text)."""
     sizes = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
     spread = pairs.join(sizes, "lead")
     members = spread.select("cls", "lead", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
@@ -173,7 +178,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 if role == 0:
                     lead, head = own, s
                 elif own == lead:
-                    out.append((cls, own, aligned(head, s, least)))
+                    out.append((cls, own, aligned(head, s, max(0.0, 2 * least - 1) - 1e-9)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.float64()), strict=True)], ["cls", "lead", "sim"])
 
@@ -200,6 +205,67 @@ def _finish(groups: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(compare, "cls binary, lead binary")
 
 
+def _roots(found: DataFrame, name: str, root: str) -> DataFrame:
+    return components(found, "cls", "lead").select(F.col("node").alias(name), F.col("root").alias(root))
+
+
+def _across(groups: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (cls, lead) in groups (grp, cls, root, role, sim) between members of role 1 and role 0 that have different roots.
+
+    Both roles are spread over blocks of `SALT`, each pair of blocks is a task's work; sim, where it isn't null, is
+    the similarity with one text of the group, by which pairs that can't be similar are passed over.
+    """
+    sizes = groups.groupBy("grp").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("role") == r, 1).otherwise(0)) / SALT)).cast("int").alias(f"blocks{r}") for r in (0, 1)))
+    spread = groups.join(sizes, "grp")
+    own = lambda r: F.array(F.pmod(F.xxhash64("cls"), F.col(f"blocks{r}")).cast("int"))
+    all_of = lambda r: F.sequence(F.lit(0), F.col(f"blocks{r}") - 1)
+    for r in (0, 1):
+        spread = spread.withColumn(f"at{r}", F.explode(F.when(F.col("role") == r, own(r)).otherwise(all_of(r))))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, held = None, []
+        for part in slices(batches, "text"):
+            found = []
+            cols = [c.to_pylist() for c in part.columns[:-1]]
+            for grp, at0, at1, role, cls, root, sim, s in zip(*cols, _shingles_of(part.column(7)), strict=True):
+                if (grp, at0, at1) != work:
+                    work, held = (grp, at0, at1), []
+                if role:
+                    held.append((cls, root, sim, s))
+                    continue
+                for other, its, close, t in held:
+                    if its != root and (sim is None or close is None or abs(sim - close) <= 1 - least + 1e-9) and aligned(t, s, least) >= least:
+                        found.append((other, cls))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["cls", "lead"])
+
+    dealt = spread.join(texts, "cls").select("grp", "at0", "at1", "role", "cls", "root", "sim", "text")
+    return dealt.repartition("grp", "at0", "at1").sortWithinPartitions("grp", "at0", "at1", F.desc("role")).mapInArrow(compare, "cls binary, lead binary")
+
+
+def _remainders(large: DataFrame, found: DataFrame) -> DataFrame:
+    """Large remainders (key, cls, met) with root, top (the root that most members have) and open (members with other roots)."""
+    large = large.join(_roots(found, "cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    parts = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    tops = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
+    return large.join(tops.select("key", F.col("most.root").alias("top"), (F.col("all") - F.col("most.n")).alias("open")), "key")
+
+
+def _missed(tried: DataFrame, found: DataFrame, texts: DataFrame, least: float) -> DataFrame | None:
+    """Links between those that passed with a leader and those that failed with it, where these are in another class."""
+    close = tried.where((F.col("sim") < least) & (F.col("sim") >= 2 * least - 1 - 1e-9)).select("cls", "lead", "sim")
+    close = close.join(tried.where(F.col("sim") >= least).select("lead"), "lead", "left_semi")
+    if close.isEmpty():
+        return None
+    roots = materialise(_roots(found, "node", "root"), "roots")
+    close = close.join(roots.select(F.col("node").alias("lead"), F.col("root").alias("its")), "lead")
+    close = close.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")).where("root <> its")
+    close = materialise(close, "close")
+    passed = tried.where(F.col("sim") >= least).join(close.select("lead", "its").distinct(), "lead")
+    both = close.select("lead", "cls", "root", F.lit(1).alias("role"), "sim").unionByName(passed.select("lead", "cls", F.col("its").alias("root"), F.lit(0).alias("role"), "sim"))
+    return _across(both.withColumnRenamed("lead", "grp"), texts, least)
+
+
 def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Verified links (cls, lead) between different texts; docs has cls (hash of the text), doc_id and text."""
     spark = docs.sparkSession
@@ -221,29 +287,32 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     texts = docs.join(first, same, "left_semi").select("cls", "text")
     texts = materialise(texts, "texts").dropDuplicates(["cls"])
     found = spark.createDataFrame([], "cls binary, lead binary")
+    tried = spark.createDataFrame([], "cls binary, lead binary, sim double")
     while True:
         lead = active.groupBy("key").agg(F.max(F.struct("met", "cls")).getField("cls").alias("lead"))
         led = active.join(lead, "key").where("cls <> lead")
         pairs = led.select("cls", "lead").distinct()
         judged = materialise(_verify(pairs, texts, least), "judged")
+        tried = tried.unionByName(judged)
         found = found.unionByName(judged.where(F.col("sim") >= least).select("cls", "lead"))
         failed = judged.where(F.col("sim") < least).select("cls", "lead").distinct()
         rest = materialise(led.join(failed, ["cls", "lead"], "left_semi"), "rest")
-        large = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REST).select("key")
-        if not large.isEmpty():
-            # In a large remainder those whose component already holds the leader have their class; they leave it.
-            roots = components(found, "cls", "lead")
-            mine = roots.select(F.col("node").alias("cls"), F.col("root").alias("own"))
-            its = roots.select(F.col("node").alias("lead"), F.col("root").alias("other"))
-            seen = rest.join(large, "key", "left_semi").join(mine, "cls").join(its, "lead").where("own = other").select("key", "cls")
-            rest = rest.join(seen, ["key", "cls"], "left_anti")
         several = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         rest = materialise(rest.select("key", "cls", "met").join(several, "key"), "rest")
         small = rest.where(F.col("n") <= REST)
         found = materialise(found.unionByName(_finish(small.select("key", "cls"), texts, least)), "found")
-        active = rest.where(F.col("n") > REST).drop("n")
+        large = rest.where(F.col("n") > REST).drop("n")
+        if large.isEmpty():
+            break
+        large = materialise(_remainders(large, found), "large")
+        few = large.where((F.col("open") > 0) & (F.col("open") <= REST))
+        sides = few.select(F.col("key").alias("grp"), "cls", "root", F.explode(F.when(F.col("root") == F.col("top"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("role"))
+        found = materialise(found.unionByName(_across(sides.withColumn("sim", F.lit(None).cast("double")), texts, least)), "found")
+        active = materialise(large.where(F.col("open") > REST).select("key", "cls", "met"), "active")
         if active.isEmpty():
-            return found.distinct()
+            break
+    more = _missed(tried, found, texts, least)
+    return found.distinct() if more is None else materialise(found.unionByName(more).distinct(), "found")
 
 
 def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:

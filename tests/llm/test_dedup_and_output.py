@@ -110,6 +110,23 @@ def test_short_texts_are_exact(spark, docs_of):
     assert {i: got[i] for i in brief} == {i: want[i] for i in brief}
 
 
+@pytest.mark.parametrize("rest", [0, 6, 200])
+def test_links_through_passed_members(spark, docs_of, monkeypatch, rest):
+    """Chains in one bucket whose ends are similar to the middle only: every leader leaves a link behind it."""
+    monkeypatch.setattr(order_minhash, "REST", rest)
+    monkeypatch.setattr(order_minhash, "SALT", 3)
+    monkeypatch.setattr(order_minhash, "SHORT", 0)
+    monkeypatch.setattr(order_minhash, "sketches", lambda col, count=1, ell=1: [np.array([7], np.int64) for _ in range(len(col))])
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(3):
+        words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(150)]
+        rows += [(len(rows) + k, " ".join(words[k * 8 : k * 8 + 80])) for k in range(7)]
+    want, _ = brute_classes(rows)
+    assert sorted(set(want.values())) == [0, 7, 14]
+    assert {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs_of(rows)).collect()} == want
+
+
 def test_aligned():
     a = np.arange(100, dtype=np.uint64)
     assert order_minhash.aligned(a, a) == 1
