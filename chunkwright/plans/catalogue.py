@@ -433,6 +433,11 @@ def bpe_pair_counts(spark, sf):
     return text.pair_counts(rows, "doc_id", "text")
 
 
+@query()
+def bpe_pair_counts_all(spark, sf):
+    return text.pair_counts(table(spark, sf, "documents"), "doc_id", "text")
+
+
 @query()
 def bpe_encode(spark, sf):
     bench = table(spark, sf, "benchmark")
