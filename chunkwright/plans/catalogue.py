@@ -427,6 +427,11 @@ def extractive_summary(spark, sf):
     return text.extractive_summary(table(spark, sf, "benchmark"), "item_id", "text", 2)
 
 
+@query()
+def extractive_summary_documents(spark, sf):
+    return text.extractive_summary(table(spark, sf, "documents"), "doc_id", "text")
+
+
 @query("WITH a AS (SELECT text, unnest(range(1, length(text))) AS i FROM documents WHERE lang = 'en' AND length(text) = strlen(text)) SELECT ascii(substr(text, i, 1)) AS left, ascii(substr(text, i + 1, 1)) AS right, count(*) AS n FROM a GROUP BY 1, 2")
 def bpe_pair_counts(spark, sf):
     rows = table(spark, sf, "documents").where((F.col("lang") == "en") & (F.length("text") == F.octet_length("text")))
@@ -445,6 +450,12 @@ def bpe_encode(spark, sf):
     return bench.select("item_id", text.bpe_encode(merges)("text").alias("ids")).select("item_id", "ids", text.bpe_decode(merges)("ids").alias("text"))
 
 
+@query()
+def bpe_encode_documents(spark, sf):
+    merges = text.train_bpe(table(spark, sf, "benchmark"), "item_id", "text", 300)
+    return table(spark, sf, "documents").select("doc_id", text.bpe_encode(merges)("text").alias("ids"))
+
+
 # arrays, vectors, features
 
 
