@@ -308,3 +308,18 @@ def test_wrapper_shapes():
     both = html_wrappers._union(a, b)
     kids = both[html_wrappers.KIDS][0][html_wrappers.KIDS]
     assert [(k[0], k[html_wrappers.OPTIONAL], k[html_wrappers.REPEATED]) for k in kids] == [("h1", False, False), ("hr", True, False), ("p", False, True)]
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_long_common_openings_and_copies_are_no_template(spark, copies):
+    """Texts that open with the same 200 characters, and full copies of one page, aren't constant texts of a host."""
+    opening = "the same words at the start of each page " * 8
+    said = [opening + ("and one end" if copies else f"and end number {i} of its own") for i in range(4)]
+    rows = [(i, f"http://h.example/{i}", f"<html><body><div><p>{t}</p></div></body></html>") for i, t in enumerate(said)]
+    got = html_wrappers.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: " ".join(t.split()) for i, t in enumerate(said)}
+    tree = None
+    for _, _, page in rows:
+        new = html_wrappers.tree(page)
+        tree = new if tree is None else html_wrappers._union(tree, new)
+    assert html_wrappers.decide(tree)["drop"] == []
