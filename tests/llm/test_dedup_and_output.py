@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chunkwright.llm import html_wrappers, order_minhash, packing, sstable, suffix_dedup, warc
+from chunkwright.llm import order_minhash, packing, sstable, suffix_dedup, warc
 from chunkwright.llm.common import filesystem, work_dir
 from chunkwright.llm.components import components
 from chunkwright.llm.tokens import WordEncoder, vocabulary_path
@@ -277,49 +277,3 @@ def test_damaged_archive(tmp_path):
         for step in (37, 100, size):
             found = [warc.parse(c)["page_id"] for a in range(0, size, step) for _, c in warc.members(source, a, a + step)]
             assert found == [0, 1, 3, 4, 5]
-
-
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="<p>no</p>";</script></head><body>
-<header><h2>Site</h2></header><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav><div class="cookie-notice"><p>We use cookies</p></div>
-<{tag}><h1>Head {k}</h1><p>First&amp;  one &lt;{k}&gt; <b>bold</b><br>next<p>Second &#233; {k}</p><!-- <p>gone</p> --><aside>side</aside><form><p>mail</p></form></{close}>
-<div class="sidebar"><p>other</p></div><div id="comments"><p>first! {k}</p></div><footer><p>foot</p></footer></body></html>"""
-
-
-def test_pages(spark):
-    def want(k):
-        return f"Head {k}\n\nFirst& one <{k}> bold next\n\nSecond é {k}"
-
-    rows = [(k, f"http://a.example/{k}", PAGE.format(tag="article", close="article", k=k)) for k in range(4)]
-    rows += [(10 + k, f"http://b.example/{k}", PAGE.format(tag='div class="x1"', close="div", k=10 + k)) for k in range(4)]
-    rows += [(90, None, None), (91, "http://c", ""), (92, "http://c", "just text"), (93, "http://c", "<p>a<p>b & c &nosuch; < d<li>e"), (94, "http://a.example/0", PAGE.format(tag="article", close="article", k=94)), (94, "http://a.example/0", PAGE.format(tag="article", close="article", k=94))]
-    rows.append((95, "http://d/", '<div class="page has-sidebar"><article><p>kept</p></article><div class="sidebar">x</div></div>'))
-    rows.append((96, "http://d/1", '<article><p>own</p></article><div id="comments"><article><p>reader</p></article></div>'))
-    got = html_wrappers.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()
-    text = {r["page_id"]: r["text"] for r in got}
-    assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
-    for k in [*range(4), *range(10, 14), 94]:
-        assert text[k] == want(k), k
-    assert text[95] == "kept" and text[96] == "own"
-    assert text[90] == text[91] == "" and text[92] == "just text" and text[93] == "a\n\nb & c &nosuch; < d\n\ne"
-
-
-def test_wrapper_shapes():
-    a, b = html_wrappers.tree("<div><h1>x</h1><p>1</p><p>2</p></div>"), html_wrappers.tree("<div><h1>y</h1><hr><p>3</p></div>")
-    both = html_wrappers._union(a, b)
-    kids = both[html_wrappers.KIDS][0][html_wrappers.KIDS]
-    assert [(k[0], k[html_wrappers.OPTIONAL], k[html_wrappers.REPEATED]) for k in kids] == [("h1", False, False), ("hr", True, False), ("p", False, True)]
-
-
-@pytest.mark.parametrize("copies", [False, True])
-def test_long_common_openings_and_copies_are_no_template(spark, copies):
-    """Texts that open with the same 200 characters, and full copies of one page, aren't constant texts of a host."""
-    opening = "the same words at the start of each page " * 8
-    said = [opening + ("and one end" if copies else f"and end number {i} of its own") for i in range(4)]
-    rows = [(i, f"http://h.example/{i}", f"<html><body><div><p>{t}</p></div></body></html>") for i, t in enumerate(said)]
-    got = html_wrappers.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)).collect()
-    assert {r["page_id"]: r["text"] for r in got} == {i: " ".join(t.split()) for i, t in enumerate(said)}
-    tree = None
-    for _, _, page in rows:
-        new = html_wrappers.tree(page)
-        tree = new if tree is None else html_wrappers._union(tree, new)
-    assert html_wrappers.decide(tree)["drop"] == []
