@@ -63,6 +63,50 @@ def test_toxicity(spark, toxic_model, docs_of):
     assert toxicity.assess(odd.limit(0), model).count() == 0
 
 
+def test_scan_by_brute_force(toxic_model):
+    """Scores and passages of whole texts from the model's weights, token by token."""
+    model, _ = toxic_model
+    key = lambda t: int(toxicity.tokens(*pair(t))[3][0])
+    pair = lambda t: (np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+    stem = lambda t: int(toxicity.stems(pair(t)[0], np.array([0]), np.array([len(t.encode())]))[0])
+    weights, begins = dict(zip(model.hashes.tolist(), model.weights, strict=True)), dict(zip(model.stems.tolist(), model.stem_weights, strict=True))
+    rng = np.random.default_rng(6)
+    words = ["vile", "rotten", "Rottenish", "VILE", "w1", "w2", "w150", "é", "x"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 25))) + str(rng.choice(["", "!", " ?é."])) for _ in range(150)]
+    x, found = model.scan(pa.array(texts))
+    for i, t in enumerate(texts):
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", t.encode())]
+        own = [t.encode()[a:b].decode() for a, b in at]
+        score = np.array([(weights.get(key(w)) or begins.get(stem(w), 0.0)) - toxicity.DRIFT for w in own])
+        sums = [(a, b, model.decay * score[a:b].sum() - np.log(model.scale * len(own) / toxicity.EXPECT)) for a, b in brute_segments(score)]
+        want = [(at[a][0], at[b - 1][1], e) for a, b, e in sums if e > 0]
+        assert [f[:2] for f in found[i]] == [w[:2] for w in want] and np.allclose([f[2] for f in found[i]], [w[2] for w in want])
+        assert np.allclose(x[i], [np.log1p(max(w[2] for w in want)), np.log1p(sum(w[2] for w in want))] if want else 0)
+    assert any(found) and begins and weights
+
+
+def test_chance_parameters(toxic_model):
+    """lambda solves its equation; K makes as many chance rows as there are: of these clean rows none has a passage."""
+    model, docs = toxic_model
+    values, shares = np.array([2.0, -0.5, -1.0]), np.array([0.05, 0.75, 0.2])
+    assert abs((shares * np.exp(toxicity._decay(values, shares) * values)).sum() - 1) < 1e-6
+    assert 0 < model.scale < 1 and model.decay > 0
+    clean = [r["n"] for r in toxicity.assess(docs, model).where("doc_id % 4 <> 0").select(F.size("passages").alias("n")).collect()]
+    assert sum(n > 0 for n in clean) <= 0.1 * len(clean)
+
+
+def test_few_labels_and_repeated_identifiers(spark):
+    """A few dozen labels are enough for scores that differ; of an identifier with very many rows one is learned from."""
+    rng = np.random.default_rng(7)
+    plain = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*rng.choice(plain, 30), *(["vile"] * 2 if i % 6 == 0 else [])])) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(1, rows[1][1])] * 500 + [(1, f"other {k}") for k in range(500)], "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in toxicity.assess(docs, model).collect()}
+    assert min(got[i] for i in range(0, 60, 6)) > 0.5 > max(got[i] for i in range(60) if i % 6)
+
+
 def test_toxicity_without_labels(spark, docs_of):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = toxicity.fit(docs_of(ODD), none, F.lit(True))
