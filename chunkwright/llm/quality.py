@@ -3,8 +3,10 @@
 The trees are fitted here on a bounded sample of labelled rows, flattened into numpy node arrays, and walked for
 all rows of a slice at once. Features named in `MONOTONE` may only lower or only raise the score.
 
-Rows: a null or empty text has no words and fails the base rules. Repeated rows are scored alike. Without any
-usable labels the trees are empty and the base rules alone decide.
+Rows: a null or empty text has no words and fails the base rules; long texts are counted whole. Repeated rows are
+scored alike; of labelled rows that share an identifier one is fitted on. An empty table gives no rows. Only doc_id
+and text are read, whatever other columns are called. Without any usable labels the trees are empty and the base
+rules alone decide.
 """
 
 from __future__ import annotations
@@ -67,8 +69,8 @@ def statistics(col: pa.Array) -> dict[str, np.ndarray]:
         cut = data == 10
         heads = np.union1d(offsets[:-1], np.flatnonzero(cut) + 1)
         heads = heads[heads < len(data)]
-        tails = np.append(heads[1:], len(data))
-        tails = tails - (cut[tails - 1] if len(tails) else 0)
+        tails = np.append(heads[1:], len(data))[: len(heads)]
+        tails = tails - cut[tails - 1]
         has = np.searchsorted(begin, tails) > np.searchsorted(begin, heads)
         heads, tails = heads[has], tails[has]
         line_row = np.searchsorted(offsets, heads, side="right") - 1
@@ -203,7 +205,7 @@ def sample_ids(labels: DataFrame, column: str, bound: int, keep=None) -> DataFra
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Trees:
-    """Fit on at most `bound` labelled documents."""
+    """Fit on at most `bound` labelled documents, one row of each identifier; they alone come to the driver."""
     chosen = sample_ids(labels, "quality", bound)
     # At most `bound` rows of 12 bytes: safe to broadcast whatever the input.
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
@@ -213,21 +215,22 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Trees:
             x = statistics(part.column(1))["features"]
             yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "label": part.column(2), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
-    got = rows.select("doc_id", "text", "label").mapInArrow(features, "doc_id bigint, label int, x array<double>").orderBy("doc_id", "x").limit(2 * bound).collect()
+    found = rows.select("doc_id", "text", "label").mapInArrow(features, "doc_id bigint, label int, x array<double>")
+    got = sorted(found.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("label").alias("label")).collect(), key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in got]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["label"] for r in got], float))
 
 
 def judge(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """Per document: doc_id, the counts, base_failed, score (probability of good quality) and kept."""
+    """Per document: doc_id, the counts, base_failed, kept and score (probability of good quality)."""
     model = train(docs, labels, bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             s = statistics(part.column(1))
             failed, score = base_failed(s), model.score(s["features"])
-            cols = [part.column(0), *(pa.array(s[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *COUNTS, "base_failed", "score", "kept"])
+            cols = [part.column(0), *(pa.array(s[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
-    schema = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, score double, kept boolean"
+    schema = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, score double"
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -151,6 +151,54 @@ def test_quality(spark, docs_of):
     assert quality.judge(docs_of([]), spark.createDataFrame(labels, "doc_id bigint, quality int")).count() == 0
 
 
+def test_whole_query_by_brute_force(spark, docs_of):
+    """Counts by plain Python, the verdict by walking each tree node by node."""
+    rng = np.random.default_rng(9)
+    rows = [(i, "\n".join(" ".join(str(w) for w in rng.choice(["ab", "c#d", "Efg", "12", "é!", "|"], rng.integers(0, 9))) for _ in range(rng.integers(0, 12)))) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(t.count("#") < 6)) for i, t in rows if i % 5], "doc_id bigint, quality int")
+    docs = docs_of([*ODD[:4], *rows])
+    model = quality.train(docs, labels)
+
+    def walk(x):
+        total = model.bias
+        for at in model.roots:
+            while model.feature[at] >= 0:
+                at = model.left[at] if x[model.feature[at]] <= model.threshold[at] else model.right[at]
+            total += model.value[at]
+        return 1 / (1 + np.exp(-total))
+
+    got = quality.judge(docs, labels)
+    assert got.columns[:8] == ["doc_id", *quality.COUNTS, "base_failed", "kept"]
+    for r in got.collect():
+        t = [t for i, t in [*ODD[:4], *rows] if i == r["doc_id"] and brute_counts(t) == [r[c] for c in quality.COUNTS]][0]
+        x = quality.statistics(pa.array([t], pa.string()))["features"][0]
+        n, repeated = r["n_words"], r["n_repeat_words"]
+        assert r["base_failed"] == (n < 10 or 100 * repeated > 20 * n)
+        assert abs(r["score"] - walk(x)) < 1e-12 and r["kept"] == (not r["base_failed"] and walk(x) >= 0.5)
+
+
+def test_repeated_identifiers_fit_once(spark, docs_of):
+    """More rows of one labelled identifier than the bound: each identifier is fitted on once, none is lost."""
+    rows = [(1, f"text number {k} of one document with words enough") for k in range(50)] + [(i, "bad ### ### ### " * 5 if i % 2 else "fine words of a good text here " * 4) for i in range(2, 42)]
+    labels = spark.createDataFrame([(i, 0 if i % 2 else 1) for i in range(1, 42)], "doc_id bigint, quality int")
+    model = quality.train(docs_of(rows), labels, bound=41)
+    bad, good = (quality.statistics(pa.array([t]))["features"] for t in (rows[51][1], rows[50][1]))
+    assert model.score(bad)[0] < 0.5 < model.score(good)[0]
+
+
+@pytest.mark.parametrize("texts", [[], [None], [""], [None, "", None], [" "], ["", "a"], ["a", ""]])
+def test_kernels_on_empty_columns(texts, toxic_model):
+    """A slice may hold nothing but empty texts."""
+    from chunkwright.llm import order_minhash
+    from chunkwright.llm.tokens import WordEncoder
+
+    col = pa.array(texts, pa.string())
+    assert quality.statistics(col)["features"].shape == (len(texts), len(quality.FEATURES))
+    assert len(toxic_model[0].scan(col)[0]) == len(list(langid.vectors(col))) == len(order_minhash.sketches(col)) == len(order_minhash.brief(col)) == len(texts)
+    assert len(WordEncoder().encode(col)[1]) == len(texts) + 1
+    assert decontam.Items.of([1], ["some words of an item"], {}).hits(col) == []
+
+
 def test_monotone_trees():
     rng = np.random.default_rng(3)
     x = rng.random((2000, len(quality.FEATURES)))
@@ -177,6 +225,46 @@ def test_language(spark, docs_of):
     assert {r["nearest"] for r in langid.identify(docs_of(ODD), empty).collect()} == {"und"}
 
 
+def test_language_by_brute_force(spark, docs_of):
+    """The nearest centroid of each text by plain sums over its trigrams, and what is farther than the sample's own texts."""
+    said = {"en": "the house and a garden with many old trees near water", "fr": "la maison et le jardin avec beaucoup de vieux arbres près", "de": "das haus und der garten mit vielen alten bäumen öde Überfluß"}
+    rng = np.random.default_rng(10)
+    rows = [(i, " ".join(rng.choice(said[lang].split(), rng.integers(1, 40))), lang) for i in range(240) for lang in [list(said)[i % 3]]]
+    docs = spark.createDataFrame(rows + [(999, rows[0][1], "en")] * 300, "doc_id bigint, text string, lang string").repartition(3)
+    model = langid.fit(docs, F.lit(True), per_lang=60)
+    dims = len(model.idf)
+    far = 0
+    for r in langid.identify(docs.where("doc_id < 240"), model).collect():
+        raw = f" {rows[r['doc_id']][1]} ".encode()
+        # ASCII and Latin-1 capitals in lower case, other ASCII than letters as spaces
+        low = bytearray(b + 32 if 65 <= b < 91 else b if b > 127 or 97 <= b < 123 else 32 for b in raw)
+        for k in range(1, len(raw)):
+            if raw[k - 1] == 0xC3 and 0x80 <= raw[k] <= 0x9E:
+                low[k] += 32
+        grams = Counter(bytes(low[k : k + 3]) for k in range(len(low) - 2))
+        tf = Counter()
+        for g, n in grams.items():
+            if g != b"   ":
+                tf[(int.from_bytes(g, "little") * 2654435761 % (1 << 32)) >> 18] += n
+        v = {k: np.log1p(n) * model.idf[k] for k, n in tf.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        sims = [sum(x * model.centroids[k, c] for k, x in v.items()) / norm for c in range(len(model.langs))]
+        best = int(np.argmax(sims))
+        assert r["nearest"] == model.langs[best] and abs(r["score"] - sims[best]) < 1e-4 and max(tf) < dims
+        far += r["rejected"]
+        assert r["rejected"] == (r["score"] < model.reach[best]) and r["lang"] == ("und" if r["rejected"] else r["nearest"])
+    assert 0 < far < 24
+    assert langid.identify(docs_of([]), model).count() == 0
+
+
+def test_more_languages_than_ever(spark):
+    """No language vanishes, however many there are."""
+    rows = [(i, " ".join(chr(97 + i // 26**e % 26) * 4 for e in range(3)), f"l{i}") for i in range(1100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, F.lit(True), centroids=1)
+    assert len(set(model.langs)) == 1100
+
+
 def brute_align(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
