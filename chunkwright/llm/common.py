@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,11 +19,13 @@ _fallback: list[str] = []
 def work_dir(spark: SparkSession) -> str:
     """A new folder's URI in the place every executor shares.
 
-    The session's spark.checkpoint.dir names that place; only where it is unset (tests on one machine) a
-    temporary folder is made once for this process.
+    The session's spark.checkpoint.dir names that place; only where it is unset and everything runs in one process
+    (tests) a temporary folder is made once for this process. On a cluster a folder of one machine would lose rows.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _fallback:
             _fallback.append("file://" + tempfile.mkdtemp(prefix="chunkwright-"))
         base = _fallback[0]

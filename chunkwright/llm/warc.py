@@ -8,7 +8,9 @@ is stepped over by scanning on for the next one. Memory: one record and a read b
 Records: a page's payload is its html in UTF-8 (null: empty). Of records with equal payloads of at least
 `least` bytes the one with the largest page_id is the response, the others are revisits that refer to it and
 carry no payload; rows that repeat that largest page_id are responses too. A null page_id is below all others
-(rows with no other copy are responses). A null url gives no target header.
+(rows with no other copy are responses). A null url gives no target header. A very long page is one record like
+others and is held whole by the task that writes or reads it. An empty table gives no archive and no rows. Only
+page_id, url and html are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -52,9 +54,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST, date: str = "1970-01-01T00:00:00Z", level: int = 3) -> list[tuple[str, int]]:
     """Write (page_id, url, html) rows as archives, one per task; returns (file, bytes). A file whose task is run again is not listed."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= least, F.sha1("html")))
-    copies = rows.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # Short payloads have no copies to look for: they stay out of the join, where they would all share one key.
+    short = rows.where(F.octet_length("html") < least).withColumn("refers_to", F.lit(None).cast("bigint"))
+    rows = rows.where(F.octet_length("html") >= least).withColumn("digest", F.sha1("html"))
+    copies = rows.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     joined = rows.join(copies, "digest", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")).alias("refers_to"))
+    joined = joined.unionByName(short)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, name, size = None, "", 0

@@ -260,6 +260,23 @@ def test_archives(spark, size):
         html = (next(h for i, _, h in rows if i == r["page_id"]) or "").encode()
         assert r["payload_bytes"] == len(html) and r["payload_digest"] == hashlib.sha1(html).hexdigest()
     assert warc.round_trip(pages.limit(0)).count() == 0
+    more = pages.selectExpr("*", "'d' AS digest", "7L AS refers_to", "'r' AS record_type", "1L AS n", "'u' AS urls")
+    pick = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert pick(warc.round_trip(more)) == pick(warc.round_trip(pages))
+
+
+def test_work_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    where = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        where.sparkContext.master = master
+        with pytest.raises(RuntimeError):
+            work_dir(where)
+    where.sparkContext.master = "local[4]"
+    assert work_dir(where).startswith("file:/")
+    where.sparkContext.getCheckpointDir = lambda: "hdfs://shared"
+    assert work_dir(where).startswith("hdfs://shared/cw-")
 
 
 def test_damaged_archive(tmp_path):
