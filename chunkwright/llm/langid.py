@@ -1,11 +1,13 @@
 """Operator 9, language identification: nearest centroid over normalised TF-IDF vectors of byte trigrams.
 
 Each language has several centroids from spherical k-means over its sample; a text takes the language of the
-centroid with the highest cosine. `rejected` marks texts farther from their centroid than the sample's own
-texts are, up to a slack. `lang` is the nearest language, `und` when rejected; `nearest` ignores rejection.
+centroid with the highest cosine. `rejected` marks texts that are farther from that centroid than 99 in 100 of
+the sample's own texts of the language are from theirs. `lang` is the nearest language, `und` when rejected; `nearest` ignores rejection
+(a caller who must name a language takes that one).
 
-Rows: a null text, or one without a letter, is `und` with score 0. Repeated rows are judged alike. With no
-learnable row every text is `und`.
+Rows: a null text, or one without a letter, is `und` with score 0; long texts are read whole. Repeated rows are
+judged alike, and a text counts once in a sample. An empty table gives no rows. With no learnable row every text
+is `und`. Only doc_id, text and lang are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 from chunkwright.llm.common import buffer, slices
 
 DIMS = 1 << 14
-#: Sampled texts per language (in expectation) and languages at most.
-SAMPLE_PER_LANG, LANGS = 500, 1000
+#: Sampled texts per language (in expectation); a language costs CENTROIDS vectors of DIMS floats, 196 KB, in the model.
+SAMPLE_PER_LANG = 500
 CENTROIDS = 3
+#: Share of a language's own sample that is farther from its centroids than what is accepted.
+BEYOND = 0.01
 UNDETERMINED = "und"
 
 _fold = np.arange(256, dtype=np.uint8)
@@ -97,22 +101,20 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 
 
 def fit(docs: DataFrame, learn: Column, per_lang: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS) -> Model:
-    """Learn from (doc_id, text, lang) rows that `learn` admits: about `per_lang` texts of each language, dealt by a hash of doc_id."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
-    if not sizes:
-        return Model([], np.zeros((DIMS, 0), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
-    share = F.create_map(*[F.lit(v) for s in sizes for v in (s["lang"], per_lang / s["count"])])
-    draw = (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 31)) / F.lit(float(1 << 31))).cast("double")
-    chosen = rows.where(draw < F.try_element_at(share, F.col("lang"))).select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
+    """Learn from (doc_id, text, lang) rows that `learn` admits: about `per_lang` different texts of each language, dealt by a hash of the text."""
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    shares = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count(F.lit(1))).alias("share"))
+    draw = F.pmod(F.xxhash64("h"), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    # One row for each language. Copies of a text are drawn together and then are one, so that what comes to the driver keeps its bound.
+    chosen = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             found = [(a.astype("<u2").tobytes(), np.minimum(c, 65535).astype("<u2").tobytes()) for a, c in vectors(part.column(2))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([a for a, _ in found], pa.binary()), pa.array([c for _, c in found], pa.binary())], ["doc_id", "lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([a for a, _ in found], pa.binary()), pa.array([c for _, c in found], pa.binary())], ["lang", "h", "at", "n"])
 
-    got = chosen.mapInArrow(run, "doc_id bigint, lang string, at binary, n binary").collect()
-    got.sort(key=lambda r: (r["lang"], r["doc_id"] or 0, r["at"]))
+    got = chosen.select("lang", "h", "text").mapInArrow(run, "lang string, h bigint, at binary, n binary").collect()
+    got.sort(key=lambda r: (r["lang"], r["h"]))
     got = [(r["lang"], np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<u2")) for r in got if r["at"]]
     df = np.zeros(DIMS)
     for _, at, _ in got:
@@ -129,7 +131,7 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = SAMPLE_PER_LANG, centroi
         best = (x @ c.T).max(1)
         names += [lang] * len(c)
         columns.append(c)
-        reach += [0.5 * float(np.quantile(best, 0.01))] * len(c)
+        reach += [float(np.quantile(best, BEYOND))] * len(c)
     if not names:
         return Model([], np.zeros((DIMS, 0), np.float32), idf, np.zeros(0))
     return Model(names, np.ascontiguousarray(np.concatenate(columns).T), idf, np.array(reach))
@@ -137,7 +139,7 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = SAMPLE_PER_LANG, centroi
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, nearest, lang, score (cosine to the nearest centroid), rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LANGS * CENTROIDS columns of DIMS floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # CENTROIDS columns of DIMS floats for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
