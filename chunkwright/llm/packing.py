@@ -1,12 +1,15 @@
 """Operator 10, best-fit packing: hierarchical residual packing of token pieces into sequences of fixed capacity.
 
 Each partition packs its own pieces best-fit (longest first) and emits nearly full bins. Underfull bins then
-climb a tree: `FAN` partitions meet in one task, whose items are whole bins; best-fit again, emit the nearly
-full, send the rest up. Only (bin, tokens used) travels, never the tokens. A task passes up its emptiest
-`CARRY` bins at most, the fullest stay as they are, so a task holds at most FAN * CARRY small items however
-large the input; every piece is placed in either case.
-
-Rows: a null text is the end id alone. Repeated rows are packed as often as they occur. No piece is empty.
+climb a tree: `FAN` partitions meet in one node, whose items are whole bins; best-fit again, emit the nearly
+full, send the rest up. Only (bin, tokens used) travels, never the tokens. A node with more than `NODE` underfull
+bins is several tasks' work; what these leave goes up like the rest, and at the top further rounds deal it anew
+as long as more than one task's items are left and a round still merges some. So no task holds more than about
+`NODE` small items, however large the input, and no bin is given up early.
+
+Rows: a null text is the end id alone; a long text is cut into full pieces and a rest. Repeated rows are packed as
+often as they occur. No piece is empty. An empty table gives no rows. Of documents only doc_id and text are read,
+whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -25,7 +28,10 @@ from chunkwright.llm.tokens import WordEncoder
 
 CAPACITY = 2048
 FAN = 8
-CARRY = 50_000
+#: Rows that a partition packs at once; underfull bins that a task merges at once.
+GROUP, NODE = 200_000, 400_000
+#: Share of its bins that a round at the top must merge for another one to follow.
+WORTH = 0.01
 #: Bins with at most this share of room left are emitted at once.
 ROOM = 1 / 256
 
@@ -117,7 +123,6 @@ def _pack_partitions(items: DataFrame, capacity: int, length: str) -> DataFrame:
     """Best-fit in each partition, `GROUP` rows at a time so that memory stays bounded."""
     from pyspark.sql import types as T
 
-    group = 200_000
     schema = T.StructType([*items.schema.fields, T.StructField("bin", T.LongType()), T.StructField("at", T.LongType()), T.StructField("part", T.LongType()), T.StructField("climbs", T.BooleanType())])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +136,6 @@ def _pack_partitions(items: DataFrame, capacity: int, length: str) -> DataFrame:
             table = pa.Table.from_batches(held).combine_chunks()
             bins, at, used = best_fit(table[length].to_numpy(), capacity)
             keep = capacity - used <= capacity * ROOM
-            if (~keep).sum() > CARRY:
-                keep[np.argsort(used, kind="stable")[CARRY:]] = True
             cols = {"bin": (part << 36) + made + bins, "at": at, "part": np.full(len(bins), part), "climbs": ~keep[bins]}
             made += len(used)
             for name, c in cols.items():
@@ -144,7 +147,7 @@ def _pack_partitions(items: DataFrame, capacity: int, length: str) -> DataFrame:
             if batch.num_rows:
                 held.append(batch)
                 rows += batch.num_rows
-            if rows >= group:
+            if rows >= GROUP:
                 yield from done(held)
                 held, rows = [], 0
         if held:
@@ -155,33 +158,47 @@ def _pack_partitions(items: DataFrame, capacity: int, length: str) -> DataFrame:
 
 def _climb(bins: DataFrame, capacity: int) -> DataFrame | None:
     """Merge underfull bins up the tree: (bin, into, shift) of all that moved; None if there are none."""
-    spark = bins.sparkSession
     bins = materialise(bins, "underfull")
-    top = bins.agg(F.max("part")).first()[0]
-    if top is None:
+    left, top = bins.agg(F.count(F.lit(1)), F.max("part")).first()
+    if not left:
         return None
     moved: DataFrame | None = None
-    parts = top + 1
+    parts, turn, level = top + 1, 0, bins.select("bin", "used", "part")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("bin", pa.int64()), ("used", pa.int64()), ("node", pa.int64())])).combine_chunks()
-        nodes = table["node"].to_numpy()
-        for node in np.unique(nodes):
-            own = table.filter(pa.array(nodes == node)).sort_by([("used", "descending"), ("bin", "ascending")])
+        """Rows come in order of (node, task)."""
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            own = pa.Table.from_batches(held).sort_by([("used", "descending"), ("bin", "ascending")])
             names, sizes = own["bin"].to_numpy(), own["used"].to_numpy()
             which, at, used = best_fit(sizes, capacity)
             first = np.full(len(used), -1, np.int64)
             first[which[::-1]] = names[::-1]  # a merged bin is called by its first member, which lies at 0
             climbs = capacity - used > capacity * ROOM
-            if climbs.sum() > CARRY:
-                climbs[np.argsort(used, kind="stable")[CARRY:]] = False
-            yield pa.RecordBatch.from_pydict({"bin": names, "into": first[which], "shift": at, "used": used[which], "node": np.full(len(names), node), "climbs": climbs[which]})
-
-    level = bins.select("bin", "used", "part")
-    while parts > 1:
-        parts = -(-parts // FAN)
-        dealt = level.select("bin", "used", F.floor(F.col("part") / FAN).cast("bigint").alias("node")).repartition(parts, "node")
-        step = materialise(dealt.mapInArrow(merge, "bin bigint, into bigint, shift bigint, used bigint, node bigint, climbs boolean"), f"level-{parts}")
+            return pa.RecordBatch.from_pydict({"bin": names, "into": first[which], "shift": at, "used": used[which], "node": own["node"].combine_chunks(), "climbs": climbs[which]})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in (2, 3)])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                if held and [held[0].column(k)[0].as_py() for k in (2, 3)] != keys[:, a].tolist():
+                    yield done()
+                    held.clear()
+                held.append(part)
+        if held:
+            yield done()
+
+    while True:
+        parts, turn = -(-parts // FAN), turn + 1
+        dealt = level.select("bin", "used", F.floor(F.col("part") / FAN).cast("bigint").alias("node"))
+        sizes = dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n"))  # a row for each node
+        dealt = dealt.join(sizes, "node").select("bin", "used", "node", F.pmod(F.xxhash64("bin", F.lit(turn)), F.ceil(F.col("n") / NODE)).cast("bigint").alias("task"))
+        dealt = dealt.repartition(max(parts, -(-left // NODE)), "node", "task").sortWithinPartitions("node", "task")
+        step = materialise(dealt.mapInArrow(merge, "bin bigint, into bigint, shift bigint, used bigint, node bigint, climbs boolean"), f"level-{turn}")
         gone = step.select("bin", "into", "shift")
         if moved is None:
             moved = gone
@@ -189,7 +206,9 @@ def _climb(bins: DataFrame, capacity: int) -> DataFrame | None:
             after = gone.select(F.col("bin").alias("into"), F.col("into").alias("further"), F.col("shift").alias("more"))
             moved = moved.join(after, "into", "left").select("bin", F.coalesce("further", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
         level = step.where("climbs and bin = into").select("bin", "used", F.col("node").alias("part"))
-    return moved
+        before, left = left, level.count()
+        if not left or (parts == 1 and (before <= NODE or left > (1 - WORTH) * before)):
+            return moved
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -199,6 +199,31 @@ def test_token_ids():
         assert ids[a:b].tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_vocabularies(name):
+    """A file with another pre-tokenizer gives the library's ids too."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    whole, coder = Tokenizer.from_file(path), WordEncoder(path)
+    assert coder.by_words == (name == "word_bpe_49k.json")
+    for texts in (ODD_TEXTS, [None, ""], []):
+        ids, offsets = coder.encode(pa.array(texts, pa.string()))
+        for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
+            assert ids[a:b].tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_full_word_cache(monkeypatch):
+    from chunkwright.llm import tokens
+
+    texts = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)} x" for k in range(300)]
+    want = WordEncoder().encode(pa.array(texts))[0]
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 10)
+    coder = WordEncoder()
+    assert np.array_equal(np.concatenate([coder.encode(pa.array(texts[k : k + 7]))[0] for k in range(0, 300, 7)]), want)
+
+
 def test_token_tables(spark, docs_of):
     rows = [*ODD, *((100 + i, t) for i, t in enumerate(ODD_TEXTS)), (-7, "negative")]
     folder = f"{work_dir(spark)}/tables"
@@ -246,6 +271,32 @@ def test_packing(spark, docs_of, monkeypatch):
     assert packing.pack_documents(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 9])
+def test_nodes_larger_than_a_task(spark, monkeypatch, parts):
+    """More underfull bins than one task takes, in groups of one partition or of many: all still meet."""
+    monkeypatch.setattr(packing, "FAN", 3)
+    monkeypatch.setattr(packing, "GROUP", 20)
+    monkeypatch.setattr(packing, "NODE", 25)
+    rng = np.random.default_rng(5)
+    sizes = [int(n) for n in rng.integers(500, 1000, 400)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "k int, length bigint").repartition(parts)
+    got = packing.pack(items).collect()
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(got) == len({r["k"] for r in got}) == 400
+    for own in bins.values():
+        assert [a for a, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1].tolist()] and sum(n for _, n in own) <= 2048
+    assert sum(sum(n for _, n in own) <= 1024 for own in bins.values()) <= 4
+    assert len(bins) <= 1.06 * len(packing.best_fit(np.array(sizes), 2048)[2])
+
+
+def test_bins_that_cannot_merge(spark, monkeypatch):
+    monkeypatch.setattr(packing, "NODE", 10)
+    items = spark.createDataFrame([(k, 1100) for k in range(200)], "k int, length bigint").repartition(4)
+    assert packing.pack(items).select("sequence_id").distinct().count() == 200
+
+
 @pytest.mark.parametrize("size", [200, 1 << 24])
 def test_archives(spark, size):
     big = "<p>" + "é" * 800 + "\x1f\x8b\x08" + "</p>"
