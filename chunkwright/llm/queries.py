@@ -69,7 +69,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chunkwright.llm.suffix_dedup import removals
 
-    return removals(_table(spark, sf_dir, "documents")).drop("removed")
+    return removals(_table(spark, sf_dir, "documents"))
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,17 +5,20 @@ every window of `length` bytes is dealt to the group of its minimiser, and conse
 travel as one region. Groups with one region need nothing more; regions equal to another region of their group
 are repeats as a whole; what is left, one region per different content, meets in blocks. A block's suffix array
 (prefix doubling up to `length`; suffixes that are unique at some depth leave) puts equal windows side by side;
-previous and next smaller positions in suffix order then tell whether a window has an earlier match, and whether
-it has any. A group with more than `MOST` different regions is split before: its windows are dealt again by
+previous and next smaller positions in suffix order give each window's longest previous factor, up to `length`, and
+on mirrored positions its longest next factor: whether an equal window starts earlier, and whether one starts
+later. A group with more than `MOST` different regions is split before: its windows are dealt again by
 narrower ranges of the minimiser's place together with the bytes that all windows of the range share, down to
-single windows, so that no block grows with the input and no pair of regions is ever made.
+single windows, so that no block grows with the input (it holds at most `MOST` regions of a few hundred bytes,
+besides groups that are smaller) and no pair of regions is ever made.
 
 keep="first" removes a window if an equal one starts earlier (documents in order of doc_id, then of text hash);
 keep="none" removes every window that also starts anywhere else. Overlaps and the same document count.
 
-Rows: a null text is empty; texts shorter than `length` lose nothing; rows may repeat (a repeated row is another
-copy for keep="none"; for keep="first" equal rows share their fate, as nothing tells them apart).
-A null doc_id sorts first.
+Rows: a null text is empty; texts shorter than `length` lose nothing; long texts are read whole. Rows may repeat (a
+repeated row is another copy for keep="none"; for keep="first" equal rows share their fate, as nothing tells them
+apart). A null doc_id sorts first. An empty table gives no rows. `removals` reads doc_id and text alone, whatever
+other columns are called; `without_repeats` carries them all.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from chunkwright.llm.common import buffer, materialise, mix, ranges, slices
 LENGTH = 400
 #: Different regions of a group that one block takes; bytes of a block.
 MOST, BLOCK_BYTES = 3000, 2 << 20
+#: Bytes of regions that a task hands on at once.
+OUT_BYTES = 8 << 20
 #: How many places of the minimiser a region spans after each split of a large group.
 WIDTHS = (48, 7, 1)
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -157,14 +162,15 @@ def equal_windows(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
     return order[keep], ranks[keep]
 
 
-def has_previous(order: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """For windows in suffix order: whether the longest previous factor reaches the window's length.
+def previous_factors(order: np.ndarray, ranks: np.ndarray, length: int) -> np.ndarray:
+    """Longest-previous-factor lengths, up to `length`, of windows in suffix order; `order` holds their positions.
 
-    Neighbours in suffix order share the whole window exactly when their ranks agree, so the previous (next)
-    smaller position counts if it lies in the same run; `order` holds text positions, equal ones are one place.
+    Of all earlier positions the two that share most with a window are those at the previous and at the next
+    smaller position in suffix order. Neighbours in that order share a whole window exactly where their ranks agree,
+    so such a position counts if it lies in the same run.
     """
     if not len(order):
-        return np.zeros(0, bool)
+        return np.zeros(0, np.int64)
     new = np.ones(len(ranks), bool)
     new[1:] = ranks[1:] != ranks[:-1]
     run = np.cumsum(new) - 1
@@ -176,12 +182,19 @@ def has_previous(order: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     back = np.minimum.accumulate((order + run * wide)[::-1])[::-1] - run * wide
     smaller_after = np.zeros(len(order), bool)
     smaller_after[:-1] = (back[1:] < order[:-1]) & ~new[1:]
-    return smaller_before | smaller_after
+    return np.where(smaller_before | smaller_after, length, 0)
+
+
+def next_factors(order: np.ndarray, ranks: np.ndarray, length: int) -> np.ndarray:
+    """The same for later positions: previous factors with the positions mirrored."""
+    return previous_factors(order.max() - order if len(order) else order, ranks, length)
 
 
 def _solve(block: list[tuple], length: int, first: bool) -> Iterator[tuple[int, int, int, int]]:
     """Byte ranges to remove from the regions of a block; regions are (gid, did, key, lo, hi, m, body)."""
-    block.sort(key=lambda r: (r[1], r[2], r[3]))
+    block = sorted(block, key=lambda r: r[1:5])
+    # a repeated row's regions stand here once: as copies they are counted in m
+    block = [r for k, r in enumerate(block) if not k or r[:5] != block[k - 1][:5]]
     text = np.frombuffer(b"".join(r[6] for r in block), np.uint8)
     size = np.array([len(r[6]) for r in block])
     base = np.cumsum(size) - size
@@ -189,10 +202,12 @@ def _solve(block: list[tuple], length: int, first: bool) -> Iterator[tuple[int,
     starts = ranges(base, count)
     owner = np.repeat(np.arange(len(block)), count)
     order, ranks = equal_windows(text, starts, length)
-    gone = order[has_previous(order, ranks)] if first else order
-    dead = np.zeros(len(starts) + 1, bool)
-    dead[gone] = True
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], dead[:-1], [False]]).astype(np.int8)) != 0) if len(gone) else np.zeros(0, int)
+    factors = previous_factors(order, ranks, length)
+    if not first:
+        factors = np.maximum(factors, next_factors(order, ranks, length))
+    dead = np.zeros(len(starts), bool)
+    dead[order[factors >= length]] = True
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], dead, [False]]).astype(np.int8)) != 0)
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         while a < b:  # a run of windows may go on into the next region
             r = int(owner[a])
@@ -227,7 +242,11 @@ def _whole(regions: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
 
 
 def _release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of steps whose results are in tables."""
+    """Let Spark drop the shuffle files of steps whose results are in tables.
+
+    Spark drops them once nothing in the driver refers to them, which it learns from a collection; by itself that
+    comes every half hour, and until then each step's files lie on the executors' disks besides the next one's.
+    """
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
@@ -259,13 +278,17 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            rows = [
-                (did, key, r["place"], r["lo"], r["hi"], r["gid"], r["reg"], r["m"], body[r["lo"] : r["hi"] + length])
-                for did, key, text, regions in zip(*(c.to_pylist() for c in part.columns), strict=True)
-                for body in (text.encode(),)
-                for r in regions
-            ]
-            yield _batch(rows)
+            rows, size = [], 0
+            for did, key, text, regions in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                body = text.encode()
+                for r in regions:
+                    rows.append((did, key, r["place"], r["lo"], r["hi"], r["gid"], r["reg"], r["m"], body[r["lo"] : r["hi"] + length]))
+                    size += len(rows[-1][8]) + 200
+                    if size >= OUT_BYTES:
+                        yield _batch(rows)
+                        rows, size = [], 0
+            if rows:
+                yield _batch(rows)
 
     contexts = docs.join(wanted, ["did", "key"]).select("did", "key", "text", "regions").mapInArrow(cut, CTX)
     contexts = materialise(contexts, "contexts")
@@ -291,8 +314,8 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFram
             got = list(_solve(held, length, first))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True) if got else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["did", "key", "begin", "end"])
 
-        for batch in batches:
-            for gid, did, key, lo, hi, m, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part in slices(batches, "body"):
+            for gid, did, key, lo, hi, m, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if gid != last and size >= BLOCK_BYTES:
                     yield done()
                     held, size = [], 0
@@ -322,15 +345,21 @@ def _narrow(length: int, width: int):
         def hashed(data: bytes, salt: int) -> int:
             return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=salt.to_bytes(16, "little", signed=True)).digest(), "little", signed=True)
 
-        for batch in batches:
-            rows = []
-            for did, key, place, lo, hi, gid, _, _, body in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("did", "key", "place", "lo", "hi", "gid", "reg", "m", "body")), strict=True):
+        names = ("did", "key", "place", "lo", "hi", "gid", "body")
+        rows, size = [], 0
+        for part in slices(batches, "body", 1 << 20):
+            for did, key, place, lo, hi, gid, body in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
                 for band in range((place - hi) // width, (place - lo) // width + 1):
                     a1, a2 = band * width, band * width + width - 1
                     begin, end = max(lo, place - a2), min(hi, place - a1)
                     core = body[place - a1 - lo : place - a2 + length - lo]
                     own = body[begin - lo : end + length - lo]
                     rows.append((did, key, place, begin, end, hashed(core, gid ^ (band << 70)), hashed(own, begin - end), 1, own))
+                    size += len(own) + 200
+                if size >= OUT_BYTES:  # a region may become hundreds
+                    yield _batch(rows)
+                    rows, size = [], 0
+        if rows:
             yield _batch(rows)
 
     return run
@@ -355,7 +384,10 @@ def merged(found: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def removals(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed byte ranges."""
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, the removed byte ranges, and the text that is left.
+
+    The hash is that of all bytes left; in `text` the halves of characters that a range cuts are left out.
+    """
     rows = identified(docs.select("doc_id", "text"))
     found = spans(rows.select("did", "key", "text"), length, keep)
 
@@ -365,21 +397,38 @@ def removals(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataF
             out = []
             for doc_id, text, got in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 body, runs = text.encode(), merged(got)
-                rest, at = hashlib.sha256(), 0
-                for a, b in runs:
-                    rest.update(body[at:a])
-                    at = b
-                rest.update(body[at:])
-                out.append((doc_id, len(body), sum(b - a for a, b in runs), len(runs), rest.hexdigest(), [{"begin": a, "end": b} for a, b in runs]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), kind), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
-
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<begin:int,end:int>>"
+                if runs:
+                    left = b"".join(body[a:b] for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(body)], strict=True))
+                    digest, text = hashlib.sha256(left).hexdigest(), without(body, runs)
+                else:
+                    digest = hashlib.sha256(body).hexdigest()
+                out.append((doc_id, len(body), sum(b - a for a, b in runs), len(runs), digest, [{"begin": a, "end": b} for a, b in runs], text))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), kind, pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "text"])
+
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<begin:int,end:int>>, text string"
     joined = rows.join(found, ["did", "key"], "left")
     return joined.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), "text", "spans").mapInArrow(run, schema)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
-    """The documents with repeated passages cut out of their texts (whole characters only); all columns stay."""
+def without(body: bytes, runs: list[tuple[int, int]], whole: bool = False) -> str:
+    """A text without byte ranges; the halves of characters that a range cuts go with it, or stay whole."""
+    kept, at = [], 0
+    for a, b in runs:
+        while whole and a < b and body[a] & 0xC0 == 0x80:
+            a += 1
+        while whole and a < b < len(body) and body[b] & 0xC0 == 0x80:
+            b -= 1
+        kept.append(body[at:a])
+        at = b
+    return b"".join([p.decode(errors="ignore").encode() for p in (*kept, body[at:])]).decode()
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", emptied: bool = True) -> DataFrame:
+    """The documents with repeated passages cut out of their texts (whole characters only); all columns stay.
+
+    Documents of which nothing is left stay with an empty text, or go where `emptied` is false; null texts and those that
+    were empty before stay in either case.
+    """
     rows = identified(docs)
     found = spans(rows.select("did", "key", "text"), length, keep)
 
@@ -387,25 +436,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first")
     def cut(text, got):  # noqa: ANN001
         import pandas as pd
 
-        out = []
-        for t, g in zip(text, got, strict=True):
-            if g is None or not len(g):
-                out.append(t)
-                continue
-            body = t.encode()
-            runs, kept, at = merged(list(g)), [], 0
-            for a, b in runs:
-                while a < b and body[a] & 0xC0 == 0x80:
-                    a += 1
-                while b > a and b < len(body) and body[b] & 0xC0 == 0x80:
-                    b -= 1
-                kept.append(body[at:a])
-                at = b
-            kept.append(body[at:])
-            out.append(b"".join(kept).decode())
-        return pd.Series(out)
+        return pd.Series([t if g is None or not len(g) else without(t.encode(), merged(list(g)), whole=True) for t, g in zip(text, got, strict=True)])
 
     joined = rows.join(found, ["did", "key"], "left")
     # a row without spans keeps its very text (null too)
     texts = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(cut("text", "spans"))
-    return joined.select(F.col("row").withField("text", texts).alias("row")).select("row.*")
+    joined = joined.select(F.col("row").withField("text", texts).alias("row"), F.col("spans").isNotNull().alias("cut"))
+    return (joined if emptied else joined.where("not cut or row.text <> ''")).select("row.*")

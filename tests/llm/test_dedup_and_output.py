@@ -185,6 +185,57 @@ def test_repeats_odd_rows(spark, docs_of):
     assert suffix_dedup.removals(docs_of([]), 400).count() == 0
 
 
+def test_factors_by_brute_force():
+    """Previous and next factors, up to a length, of every position of random texts."""
+    rng = np.random.default_rng(11)
+    for length in (1, 3, 8, 13):
+        text = rng.integers(0, 2, 120).astype(np.uint8) if length > 3 else rng.integers(0, 9, 60).astype(np.uint8)
+        raw = text.tobytes()
+        starts = np.arange(len(text) - length + 1)
+        order, ranks = suffix_dedup.equal_windows(text, starts, length)
+        previous, following = np.zeros(len(starts), int), np.zeros(len(starts), int)
+        previous[order] = suffix_dedup.previous_factors(order, ranks, length)
+        following[order] = suffix_dedup.next_factors(order, ranks, length)
+        at = lambda i: raw[i : i + length]
+        assert [p >= length for p in previous] == [any(at(j) == at(i) for j in range(i)) for i in starts]
+        assert [p >= length for p in following] == [any(at(j) == at(i) for j in range(i + 1, len(starts))) for i in starts]
+        if length > 3:
+            assert order.tolist() == sorted(order.tolist(), key=lambda i: (at(i), i)) and previous.any() and not previous.all()
+
+
+@pytest.mark.parametrize("most", [2, 3000])
+def test_repeated_rows_keep_their_first(spark, docs_of, monkeypatch, most):
+    """A row that occurs twice, beside others that share some of its passages: as the first holder it loses nothing."""
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    rng = np.random.default_rng(12)
+    prose = lambda n: "".join(rng.choice(list("abcdefg "), n))
+    one, two = prose(80), prose(80)
+    rows = [(1, one + prose(30) + two), (1, None), (2, prose(20) + one), (3, two + prose(25)), (3, one[:60] + prose(9)), (4, prose(200)), (6, one), (7, "")]
+    rows += [rows[0], rows[5]]
+    docs = docs_of(rows)
+    got = sorted(((r["doc_id"], r["text"]) for r in suffix_dedup.without_repeats(docs, 48).collect()), key=repr)
+    order = sorted({(i, t) for i, t in rows if t}, key=lambda r: r[0])
+    marks = {}
+    texts = [t.encode() for _, t in order]
+    for (i, t), own in zip(order, brute_removed(texts, 48, "first"), strict=True):
+        marks[i, t] = bytes(c for c, m in zip(t.encode(), own, strict=True) if not m).decode()
+    same = sorted(((i, marks.get((i, t), t)) for i, t in rows), key=repr)
+    assert [g for g in got if g[0] != 3] == [w for w in same if w[0] != 3]  # of document 3 the hash of the text decides which row is first
+    left = suffix_dedup.without_repeats(docs, 48, emptied=False)
+    assert left.where("doc_id = 6").count() == 0 and left.where("doc_id = 7 or text is null").count() == 2 and left.count() == len(rows) - 1
+
+
+def test_text_that_is_left(spark, docs_of):
+    rows = [(1, "é" * 30 + "abc" * 20), (2, "x" + "é" * 30), (3, None)]
+    for r in suffix_dedup.removals(docs_of(rows), 21).collect():
+        body = (dict(rows)[r["doc_id"]] or "").encode()
+        at, kept = 0, b""
+        for s in r["removed"]:
+            kept, at = kept + body[at : s["begin"]], s["end"]
+        kept += body[at:]
+        assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest() and r["text"] == kept.decode(errors="ignore")
+
+
 ODD_TEXTS = [None, "", "it's we'll DON'T", "naïve Éclair straße İstanbul", "日本語 テキスト", "á é", "<|endoftext|> x<|startoftext|>y", "tab\tand nbsp em", "x" * 3000, "1234 ½ ²³ ª", "Σίσυφος ΟΔΥΣΣΕΥΣ", "\n\n a\n", "don't\n'tis <b> ''s", "ŉ ſ ǅ", " lead trail "]
 
 
