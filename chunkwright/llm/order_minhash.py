@@ -5,19 +5,24 @@ labelled with its occurrence number, under its own random order and keeps them i
 sketches are equal share a bucket. Texts of up to `SHORT` shingles, whose sketches depend on their length, also
 share one for each shingle that both have among their rarest ones (an exact prefix filter): of those no pair of
 similarity `LEAST` is missed, nor is one of a text of up to 0.8 `SHORT` shingles and a longer one. In a bucket all members are compared with one leader, the member that meets
-most others over all sketches; members that fail are compared with each other: small remainders in one task, large ones under another leader until
-they are small, or have one class already, or few are outside their largest class; those few meet all others. 1 - similarity is
+most others over all sketches; members that fail are compared with each other: small remainders in one task. A remainder of
+more than `REST` members in several classes meets again, first by the exact prefix filter with the shingles' numbers in that remainder (so that
+what all its members share brings nobody together), then under further leaders; it is done when it is small, or has one class
+already, or few members are outside its largest class (those few meet all others), and after `ROUNDS` rounds what is left is compared block by
+block. The number of rounds is bounded, and a bucket loses no member to them. 1 - similarity is
 a metric, so that a member which fails can only be similar to a passed one if it has `2 * LEAST - 1` with their leader;
 such members meet the passed ones of their leader unless both are in one class by then. So no link that would join two classes
 of a bucket is missed. Links inside a class may be: those between two texts that passed with one leader, between a passed and a
-failed one, and in large remainders, where both were in one class already; `n_links` counts the verified ones.
+failed one, and in large remainders, where both were in one class already; `n_verified` counts those that were looked at.
 Leaders' members are spread over salts, and texts are compared with a leader one at a time.
 
 Verification aligns the labelled shingles of two texts inside a band around the diagonal: with m aligned, the
 similarity is m / (n1 + n2 - m), and pairs of `LEAST` or more are links. Classes are the components of links.
 
 Words are runs of other than ASCII white space, in lower case for ASCII and Latin-1 letters. Texts of one to
-four words are one shingle. Null is the empty text; empty texts are equal texts. Rows may repeat.
+four words are one shingle. Rows: null is the empty text; empty texts are equal texts, and so are all texts without words
+that have the same white space. Long texts are read whole. Rows may repeat: they are copies. An empty table gives no
+rows. `near_duplicates` reads doc_id and text alone, whatever other columns are called; `one_of_each` carries them all.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ WORDS, LEAST = 5, 0.8
 SKETCHES, ELL = 24, 6
 #: Members of a leader that one task compares; members that are left in a bucket and then compared in one task.
 SALT, REST = 500, 400
+#: Rounds of leaders in a bucket before what is left is compared block by block.
+ROUNDS = 8
 #: Shingles of a text up to which buckets are exact.
 SHORT = 25
 
@@ -122,14 +129,33 @@ def brief(col: pa.Array, most: int | None = None) -> list[np.ndarray]:
     return out
 
 
-def _prefixes(shorts: DataFrame, least: float) -> DataFrame:
-    """(cls, key): the rarest shingles of short texts (cls, own), as many as leave fewer than a similar text must share."""
-    rows = shorts.select("cls", F.explode("own").alias("shingle"))
-    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    ordered = rows.join(common, "shingle").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("own"))
+def _prefixes(rows: DataFrame, least: float, *group: str) -> DataFrame:
+    """(*group, cls, met_at): the rarest labelled shingles of texts (*group, cls, own), as many as leave fewer than a similar text must share.
+
+    Those that no other text of the group has are left out. Rarity is that among the texts of the same group. Two texts of a group with similarity `least` have such a shingle in common.
+    """
+    rows = rows.select(*group, "cls", F.explode("own").alias("shingle"))
+    common = rows.groupBy(*group, "shingle").agg(F.count(F.lit(1)).alias("n"))
+    ordered = rows.join(common, [*group, "shingle"]).groupBy(*group, "cls").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("own"))
     size = F.size("own")
     kept = F.slice("own", F.lit(1), size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1)
-    return ordered.select("cls", F.explode(kept).alias("x")).select("cls", F.xxhash64(F.lit("prefix"), "x.shingle").alias("key"))
+    rarest = ordered.select(*group, "cls", F.explode(kept).alias("x")).where("x.n > 1")
+    return rarest.select(*group, "cls", F.xxhash64(F.lit("prefix"), *group, "x.shingle").alias("met_at"))
+
+
+def _finer(large: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Members (key, cls, met) of large remainders in buckets of their rarest shingles instead."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 20):
+            lists = [s.view(np.int64) for s in _shingles_of(part.column(3))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(lists, pa.list_(pa.int64()))], ["key", "cls", "met", "own"])
+
+    rows = large.join(texts, "cls").select("key", "cls", "met", "text").mapInArrow(own, "key bigint, cls binary, met bigint, own array<bigint>")
+    rows = materialise(rows, "finer")
+    keys = _prefixes(rows.select("key", "cls", "own"), least, "key")
+    keys = keys.join(rows.select("key", "cls", "met"), ["key", "cls"]).select(F.col("met_at").alias("key"), "cls", "met")
+    return keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
@@ -276,7 +302,7 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     keys = docs.select("cls", "text").mapInArrow(sketch, "cls binary, keys array<bigint>, own array<bigint>")
     made = materialise(keys.groupBy("cls").agg(F.first("keys").alias("keys"), F.first("own").alias("own")), "sketches")
-    keys = made.select("cls", F.explode("keys").alias("key")).unionByName(materialise(_prefixes(made.where(F.size("own") > 0), least), "prefixes"))
+    keys = made.select("cls", F.explode("keys").alias("key")).unionByName(materialise(_prefixes(made.where(F.size("own") > 0), least).select("cls", F.col("met_at").alias("key")), "prefixes"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(keys.join(shared, "key"), "members")
     met = members.groupBy("cls").agg(F.sum("n").alias("met"))
@@ -288,7 +314,7 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     texts = materialise(texts, "texts").dropDuplicates(["cls"])
     found = spark.createDataFrame([], "cls binary, lead binary")
     tried = spark.createDataFrame([], "cls binary, lead binary, sim double")
-    while True:
+    for turn in range(ROUNDS):
         lead = active.groupBy("key").agg(F.max(F.struct("met", "cls")).getField("cls").alias("lead"))
         led = active.join(lead, "key").where("cls <> lead")
         pairs = led.select("cls", "lead").distinct()
@@ -308,33 +334,38 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
         few = large.where((F.col("open") > 0) & (F.col("open") <= REST))
         sides = few.select(F.col("key").alias("grp"), "cls", "root", F.explode(F.when(F.col("root") == F.col("top"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("role"))
         found = materialise(found.unionByName(_across(sides.withColumn("sim", F.lit(None).cast("double")), texts, least)), "found")
-        active = materialise(large.where(F.col("open") > REST).select("key", "cls", "met"), "active")
+        large = large.where(F.col("open") > REST).select("key", "cls", "met")
+        active = materialise(_finer(large, texts, least) if not turn else large, "active")
         if active.isEmpty():
             break
+    else:
+        roots = active.join(_roots(found, "cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        sides = roots.select(F.col("key").alias("grp"), "cls", "root", F.explode(F.array(F.lit(0), F.lit(1))).alias("role"), F.lit(None).cast("double").alias("sim"))
+        found = materialise(found.unionByName(_across(sides, texts, least)), "found")
     more = _missed(tried, found, texts, least)
     return found.distinct() if more is None else materialise(found.unionByName(more).distinct(), "found")
 
 
 def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, cls): whole rows with their text's hash; and (cls, least doc_id, n_copies, n_links, root) of each text."""
+    """(row, doc_id, cls): whole rows with their text's hash; and (cls, least doc_id, n_copies, n_verified, root) of each text."""
     rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(F.coalesce("row.text", F.lit("")))).alias("cls"))
     texts = rows.select("doc_id", F.coalesce("row.text", F.lit("")).alias("text"), "cls")
     found = links(texts, least)
     both = found.select(F.col("cls").alias("node"), F.col("lead").alias("other")).unionByName(found.select(F.col("lead").alias("node"), F.col("cls").alias("other"))).distinct()
-    degree = both.groupBy(F.col("node").alias("cls")).agg(F.count(F.lit(1)).alias("n_links"))
+    degree = both.groupBy(F.col("node").alias("cls")).agg(F.count(F.lit(1)).alias("n_verified"))
     roots = components(found, "cls", "lead").withColumnRenamed("node", "cls")
     copies = texts.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
     known = copies.join(roots, "cls", "left").join(degree, "cls", "left")
-    known = known.select("cls", "least", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("root", "cls").alias("root"))
+    known = known.select("cls", "least", "n_copies", F.coalesce("n_verified", F.lit(0)).cast("bigint").alias("n_verified"), F.coalesce("root", "cls").alias("root"))
     return rows, materialise(known, "known")
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """Per document: doc_id, class_id (least doc_id of its class), n_links (other texts its text is linked with), n_copies (rows with its very text)."""
+    """Per document: doc_id, class_id (least doc_id of its class), n_verified (links of its text that were verified), n_copies (rows with its very text)."""
     rows, known = _classes(docs.select("doc_id", "text"), least)
     heads = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    labelled = known.join(heads, "root").select("cls", "class_id", "n_links", "n_copies")
-    return rows.select("doc_id", "cls").join(labelled, "cls").select("doc_id", "class_id", "n_links", "n_copies")
+    labelled = known.join(heads, "root").select("cls", "class_id", "n_verified", "n_copies")
+    return rows.select("doc_id", "cls").join(labelled, "cls").select("doc_id", "class_id", "n_verified", "n_copies")
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:

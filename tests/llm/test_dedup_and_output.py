@@ -56,7 +56,7 @@ def test_near_duplicates(spark, docs_of, monkeypatch):
     got = {r["doc_id"]: r for r in order_minhash.near_duplicates(docs_of(rows)).collect()}
     for i, _ in rows:
         assert got[i]["class_id"] == (i // 10 * 10 if i < 1000 else i)
-    assert got[0]["n_copies"] == 2 and got[1]["n_links"] >= 1 and got[1000]["n_links"] == 0
+    assert got[0]["n_copies"] == 2 and got[1]["n_verified"] >= 1 and got[1000]["n_verified"] == 0
     kept = order_minhash.one_of_each(docs_of(rows))
     assert kept.columns == docs_of(rows).columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["class_id"] for r in got.values()})
@@ -110,10 +110,11 @@ def test_short_texts_are_exact(spark, docs_of):
     assert {i: got[i] for i in brief} == {i: want[i] for i in brief}
 
 
-@pytest.mark.parametrize("rest", [0, 6, 200])
-def test_links_through_passed_members(spark, docs_of, monkeypatch, rest):
+@pytest.mark.parametrize("rest, rounds", [(0, 8), (0, 1), (0, 2), (6, 8), (200, 8)])
+def test_links_through_passed_members(spark, docs_of, monkeypatch, rest, rounds):
     """Chains in one bucket whose ends are similar to the middle only: every leader leaves a link behind it."""
     monkeypatch.setattr(order_minhash, "REST", rest)
+    monkeypatch.setattr(order_minhash, "ROUNDS", rounds)
     monkeypatch.setattr(order_minhash, "SALT", 3)
     monkeypatch.setattr(order_minhash, "SHORT", 0)
     monkeypatch.setattr(order_minhash, "sketches", lambda col, count=1, ell=1: [np.array([7], np.int64) for _ in range(len(col))])
@@ -127,6 +128,48 @@ def test_links_through_passed_members(spark, docs_of, monkeypatch, rest):
     assert {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs_of(rows)).collect()} == want
 
 
+def test_recall_against_all_pairs(spark, docs_of):
+    """Many pairs of every similarity from 0.6 on, most of longer texts: those of 0.8 or more are in one class, the others apart."""
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows = []
+    for _ in range(400):
+        own = [word() for _ in range(int(rng.integers(20, 250)))]
+        other = list(own)
+        for at in sorted(rng.integers(0, len(own), max(1, int(len(own) * rng.uniform(0.005, 0.05)))), reverse=True):
+            kind = rng.integers(3)
+            other[at : at + (kind != 0)] = [] if kind == 1 else [word()]  # a word more, one less, or another one
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(other))]
+    lists = order_minhash._shingles_of(pa.array([t for _, t in rows]))
+    similarity = [order_minhash.aligned(lists[k], lists[k + 1], 0.5) for k in range(0, len(rows), 2)]
+    near = [k for k, s in enumerate(similarity) if s >= 0.8]
+    assert len(near) > 100 and sum(0.8 <= s < 0.85 for s in similarity) > 25 and len(near) < 390
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs_of(rows)).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in near) >= 0.995 * len(near)
+    assert all(got[2 * k + 1] == 2 * k + 1 for k, s in enumerate(similarity) if s < 0.8) and all(got[2 * k] == 2 * k for k in range(400))
+
+
+def test_unlike_members_of_one_bucket(spark, docs_of, monkeypatch):
+    """Texts of one template that share most of what a sketch sees, but no pair is similar save a few: rounds stay few, links stay."""
+    monkeypatch.setattr(order_minhash, "REST", 10)
+    monkeypatch.setattr(order_minhash, "SHORT", 0)
+    monkeypatch.setattr(order_minhash, "sketches", lambda col, count=1, ell=1: [np.array([7], np.int64) for _ in range(len(col))])
+    seen = []
+    verify = order_minhash._verify
+    monkeypatch.setattr(order_minhash, "_verify", lambda *a: seen.append(1) or verify(*a))
+    rng = np.random.default_rng(14)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    common = [word() for _ in range(50)]
+    rows = []
+    for k in range(150):
+        own = [word() for _ in range(60)]
+        rows.append((k, " ".join(common + own)))
+        if k % 10 == 0:
+            rows.append((1000 + k, " ".join(common + own[:-1] + ["end"])))
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs_of(rows)).collect()}
+    assert got == {i: i % 1000 for i, _ in rows} and len(seen) <= 3
+
+
 def test_aligned():
     a = np.arange(100, dtype=np.uint64)
     assert order_minhash.aligned(a, a) == 1

@@ -15,7 +15,7 @@ COLUMNS = {
     "op5_token_tables": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op6_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op7_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
-    "op8_order_minhash": "doc_id bigint, class_id bigint, n_links bigint",
+    "op8_order_minhash": "doc_id bigint, class_id bigint, n_verified bigint",
     "op9_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op10_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
 }
