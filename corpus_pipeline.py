@@ -1,4 +1,8 @@
-"""A corpus pipeline over documents: toxicity, near-duplicates, repeated passages, contamination, packing."""
+"""A corpus pipeline over documents: toxicity, near-duplicates, repeated passages, contamination, packing.
+
+Rows: null, empty and very long texts, null and repeated identifiers, and columns of any other name pass through the stages as their
+operators state; of equal texts (null and empty are equal) one row stays. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -25,8 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of passages are cut out; documents of which nothing is left go."""
-    rest = suffix_dedup.without_repeats(docs, PASSAGE_BYTES, "first").where("text <> ''")
+    """Later copies of passages are cut out; documents of which nothing is left by that go."""
+    rest = suffix_dedup.without_repeats(docs, PASSAGE_BYTES, "first", emptied=False)
     return rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rest
 
 
@@ -48,7 +52,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express these stages; tests hold them against brute force.
+#: SQL can't express these stages; tests hold the rows of `run` against brute force.
 ORACLE_SQL = None
 
 
