@@ -12,7 +12,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of a link; root is the least node of its component.
 
     Edges stay in tables; each step is one aggregation and one join, and edges shrink to stars, so no task
-    holds a component and no step makes more edges than twice the input.
+    holds a component and no step makes more edges than twice the input. A node with very many links is a large key of a
+    sort-merge join whose both sides are plain exchanges, which Spark splits by size.
+
+    Rows: repeated links, links of either direction and links of a node with itself are allowed, and null ends meet nothing;
+    no links give no rows. Other columns are not read.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")

@@ -9,7 +9,10 @@ aligned locally with the window (words equal: +2, different: -1, gap: -1); score
 The items are held in memory by every task, `CHUNK_BYTES` of them at a time; a larger benchmark takes several
 passes over the documents. Per pass, text is scanned twice: once for frequencies, once for hits.
 
-Rows: null and empty texts and items match nothing. Repeated rows each get their own hits; a null doc_id stays null.
+Rows: null and empty texts and items match nothing; long texts are searched whole, and only windows around seeds are
+aligned. Repeated rows each get their own hits, and repeated items theirs; a null doc_id stays null. Of ties the earliest
+passage is given. An empty table gives no rows (an empty benchmark leaves all documents clean). `contaminated` reads doc_id and text
+alone, whatever other columns are called; `clean` carries them all.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ File format (all integers little-endian unless said otherwise)
 A key is 12 bytes, big-endian, so that byte order is document order: identifier with the sign bit flipped
 (8 bytes), then a running number for rows that share an identifier (4 bytes). A value is the row's ids.
 
-Rows: a null text has only the end id. Rows with a null identifier come first, under the lowest key with flag 0
+Rows: a null text has only the end id; a long one is one entry, and its block is as long as it. An empty table gives no
+shards and no rows. Only doc_id and text are read, whatever other columns are called. Rows with a null identifier come first, under the lowest key with flag 0
 in the running number's top bit. Repeated identifiers keep all their rows,
 ordered by a hash of the text, then the text; many rows of one identifier may fill several shards.
 """
