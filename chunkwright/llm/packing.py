@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capac
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 4 << 20):
             coder = coder or WordEncoder(tokenizer)
             ids, offsets = coder.encode(part.column(1))
             raw = ids.astype("<u4").tobytes()

@@ -183,7 +183,7 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
         coder, table, sink = None, None, None
         name, last, turn = "", None, -1
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 4 << 20):
             if table is None:
                 coder = WordEncoder(tokenizer)
                 store, path = filesystem(folder)
