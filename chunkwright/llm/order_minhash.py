@@ -6,10 +6,10 @@ sketches are equal share a bucket. Texts of up to `SHORT` shingles, whose sketch
 share one for each shingle that both have among their rarest ones (an exact prefix filter): of those no pair of
 similarity `LEAST` is missed, nor is one of a text of up to 0.8 `SHORT` shingles and a longer one. In a bucket all members are compared with one leader, the member that meets
 most others over all sketches; members that fail are compared with each other: small remainders in one task. A remainder of
-more than `REST` members in several classes meets again, first by the exact prefix filter with the shingles' numbers in that remainder (so that
-what all its members share brings nobody together), then under further leaders; it is done when it is small, or has one class
-already, or few members are outside its largest class (those few meet all others), and after `ROUNDS` rounds what is left is compared block by
-block. The number of rounds is bounded, and a bucket loses no member to them. 1 - similarity is
+more than `REST` members meets again under another leader; it is done when it is small, or has one class
+already, or few members are outside its largest class (those few meet all others). What is left after `LEADERS` rounds is dealt again by the
+exact prefix filter, with the shingles' numbers in that remainder, so that what all its members share brings nobody together; and what is left after
+as many rounds more is compared block by block. The number of rounds is bounded, and a bucket loses no member to them. 1 - similarity is
 a metric, so that a member which fails can only be similar to a passed one if it has `2 * LEAST - 1` with their leader;
 such members meet the passed ones of their leader unless both are in one class by then. So no link that would join two classes
 of a bucket is missed. Links inside a class may be: those between two texts that passed with one leader, between a passed and a
@@ -41,8 +41,8 @@ WORDS, LEAST = 5, 0.8
 SKETCHES, ELL = 24, 6
 #: Members of a leader that one task compares; members that are left in a bucket and then compared in one task.
 SALT, REST = 500, 400
-#: Rounds of leaders in a bucket before what is left is compared block by block.
-ROUNDS = 8
+#: Rounds of leaders in a bucket before what is left is dealt again by its rarest shingles, and then before it is compared block by block.
+LEADERS = 4
 #: Shingles of a text up to which buckets are exact.
 SHORT = 25
 
@@ -314,7 +314,7 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     texts = materialise(texts, "texts").dropDuplicates(["cls"])
     found = spark.createDataFrame([], "cls binary, lead binary")
     tried = spark.createDataFrame([], "cls binary, lead binary, sim double")
-    for turn in range(ROUNDS):
+    for turn in range(2 * LEADERS):
         lead = active.groupBy("key").agg(F.max(F.struct("met", "cls")).getField("cls").alias("lead"))
         led = active.join(lead, "key").where("cls <> lead")
         pairs = led.select("cls", "lead").distinct()
@@ -335,7 +335,7 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
         sides = few.select(F.col("key").alias("grp"), "cls", "root", F.explode(F.when(F.col("root") == F.col("top"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("role"))
         found = materialise(found.unionByName(_across(sides.withColumn("sim", F.lit(None).cast("double")), texts, least)), "found")
         large = large.where(F.col("open") > REST).select("key", "cls", "met")
-        active = materialise(_finer(large, texts, least) if not turn else large, "active")
+        active = materialise(_finer(large, texts, least) if turn == LEADERS - 1 else large, "active")
         if active.isEmpty():
             break
     else:
