@@ -15,20 +15,29 @@ def band_attention(rows: DataFrame, group: str, t: str, features: str, tau: floa
     """Adds `local`: summed cosine with the rows at most `band` away (itself included), decayed by distance.
 
     Rows meet over buckets of the band's width: each row is sent to its own bucket and both neighbours as a
-    partner, so that a long group is spread over tasks and only rows in reach meet.
+    partner, so that a long group is spread over tasks and only rows in reach meet. Rows at one time that agree in all
+    columns are one row with a count, which comes back as many; rows that differ anywhere keep sums of their own. Rows
+    with a null group, time or feature array meet nothing, themselves neither, and are left out.
     """
-    unit = rows.withColumn("_unit", l2_normalise(features)).withColumn("_b", F.floor(F.col(t) / band).cast("bigint"))
-    other = unit.select(group, F.col(t).alias("_t2"), F.col("_unit").alias("_u2"), F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_b"))
+    # what tells rows of one time apart
+    counted = rows.where(F.col(group).isNotNull() & F.col(t).isNotNull() & F.col(features).isNotNull()).groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    counted = counted.withColumn("_k", F.xxhash64(*rows.columns))
+    unit = counted.select(group, t, "_k", "_copies", l2_normalise(features).alias("_unit"), F.floor(F.col(t) / band).cast("bigint").alias("_b"))
+    other = unit.select(group, F.col(t).alias("_t2"), F.col("_unit").alias("_u2"), F.col("_copies").alias("_c2"), F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_b"))
     met = unit.join(other, [group, "_b"]).where(F.abs(F.col(t) - F.col("_t2")) <= band)
-    weight = dot("_unit", "_u2") * F.exp(-F.abs(F.col(t) - F.col("_t2")) / F.lit(tau))
-    sums = met.groupBy(group, t).agg(F.sum(weight).alias("local"))
-    return rows.join(sums, [group, t])
+    weight = F.col("_c2") * dot("_unit", "_u2") * F.exp(-F.abs(F.col(t) - F.col("_t2")) / F.lit(tau))
+    sums = met.groupBy(group, t, "_k").agg(F.sum(weight).alias("local"))
+    again = counted.join(sums, [group, t, "_k"]).withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+    return again.select(*rows.columns, "local")
 
 
 def anchors(rows: DataFrame, group: str, t: str, score: str, features: str) -> DataFrame:
-    """Three anchor rows per group: the best of the first 15 % (or the row after them if all are weak), the middle, the last."""
+    """Three anchor rows per group: the best of the first 15 % (or the row after them if all are weak), the middle, the last.
+
+    Rows at one time go by score, then by features.
+    """
     w = Window.partitionBy(group)
-    placed = rows.withColumn("_i", F.row_number().over(w.orderBy(t)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    placed = rows.withColumn("_i", F.row_number().over(w.orderBy(t, score, features)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
     head = F.greatest(F.lit(1), F.floor(F.col("_n") * 0.15).cast("int"))
     placed = placed.withColumn("_head", head)
     best = F.max(F.when(F.col("_i") < F.col("_head"), F.col(score))).over(w)

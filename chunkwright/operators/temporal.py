@@ -114,21 +114,24 @@ def precision_recall(overlaps: DataFrame) -> DataFrame:
 
 
 def running_budget(rows: DataFrame, order: str, size: str, budget: float, buckets: int = 64) -> DataFrame:
-    """Rows in order as long as the sizes before them stay below a budget.
+    """Rows in order as long as the sizes before them stay below a budget; adds `before`.
 
     The running sum is taken in two levels (within ranges of the order, then over range totals), so that no
-    task sees all rows.
+    task sees all rows; the ranges hold about as many rows each. Rows with a null order come first; rows of one order
+    count one after the other by size, then by their other columns. A null size is 0.
     """
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return rows.withColumn("before", F.lit(0).cast("bigint"))
-    width = max(1, -(-(high - low + 1) // buckets))
-    cut = rows.withColumn("_range", F.floor((F.col(order) - low) / width))
-    totals = cut.groupBy("_range").agg(F.sum(size).alias("_total"))
+    width = F.coalesce(F.col(size), F.lit(0))
+    rest = sorted(c for c in rows.columns if c not in (order, size))
+    cuts = rows.where(F.col(order).isNotNull()).agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
+    place = F.lit(0)
+    for c in sorted(set(cuts)):
+        place = place + (F.col(order) >= F.lit(c)).cast("int")
+    cut = rows.withColumn("_range", F.coalesce(place, F.lit(-1)))
+    totals = cut.groupBy("_range").agg(F.sum(width).alias("_total"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))  # one row per range
-    own = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = cut.join(F.broadcast(bases), "_range").withColumn("before", F.col("_base") + F.coalesce(F.sum(size).over(own), F.lit(0)))
+    own = Window.partitionBy("_range").orderBy(F.asc_nulls_first(order), width, *rest).rowsBetween(Window.unboundedPreceding, -1)
+    summed = cut.join(F.broadcast(bases), "_range").withColumn("before", F.col("_base") + F.coalesce(F.sum(width).over(own), F.lit(0)))
     return summed.where(F.col("before") < budget).drop("_range", "_base")
 
 

@@ -16,11 +16,30 @@ from pyspark.sql import functions as F
 from chunkwright.functions import scalar as S
 from chunkwright.operators import attention, features, relevance, temporal, text
 from chunkwright.operators.evaluate import evaluate
+from chunkwright.sources.files import (
+    caption_arrays,
+    caption_document,
+    caption_rows,
+    caption_table,
+    committed,
+    corpus_lines,
+    headered_csv,
+    heatmap,
+    json_lines,
+    missing_from,
+    scratch,
+    with_captions,
+    write_csv,
+    write_document,
+    write_parquet,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 CHUNK, BRIDGE = 43200.0, 3600.0
+#: Seconds of a recording for each of its segments.
+PER = 432000.0
 FLOOR = 20.0
 
 
@@ -182,9 +201,10 @@ def semi_selected(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", "c_name").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 200000)")
 def anti_existing(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", "c_name").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 200000")
+    return missing_from(table(spark, sf, "customer").select("c_custkey", "c_name"), urgent.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT user_id, event_type FROM events WHERE event_type IS NOT NULL UNION SELECT user_id, 'any' FROM events")
@@ -193,11 +213,21 @@ def union_all_distinct(spark, sf):
     return rows.where("event_type is not null").select("user_id", "event_type").unionByName(rows.select("user_id", F.lit("any").alias("event_type"))).distinct()
 
 
-@query("SELECT n_nationkey, r_name FROM nation JOIN region ON n_name LIKE '%' || substr(r_name, 1, 2) || '%'")
+@query("SELECT page_id, r_name FROM pages JOIN region ON regexp_matches(url, '(?i)[./]\\w*' || substr(r_name, 1, 2) || '\\w+[.]')")
 def pattern_join(spark, sf):
-    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    region = table(spark, sf, "region").select("r_name", F.concat(F.lit(r"(?i)[./]\w*"), F.substring("r_name", 1, 2), F.lit(r"\w+[.]")).alias("pattern"))
     # a pattern that data supply has no key to join on; the right side is the region table, five rows at every scale
-    return nation.join(F.broadcast(region), F.col("n_name").contains(F.substring("r_name", 1, 2))).select("n_nationkey", "r_name")
+    return table(spark, sf, "pages").join(F.broadcast(region), F.expr("url rlike pattern")).select("page_id", "r_name")
+
+
+@query("SELECT conv_id, n_nationkey, turns FROM (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1) JOIN nation ON conv_id = n_nationkey")
+def manifest_captions(spark, sf):
+    """Manifest rows (nations) that have captions (conversations), by way of a caption document."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    pieces = turns.select(F.col("conv_id").cast("string").alias("video_id"), F.transform("x", lambda p: F.struct(p["text"].alias("text"), p["turn"].cast("double").alias("start"), F.lit(1.0).alias("duration"))).alias("pieces"))
+    wanted = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("video_id"), "n_nationkey")
+    joined = with_captions(wanted, caption_arrays(pieces))
+    return joined.select(F.col("video_id").cast("bigint").alias("conv_id"), "n_nationkey", F.size("text").cast("bigint").alias("turns"))
 
 
 # time
@@ -255,11 +285,13 @@ def island_merge(spark, sf):
     return _segments(spark, sf)
 
 
-_CAPPED = f"""{_ISLANDS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY end_time - start_time DESC, start_time) AS p FROM m), capped AS (SELECT user_id, start_time, end_time FROM r WHERE p <= 3)"""
+_CAPPED = f"""{_ISLANDS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY end_time - start_time DESC, start_time) AS p FROM m), dur AS (SELECT user_id, max(t) - min(t) AS total FROM c GROUP BY 1),
+ capped AS (SELECT user_id, start_time, end_time FROM r JOIN dur USING (user_id) WHERE p <= greatest(3, floor(total / {PER})::INT))"""
 
 
 def _capped(spark, sf):
-    return temporal.cap_segments(_segments(spark, sf).withColumn("total", F.lit(0.0)), "user_id", "total").select("user_id", "start_time", "end_time")
+    spans = chunks(spark, sf).groupBy("user_id").agg((F.max("t") - F.min("t")).alias("total"))
+    return temporal.cap_segments(_segments(spark, sf).join(spans, "user_id"), "user_id", "total", per=PER).select("user_id", "start_time", "end_time")
 
 
 @query(f"WITH {_CAPPED} SELECT user_id, start_time, end_time FROM capped")
@@ -351,6 +383,15 @@ _ANCHOR = f"""{_UNIT}, pl AS (SELECT *, row_number() OVER (PARTITION BY label OR
  an AS (SELECT label, t, n, (i = peak)::int + (i = cnt // 2)::int + (i = cnt - 1)::int AS hits FROM pk)"""
 
 
+@query(f"""WITH v AS (SELECT user_id, t, sin_, cos_ FROM (SELECT user_id, floor({_SECONDS} / 3600) * 30 AS t, (value % 7)::double + 1 AS sin_, (event_id % 5)::double + 1 AS cos_ FROM events)),
+ u AS (SELECT user_id, t, [sin_ / (sqrt(sin_ * sin_ + cos_ * cos_) + 1e-10), cos_ / (sqrt(sin_ * sin_ + cos_ * cos_) + 1e-10)] AS n FROM v)
+ SELECT user_id, t, round(l, 6) AS local FROM (SELECT a.user_id, a.t, a.k, sum(list_dot_product(a.n, b.n) * exp(-abs(a.t - b.t) / 45)) AS l FROM (SELECT *, row_number() OVER () AS k FROM u) a JOIN u b ON a.user_id = b.user_id AND abs(a.t - b.t) <= 90 GROUP BY 1, 2, 3)""")
+def band_attention_ties(spark, sf):
+    """Hours of events, many of one user in an hour: each row keeps a sum of its own."""
+    rows = table(spark, sf, "events").select("user_id", (F.floor(S.seconds_since("ts") / 3600) * 30).cast("double").alias("t"), F.array((F.col("value") % 7).cast("double") + 1, (F.col("event_id") % 5).cast("double") + 1).alias("v"))
+    return rounded(attention.band_attention(rows, "user_id", "t", "v").select("user_id", "t", "local"), "local")
+
+
 @query(f"WITH {_ANCHOR} SELECT label, t, hits FROM an WHERE hits > 0")
 def anchor_rows(spark, sf):
     return attention.anchors(vectors(spark, sf), "label", "t", "score", "embedding").select("label", "t", "hits")
@@ -408,7 +449,7 @@ def sentence_split(spark, sf):
 
 @query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) > 2 AND word NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ") GROUP BY 1")
 def word_tokens(spark, sf):
-    return table(spark, sf, "documents").select(F.explode(text.content_words(text.words_of("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return text.content_word_counts(table(spark, sf, "documents"), "text")
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -432,15 +473,25 @@ def extractive_summary_documents(spark, sf):
     return text.extractive_summary(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("WITH a AS (SELECT text, unnest(range(1, length(text))) AS i FROM documents WHERE lang = 'en' AND length(text) = strlen(text)) SELECT ascii(substr(text, i, 1)) AS left, ascii(substr(text, i + 1, 1)) AS right, count(*) AS n FROM a GROUP BY 1, 2")
+_DIGIT = "(strpos('0123456789ABCDEF', substr(p, {}, 1)) - 1)"
+_BYTES = f"""a AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, h, unnest(range(1, length(h) - 2, 2)) AS i FROM a), q AS (SELECT doc_id, i, substr(h, i, 4) AS p FROM b),
+ g AS (SELECT p, count(*) AS n, min((doc_id, i)) AS first FROM q GROUP BY 1), r AS (SELECT ({_DIGIT.format(1)} * 16 + {_DIGIT.format(2)})::INT AS "left", ({_DIGIT.format(3)} * 16 + {_DIGIT.format(4)})::INT AS "right", n, first FROM g)"""
+
+
+@query(f'WITH {_BYTES} SELECT "left", "right", n FROM r')
 def bpe_pair_counts(spark, sf):
-    rows = table(spark, sf, "documents").where((F.col("lang") == "en") & (F.length("text") == F.octet_length("text")))
-    return text.pair_counts(rows, "doc_id", "text")
+    return text.pair_counts(table(spark, sf, "documents"), "text")
+
+
+@query(f'WITH {_BYTES} SELECT "left", "right", n FROM r ORDER BY n DESC, first LIMIT 1')
+def bpe_best_pair(spark, sf):
+    return text.most_frequent_pair(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query()
-def bpe_pair_counts_all(spark, sf):
-    return text.pair_counts(table(spark, sf, "documents"), "doc_id", "text")
+def training_pairs(spark, sf):
+    merges = text.train_bpe(table(spark, sf, "benchmark"), "item_id", "text", 300)
+    return text.training_pairs(table(spark, sf, "benchmark"), "item_id", "text", merges)
 
 
 @query()
@@ -508,3 +559,70 @@ def distinct_values(spark, sf):
 @query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20")
 def preview_top(spark, sf):
     return table(spark, sf, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(20)
+
+
+@query(f"SELECT event_type || '.mp4' AS file, {_SECONDS} AS start_time, {_SECONDS} + 2.5::double AS grab_at, event_type || '_' || CAST(floor({_SECONDS}) AS INT) || '.jpg' AS image_name FROM events WHERE event_type IS NOT NULL")
+def frame_requests(spark, sf):
+    rows = table(spark, sf, "events").where("event_type is not null")
+    return features.frame_requests(rows.select(F.concat("event_type", F.lit(".wav")).alias("file"), S.seconds_since("ts").alias("start_time")))
+
+
+@query("SELECT label, vec_id, dim, embedding[dim + 1]::double AS value FROM (SELECT label, vec_id, embedding, unnest(range(len(embedding))) AS dim FROM embeddings)")
+def heatmap_rows(spark, sf):
+    rows = heatmap(table(spark, sf, "embeddings"), "label", "vec_id", "embedding")
+    return rows.select("label", "vec_id", F.col("dim").cast("bigint").alias("dim"), F.col("value").cast("double").alias("value"))
+
+
+@query(f"SELECT user_id, {_SECONDS} AS t, value FROM events ORDER BY user_id, t, value")
+def two_key_sort(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", S.seconds_since("ts").cast("string").alias("t"), "value")
+    return rows.select("user_id", S.as_double("t").alias("t"), "value").orderBy("user_id", "t", "value")
+
+
+@query("SELECT l_returnflag, l_linestatus, round_even(round(avg(l_quantity), 9), 2) AS mean, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def grouped_display(spark, sf):
+    shown = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.bround(F.round(F.avg("l_quantity"), 9), 2).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return shown.orderBy("l_returnflag", "l_linestatus")
+
+
+# readers and writers: a table goes through a file format and comes back
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def csv_round_trip(spark, sf):
+    path = scratch(spark)
+    write_csv(table(spark, sf, "conversations"), path)
+    return headered_csv(spark, path, "conv_id bigint, turn bigint, role string, text string")
+
+
+@query("SELECT label, vec_id, embedding FROM embeddings")
+def json_round_trip(spark, sf):
+    path = scratch(spark)
+    table(spark, sf, "embeddings").write.json(path)
+    return json_lines(spark, path, "label int, vec_id bigint, embedding array<float>")
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+def partitioned_round_trip(spark, sf):
+    path = scratch(spark)
+    write_parquet(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), path, ["o_orderpriority"])
+    return committed(spark, path, lambda: spark.read.parquet(path)).select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+@query("SELECT n_name AS video_id, string_agg(c_name, ' ' ORDER BY c_custkey) AS caption_text, 1 AS has_caption, min(c_custkey)::double AS start_time, max(c_custkey + 1)::double AS end_time FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
+def caption_round_trip(spark, sf):
+    """Captions (customers of a nation) through a JSON document of parallel arrays."""
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
+    one = F.struct(F.col("c_custkey").cast("double").alias("start"), F.col("c_name").alias("text"), F.lit(1.0).alias("duration"))
+    pieces = rows.groupBy(F.col("n_name").alias("video_id")).agg(F.sort_array(F.collect_list(one)).alias("pieces"))
+    path = scratch(spark)
+    write_document(caption_document(caption_arrays(pieces)), path)
+    return caption_table(caption_rows(spark, path))
+
+
+@query("SELECT text AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM benchmark) GROUP BY 1")
+def text_lines(spark, sf):
+    """A plain-text corpus, read line by line."""
+    path = scratch(spark)
+    table(spark, sf, "benchmark").select("text").write.text(path)
+    return corpus_lines(spark, path).groupBy("line").agg(F.count(F.lit(1)).alias("n"))

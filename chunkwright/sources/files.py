@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,11 +81,40 @@ def caption_arrays(rows: DataFrame) -> DataFrame:
 
 
 def caption_document(rows: DataFrame) -> DataFrame:
-    """One row: captions by video as a JSON document."""
+    """One row: captions by video as a JSON document. The format is one object, so one task holds them all: for manifests of up to a few million captions."""
     entry = F.struct("video_id", F.struct("text", "start", "end"))
     return rows.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("value"))
 
 
+def with_captions(wanted: DataFrame, captions: DataFrame, key: str = "video_id") -> DataFrame:
+    """Manifest rows that have captions, with these; a manifest row without any is left out."""
+    return wanted.join(captions, key)
+
+
+def corpus_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line): the lines of plain-text files, one row each."""
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share, for files that are read back."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="chunkwright-")  # one machine, as in tests
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def committed(spark: SparkSession, path: str, read):  # noqa: ANN001, ANN201
+    """What `read()` gives, if the writer of the folder came to its end (its marker is there); else an error."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
+        raise FileNotFoundError(f"{path} has no commit marker")
+    return read()
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     return headered_csv(spark, path, MANIFEST)
 
@@ -103,12 +136,12 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """Headered CSV; in one part where a single file is wanted."""
+    """Headered CSV; in one part where a single file is wanted (then one task writes all rows: for reports, not for tables that grow)."""
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def write_document(df: DataFrame, path: str) -> None:
-    """One-row documents as text."""
+    """One-row documents as text, by one task."""
     df.coalesce(1).write.mode("overwrite").text(path)
 
 

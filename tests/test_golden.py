@@ -194,6 +194,156 @@ def test_sampling_rules():
     assert np.allclose(masked[0], x[0])
 
 
+def test_begin_mark_is_penalised_once_something_follows():
+    seen = []
+
+    class Watch(np.random.Generator):
+        def choice(self, best, p):
+            seen.append(dict(zip(best.tolist(), p, strict=True)))
+            return best[0]
+
+    logits = np.zeros(260)
+    rng = Watch(np.random.PCG64(0))
+    models.sample_next(logits, [], 0, rng, top=260)
+    models.sample_next(logits, [258], 1, rng, top=260)
+    assert seen[0][258] == seen[0][0] and seen[1][258] == pytest.approx(seen[1][0] * np.exp(-2 / 0.9))
+    asked = []
+    real, models.sample_next = models.sample_next, lambda z, recent, step, rng, end: asked.append(list(recent)) or 7
+    try:
+        models.generate(lambda ids: logits, most=3)
+    finally:
+        models.sample_next = real
+    assert asked == [[], [258, 7], [258, 7, 7]]
+
+
+def test_sequence_model():
+    config = models.ModelConfig(vocab_size=270, max_seq_len=40, width=16, heads=4, layers=2, inner=24)
+    model = models.Seq2Seq.random(config)
+    source, target = [258, 5, 6, 7, 259], [258, 9, 10, 11]
+    memory = model.encode(source)
+    whole = model.decode(target, memory, source)
+    assert memory.shape == (5, 16) and whole.shape == (4, 270)
+    # a place sees nothing behind it, and padding changes nothing before it
+    assert np.allclose(model.decode(target[:2], memory, source), whole[:2])
+    padded = source + [256] * 3
+    assert np.allclose(model.encode(padded)[:5], memory) and np.allclose(model.decode(target, model.encode(padded), padded), whole)
+    assert np.allclose(memory.mean(-1), 0, atol=1e-9) and np.allclose(memory.std(-1), 1, atol=1e-3)
+    # several heads are single heads beside each other
+    rng = np.random.default_rng(2)
+    w = {k: rng.normal(size=(16, 16)) for k in "qkv"} | {f"{k}0": rng.normal(size=16) for k in "qkv"} | {"o": np.eye(16), "o0": np.zeros(16)}
+    x, y = rng.normal(size=(3, 16)), rng.normal(size=(5, 16))
+    parts = []
+    for h in range(4):
+        q, k, v = (z @ w[n][:, 4 * h : 4 * h + 4] + w[n + "0"][4 * h : 4 * h + 4] for n, z in (("q", x), ("k", y), ("v", y)))
+        e = np.exp(q @ k.T / 2)
+        parts.append(e / e.sum(1, keepdims=True) @ v)
+    assert np.allclose(models.heads_attend(w, x, y, 4), np.hstack(parts))
+    with pytest.raises(ValueError):
+        model.encode([1] * 41)
+    first = model.summary_ids(list(range(30)), most=12, longest=20)
+    assert first == model.summary_ids([*range(20), 99], most=12, longest=20) and len(first) == 13 and 259 not in first
+
+
+def test_sharpness_by_hand():
+    """One bright point on black: the Laplacian is 4 times it at the point and once at its neighbours."""
+    image = np.zeros((5, 5), np.uint8)
+    image[2, 2] = 10
+    values = [-40.0] + [10.0] * 4 + [0.0] * 20
+    assert features.laplacian_variance(image) == pytest.approx(np.var(values))
+    corner = np.zeros((2, 2), np.uint8)
+    corner[0, 0] = 3  # mirrored edges: its neighbours see it from both sides
+    assert features.laplacian_variance(corner) == pytest.approx(np.var([-12.0, 6.0, 6.0, 0.0]))
+
+
+def test_blur_scores_of_files(spark, tmp_path):
+    image = np.zeros((5, 5), np.uint8)
+    image[2, 2] = 100
+    (tmp_path / "a.pgm").write_bytes(b"P5 5 5 255\n" + image.tobytes())
+    (tmp_path / "b.pgm").write_bytes(b"broken")
+    got = {r["image_name"]: (r["blur_score"], r["status"]) for r in features.blur_scores(files.media_files(spark, str(tmp_path), "*.pgm")).collect()}
+    assert got["a.pgm"] == (pytest.approx(np.var([-400.0] + [100.0] * 4 + [0.0] * 20)), "SHARP") and got["b.pgm"] == (0.0, "BLURRY")
+
+
+def test_mfcc_step_by_step():
+    """Frames, spectrum, filters and cosines one after the other, by their formulas."""
+    rate, size, hop, n_fft = 16000, 400, 160, 512
+    x = np.sin(2 * np.pi * 1000 * np.arange(1000) / rate) + 0.1 * np.cos(np.arange(1000))
+    y = [x[0]] + [x[i] - 0.97 * x[i - 1] for i in range(1, 1000)]
+    frames = int(np.ceil((1000 - size) / hop))
+    y += [0.0] * max(0, frames * hop + size - 1000)
+    mel = lambda hz: 2595 * np.log10(1 + hz / 700)
+    points = [700 * (10 ** (mel(rate / 2) * i / 27 / 2595) - 1) for i in range(28)]
+    bins = [int((n_fft + 1) * hz / rate) for hz in points]
+    rows = []
+    for f in range(frames):
+        cut = [y[f * hop + i] * (0.54 - 0.46 * np.cos(2 * np.pi * i / (size - 1))) for i in range(size)]
+        power = [abs(sum(c * np.exp(-2j * np.pi * k * i / n_fft) for i, c in enumerate(cut))) ** 2 / n_fft for k in range(257)]
+        energy = []
+        for m in range(1, 27):
+            up = sum(power[k] * (k - bins[m - 1]) / (bins[m] - bins[m - 1]) for k in range(bins[m - 1], bins[m]))
+            down = sum(power[k] * (bins[m + 1] - k) / (bins[m + 1] - bins[m]) for k in range(bins[m], bins[m + 1]))
+            energy.append(20 * np.log10((up + down) or np.finfo(float).eps))
+        rows.append([sum(e * np.cos(np.pi * (i + 0.5) * k / 26) for i, e in enumerate(energy)) * np.sqrt((1 if k == 0 else 2) / 26) for k in range(13)])
+    assert np.allclose(features.mfcc_vector(x), np.mean(rows, axis=0), atol=1e-6)
+
+
+def test_commit_marker(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    files.write_parquet(spark.range(5), path)
+    assert files.committed(spark, path, lambda: spark.read.parquet(path)).count() == 5
+    (tmp_path / "t" / "_SUCCESS").unlink()
+    with pytest.raises(FileNotFoundError):
+        files.committed(spark, path, lambda: None)
+
+
+def test_attention_on_ties_and_nulls(spark):
+    from chunkwright.operators.attention import band_attention
+
+    rows = [("a", 0.0, 1, [1.0, 0.0]), ("a", 0.0, 1, [1.0, 0.0]), ("a", 0.0, 2, [0.0, 2.0]), ("a", 90.0, 3, [3.0, 0.0]), ("a", 200.0, 4, [1.0, 1.0]), (None, 0.0, 5, [1.0, 0.0]), ("a", None, 6, [1.0, 0.0]), ("a", 0.0, 7, None)]
+    got = sorted((r["k"], round(r["local"], 6)) for r in band_attention(spark.createDataFrame(rows, "g string, t double, k int, v array<double>"), "g", "t", "v").collect())
+    far = float(np.exp(-2))
+    assert got == [(1, round(2 + far, 6)), (1, round(2 + far, 6)), (2, 1.0), (3, round(1 + 2 * far, 6)), (4, 1.0)]
+
+
+@pytest.mark.parametrize("rows", [[(i, 1, "x") for i in range(500)], [(7, 1, "x")] * 300 + [(i, 2, "y") for i in range(100)], [(None, 5, "n"), (None, None, "m"), (3, None, "q"), (3, 2, "r"), (1, 4, "s")], []])
+def test_running_budget_on_ties_and_nulls(spark, rows):
+    got = temporal.running_budget(spark.createDataFrame(rows, "o bigint, n bigint, k string"), "o", "n", 40).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or 0, r[2]))
+    want, before = [], 0
+    for r in order:
+        if before < 40:
+            want.append((*r, before))
+        before += r[1] or 0
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_concat_of_null_orders(spark):
+    rows = [("a", "2", "two"), ("a", None, "none"), ("a", "t", "head"), ("a", "2", "again"), ("a", "1", None), ("b", "t", "head")]
+    got = {r["g"]: r["text"] for r in text.ordered_concat(spark.createDataFrame(rows, "g string, t string, x string"), "g", "t", "x").collect()}
+    assert got == {"a": "none again two"}
+
+
+def test_best_pair_is_the_first_of_equal_ones(spark):
+    rows = [(3, "zz ab"), (1, "é"), (2, "cdcd ab xx"), (4, None), (5, "")]
+    got = text.most_frequent_pair(spark.createDataFrame(rows, "k int, t string").repartition(3), "k", "t").collect()
+    assert [(chr(r["left"]) + chr(r["right"]), r["n"]) for r in got] == [("cd", 2)]
+    assert text.most_frequent_pair(spark.createDataFrame([], "k int, t string"), "k", "t").count() == 0
+
+
+def test_merges_of_runs():
+    from itertools import product
+
+    for n in range(8):
+        for own in product((1, 2), repeat=n):
+            for left, right in product((1, 2), repeat=2):
+                out, i = [], 0
+                while i < n:
+                    hit = own[i : i + 2] == (left, right)
+                    out.append(9 if hit else own[i])
+                    i += 1 + hit
+                assert text.merge_pair(np.array(own, np.int64), left, right, 9).tolist() == out
+
+
 def test_models_route_errors(spark):
     rows = spark.createDataFrame([("a", "x"), ("b", "bad")], "file string, text string")
 
