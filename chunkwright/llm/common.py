@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -46,8 +47,12 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a text or binary column holds about `most` bytes at once (a longer row stands alone)."""
+    """Cut batches so that a text or binary column holds about `most` bytes at once (a longer row stands alone).
+
+    Between batches and at the end the worker, which lives on for later tasks, gives back what it doesn't use.
+    """
     for batch in batches:
+        trim()
         n = batch.num_rows
         if not n:
             continue
@@ -59,6 +64,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             stop = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(begin, stop - begin)
             begin = stop
+        del batch, col
+    trim()
+
+
+def trim() -> None:
+    """Return free memory of Arrow and of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def lengths(col: pa.Array) -> np.ndarray:

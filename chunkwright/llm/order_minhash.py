@@ -187,6 +187,10 @@ def _shingles_of(texts: pa.Array) -> list[np.ndarray]:
     return [hashed[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["cls", "lead"])
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(cls, lead, sim) for pairs of classes, sim exact from 2 * least - 1 on; texts is (cls, text)."""
     sizes = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
@@ -222,10 +226,12 @@ def _finish(groups: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 if k != key:
                     key, held = k, []
                 found += [(cls, other) for other, t in held if other != cls and aligned(t, s, least) >= least]
-                held.append((cls, s))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["cls", "lead"])
-                found = []
+                held.append((cls, s.copy()))  # not a view of the whole slice
+                if len(found) > 20_000:
+                    yield _pairs(found)
+                    found = []
+        if found:
+            yield _pairs(found)
 
     dealt = groups.join(texts, "cls").select("key", "cls", "text").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(compare, "cls binary, lead binary")
@@ -257,13 +263,16 @@ def _across(groups: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 if (grp, at0, at1) != work:
                     work, held = (grp, at0, at1), []
                 if role:
-                    held.append((cls, root, sim, s))
+                    held.append((cls, root, sim, s.copy()))
                     continue
                 for other, its, close, t in held:
                     if its != root and (sim is None or close is None or abs(sim - close) <= 1 - least + 1e-9) and aligned(t, s, least) >= least:
                         found.append((other, cls))
+                if len(found) > 20_000:
+                    yield _pairs(found)
+                    found = []
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["cls", "lead"])
+                yield _pairs(found)
 
     dealt = spread.join(texts, "cls").select("grp", "at0", "at1", "role", "cls", "root", "sim", "text")
     return dealt.repartition("grp", "at0", "at1").sortWithinPartitions("grp", "at0", "at1", F.desc("role")).mapInArrow(compare, "cls binary, lead binary")
