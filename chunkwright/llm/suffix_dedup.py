@@ -36,9 +36,9 @@ from chunkwright.llm.common import buffer, materialise, mix, ranges, slices
 
 LENGTH = 400
 #: Different regions of a group that one block takes; bytes of a block.
-MOST, BLOCK_BYTES = 3000, 2 << 20
+MOST, BLOCK_BYTES = 3000, 512 << 10
 #: Bytes of regions that a task hands on at once.
-OUT_BYTES = 8 << 20
+OUT_BYTES = 4 << 20
 #: How many places of the minimiser a region spans after each split of a large group.
 WIDTHS = (48, 7, 1)
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -257,7 +257,7 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFram
     spark = docs.sparkSession
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 512 << 10):
             data, offsets = buffer(part.column(2))
             if len(data) < length:
                 continue
