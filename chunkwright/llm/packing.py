@@ -16,20 +16,21 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chunkwright.llm.common import materialise, slices
 from chunkwright.llm.tokens import WordEncoder
 
 CAPACITY = 2048
 FAN = 8
-#: Rows that a partition packs at once; underfull bins that a task merges at once.
-GROUP, NODE = 200_000, 400_000
+#: Rows that a partition packs at once, and their bytes (token ids count); underfull bins that a task merges at once.
+GROUP, GROUP_BYTES, NODE = 200_000, 64 << 20, 400_000
 #: Share of its bins that a round at the top must merge for another one to follow.
 WORTH = 0.01
 #: Bins with at most this share of room left are emitted at once.
@@ -78,8 +79,8 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, places, np.array(full.used, np.int64)
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Encode documents, append the end id, cut what is longer than a sequence: one row per piece."""
+def _cutter(tokenizer: str | None, end_id: int, capacity: int, with_ids: bool) -> tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]:
+    """The step from (doc_id, text) to pieces, and the pieces' schema."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,13 +100,26 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capac
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=False)], names)
 
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, schema)
+    return cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
+
+
+def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """Encode documents, append the end id, cut what is longer than a sequence: one row per piece."""
+    return _texts(docs).mapInArrow(*_cutter(tokenizer, end_id, capacity, with_ids))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
     """Place rows with a length of 1 to `capacity`: adds sequence_id and offset; a sequence is gapless from 0."""
-    local = _pack_partitions(items, capacity, length)
+    return _merge(_pack_partitions(items, items.schema, capacity, length), capacity, length)
+
+
+def _merge(local: DataFrame, capacity: int, length: str) -> DataFrame:
+    """Merge the underfull bins of packed partitions."""
+    names = [c for c in local.columns if c not in ("bin", "at", "part", "climbs")]
     local = materialise(local, "packed")
     moves = _climb(local.where("climbs").groupBy("bin", "part").agg(F.sum(length).cast("bigint").alias("used")), capacity)
     bins = local.drop("climbs", "part")
@@ -113,17 +127,18 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
         return bins.withColumnRenamed("bin", "sequence_id").withColumnRenamed("at", "offset")
     joined = bins.join(moves, "bin", "left")
     return joined.select(
-        *[c for c in items.columns],
+        *names,
         F.coalesce("into", "bin").alias("sequence_id"),
         (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"),
     )
 
 
-def _pack_partitions(items: DataFrame, capacity: int, length: str) -> DataFrame:
-    """Best-fit in each partition, `GROUP` rows at a time so that memory stays bounded."""
-    from pyspark.sql import types as T
+def _pack_partitions(rows: DataFrame, items: T.StructType, capacity: int, length: str, before: Callable | None = None) -> DataFrame:
+    """Best-fit in each partition, `GROUP` items at a time so that memory stays bounded.
 
-    schema = T.StructType([*items.schema.fields, T.StructField("bin", T.LongType()), T.StructField("at", T.LongType()), T.StructField("part", T.LongType()), T.StructField("climbs", T.BooleanType())])
+    `before` makes the items from the rows in the same worker; as a step of its own it would hold a second worker per core.
+    """
+    schema = T.StructType([*items.fields, T.StructField("bin", T.LongType()), T.StructField("at", T.LongType()), T.StructField("part", T.LongType()), T.StructField("climbs", T.BooleanType())])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -142,18 +157,19 @@ def _pack_partitions(items: DataFrame, capacity: int, length: str) -> DataFrame:
                 table = table.append_column(name, pa.array(c))
             yield from table.to_batches(max_chunksize=10_000)
 
-        held, rows = [], 0
-        for batch in batches:
+        held, count, size = [], 0, 0
+        for batch in before(batches) if before else batches:
             if batch.num_rows:
                 held.append(batch)
-                rows += batch.num_rows
-            if rows >= GROUP:
+                count += batch.num_rows
+                size += batch.nbytes
+            if count >= GROUP or size >= GROUP_BYTES:
                 yield from done(held)
-                held, rows = [], 0
+                held, count, size = [], 0, 0
         if held:
             yield from done(held)
 
-    return items.mapInArrow(fit, schema)
+    return rows.mapInArrow(fit, schema)
 
 
 def _climb(bins: DataFrame, capacity: int) -> DataFrame | None:
@@ -213,4 +229,5 @@ def _climb(bins: DataFrame, capacity: int) -> DataFrame | None:
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Tokenise, cut and pack documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
-    return pack(pieces(docs, tokenizer, end_id, capacity, with_ids), capacity)
+    cut, schema = _cutter(tokenizer, end_id, capacity, with_ids)
+    return _merge(_pack_partitions(_texts(docs), T.StructType.fromDDL(schema), capacity, "length", cut), capacity, "length")
