@@ -432,14 +432,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first",
     rows = identified(docs)
     found = spans(rows.select("did", "key", "text"), length, keep)
 
-    @F.pandas_udf("string")
-    def cut(text, got):  # noqa: ANN001
-        import pandas as pd
+    # columns travel under numbers, so that none of them can be called like the spans
+    names, at = docs.columns, docs.columns.index("text")
+    numbered = [F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)]
 
-        return pd.Series([t if g is None or not len(g) else without(t.encode(), merged(list(g)), whole=True) for t, g in zip(text, got, strict=True)])
-
-    joined = rows.join(found, ["did", "key"], "left")
-    # a row without spans keeps its very text (null too)
-    texts = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(cut("text", "spans"))
-    joined = joined.select(F.col("row").withField("text", texts).alias("row"), F.col("spans").isNotNull().alias("cut"))
-    return (joined if emptied else joined.where("not cut or row.text <> ''")).select("row.*")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, f"c{at}"):
+            *cols, got = part.columns
+            got = got.to_pylist()
+            # a row without spans keeps its very text (null too)
+            texts = [t if g is None else without(t.encode(), merged(g), whole=True) for t, g in zip(cols[at].to_pylist(), got, strict=True)]
+            cols[at] = pa.array(texts, cols[at].type)
+            rest = pa.RecordBatch.from_arrays(cols, names)
+            yield rest if emptied else rest.filter(pa.array([g is None or t != "" for t, g in zip(texts, got, strict=True)]))
+
+    return rows.join(found, ["did", "key"], "left").select(*numbered, "spans").mapInArrow(cut, docs.schema)
