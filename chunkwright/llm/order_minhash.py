@@ -14,7 +14,9 @@ a metric, so that a member which fails can only be similar to a passed one if it
 such members meet the passed ones of their leader unless both are in one class by then. So no link that would join two classes
 of a bucket is missed. Links inside a class may be: those between two texts that passed with one leader, between a passed and a
 failed one, and in large remainders, where both were in one class already; `n_verified` counts those that were looked at.
-Leaders' members are spread over salts, and texts are compared with a leader one at a time.
+Leaders' members are spread over salts, and texts are compared with a leader one at a time. Texts that share a bucket are turned into shingles
+once; what is compared travels as shingles. Where many meet many, an index by shingle counts what a text shares with all others at once, and only
+pairs that share enough are aligned.
 
 Verification aligns the labelled shingles of two texts inside a band around the diagonal: with m aligned, the
 similarity is m / (n1 + n2 - m), and pairs of `LEAST` or more are links. Classes are the components of links.
@@ -34,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwright.llm.common import SPACES, buffer, materialise, mix, slices, span_hashes, words
+from chunkwright.llm.common import SPACES, buffer, lengths, materialise, mix, ranges, slices, span_hashes, words
 from chunkwright.llm.components import components
 
 WORDS, LEAST = 5, 0.8
 SKETCHES, ELL = 24, 6
 #: Members of a leader that one task compares; members that are left in a bucket and then compared in one task.
-SALT, REST = 500, 400
+SALT, REST = 500, 1000
+#: Bytes of such members' texts in one task; shingles in one index, and matches that are counted at once.
+REST_BYTES, INDEX = 8 << 20, 1 << 20
 #: Rounds of leaders in a bucket before what is left is dealt again by its rarest shingles, and then before it is compared block by block.
 LEADERS = 4
 #: Shingles of a text up to which buckets are exact.
@@ -65,8 +69,6 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.
     first = np.cumsum(counts) - counts
     made = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     bounds = np.concatenate([[0], np.cumsum(made)])
-    from chunkwright.llm.common import ranges
-
     at = ranges(first, made)
     owner = np.repeat(np.arange(n), made)
     hashed = np.zeros(len(at), np.uint64)
@@ -144,17 +146,17 @@ def _prefixes(rows: DataFrame, least: float, *group: str) -> DataFrame:
 
 
 def _finer(large: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Members (key, cls, met) of large remainders in buckets of their rarest shingles instead."""
+    """Members (key, cls, met, size) of large remainders in buckets of their rarest shingles instead."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 1 << 20):
-            lists = [s.view(np.int64) for s in _shingles_of(part.column(3))]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(lists, pa.list_(pa.int64()))], ["key", "cls", "met", "own"])
+        for part in slices(batches, "own"):
+            lists = [s.view(np.int64) for s in _listed(part.column(4))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(lists, pa.list_(pa.int64()))], ["key", "cls", "met", "size", "own"])
 
-    rows = large.join(texts, "cls").select("key", "cls", "met", "text").mapInArrow(own, "key bigint, cls binary, met bigint, own array<bigint>")
+    rows = large.join(texts, "cls").select("key", "cls", "met", "size", "own").mapInArrow(own, "key bigint, cls binary, met bigint, size bigint, own array<bigint>")
     rows = materialise(rows, "finer")
     keys = _prefixes(rows.select("key", "cls", "own"), least, "key")
-    keys = keys.join(rows.select("key", "cls", "met"), ["key", "cls"]).select(F.col("met_at").alias("key"), "cls", "met")
+    keys = keys.join(rows.select("key", "cls", "met", "size"), ["key", "cls"]).select(F.col("met_at").alias("key"), "cls", "met", "size")
     return keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
 
 
@@ -187,12 +189,54 @@ def _shingles_of(texts: pa.Array) -> list[np.ndarray]:
     return [hashed[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, own) from (cls, text): the labelled shingles of a text in one binary value, see `_listed`."""
+    for part in slices(batches, "text"):
+        hashed, bounds = shingles(*buffer(part.column(1)))
+        own = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(bounds * 8), pa.py_buffer(hashed)])
+        yield pa.RecordBatch.from_arrays([part.column(0), own.cast(pa.binary())], ["cls", "own"])
+
+
+def _listed(col: pa.Array) -> list[np.ndarray]:
+    data, offsets = buffer(col)
+    return [data[a:b].view(np.uint64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+class Held:
+    """Several shingle lists, in indexes by shingle."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.lists = lists
+        self.sizes = np.array([len(x) for x in lists], np.int64)
+        self.parts: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # lists from .. to, their shingles in order, whose each is
+        ends, first = np.cumsum(self.sizes), 0
+        while first < len(lists):
+            stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + INDEX, side="right")))
+            flat = np.concatenate(lists[first:stop])
+            order = np.argsort(flat, kind="stable")
+            self.parts.append((first, stop, flat[order], np.repeat(np.arange(stop - first), self.sizes[first:stop])[order]))
+            first = stop
+
+    def near(self, own: np.ndarray, least: float) -> list[int]:
+        """Which lists share as many shingles with another one as similarity `least` needs, in whatever order."""
+        own, common = np.sort(own), np.zeros(len(self.lists), np.int64)
+        for first, stop, symbols, owner in self.parts:
+            begin = np.searchsorted(symbols, own)
+            counts = np.searchsorted(symbols, own, side="right") - begin
+            ends, at = np.cumsum(counts), 0
+            while at < len(own):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + INDEX, side="right")))
+                common[first:stop] += np.bincount(owner[ranges(begin[at:to], counts[at:to])], minlength=stop - first)
+                at = to
+        return np.flatnonzero((common > 0) & (common >= least * (self.sizes + len(own) - common))).tolist()
+
+
 def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["cls", "lead"])
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(cls, lead, sim) for pairs of classes, sim exact from 2 * least - 1 on; texts is (cls, text)."""
+    """(cls, lead, sim) for pairs of classes, sim exact from 2 * least - 1 on; texts is (cls, own)."""
     sizes = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
     spread = pairs.join(sizes, "lead")
     members = spread.select("cls", "lead", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
@@ -201,18 +245,18 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, head = None, None
-        for part in slices(batches, "text"):
-            lists = _shingles_of(part.column(4))
+        for part in slices(batches, "own"):
+            lists = _listed(part.column(4))
             out: list[tuple] = []
             for cls, own, role, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist(), lists, strict=True):
                 if role == 0:
-                    lead, head = own, s
+                    lead, head = own, s.copy()
                 elif own == lead:
                     out.append((cls, own, aligned(head, s, max(0.0, 2 * least - 1) - 1e-9)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.float64()), strict=True)], ["cls", "lead", "sim"])
 
-    dealt = rows.select("cls", "lead", "salt", "role", "text").repartition("lead", "salt").sortWithinPartitions("lead", "salt", "role")
+    dealt = rows.select("cls", "lead", "salt", "role", "own").repartition("lead", "salt").sortWithinPartitions("lead", "salt", "role")
     return dealt.mapInArrow(compare, "cls binary, lead binary, sim double")
 
 
@@ -220,20 +264,28 @@ def _finish(groups: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Links (cls, lead) inside small remainders (key, cls): each task compares a remainder's members at once."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, found = None, [], []
-        for part in slices(batches, "text"):
-            for k, cls, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _shingles_of(part.column(2)), strict=True):
-                if k != key:
-                    key, held = k, []
-                found += [(cls, other) for other, t in held if other != cls and aligned(t, s, least) >= least]
-                held.append((cls, s.copy()))  # not a view of the whole slice
+        key, names, lists, found = None, [], [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            held = Held(lists)
+            for i, own in enumerate(lists):
+                found.extend((names[i], names[j]) for j in held.near(own, least) if j < i and names[j] != names[i] and aligned(lists[j], own, least) >= least)
                 if len(found) > 20_000:
                     yield _pairs(found)
-                    found = []
+                    found.clear()
+
+        for part in slices(batches, "own"):
+            for k, cls, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _listed(part.column(2)), strict=True):
+                if k != key:
+                    yield from done()
+                    key, names, lists = k, [], []
+                names.append(cls)
+                lists.append(s.copy())  # not a view of the whole slice
+        yield from done()
         if found:
             yield _pairs(found)
 
-    dealt = groups.join(texts, "cls").select("key", "cls", "text").repartition("key").sortWithinPartitions("key")
+    dealt = groups.join(texts, "cls").select("key", "cls", "own").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(compare, "cls binary, lead binary")
 
 
@@ -255,17 +307,19 @@ def _across(groups: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         spread = spread.withColumn(f"at{r}", F.explode(F.when(F.col("role") == r, own(r)).otherwise(all_of(r))))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work, held = None, []
-        for part in slices(batches, "text"):
+        work, held, index = None, [], None
+        for part in slices(batches, "own"):
             found = []
             cols = [c.to_pylist() for c in part.columns[:-1]]
-            for grp, at0, at1, role, cls, root, sim, s in zip(*cols, _shingles_of(part.column(7)), strict=True):
+            for grp, at0, at1, role, cls, root, sim, s in zip(*cols, _listed(part.column(7)), strict=True):
                 if (grp, at0, at1) != work:
-                    work, held = (grp, at0, at1), []
+                    work, held, index = (grp, at0, at1), [], None
                 if role:
                     held.append((cls, root, sim, s.copy()))
                     continue
-                for other, its, close, t in held:
+                index = index or Held([t for *_, t in held])
+                for j in index.near(s, least):
+                    other, its, close, t = held[j]
                     if its != root and (sim is None or close is None or abs(sim - close) <= 1 - least + 1e-9) and aligned(t, s, least) >= least:
                         found.append((other, cls))
                 if len(found) > 20_000:
@@ -274,12 +328,12 @@ def _across(groups: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             if found:
                 yield _pairs(found)
 
-    dealt = spread.join(texts, "cls").select("grp", "at0", "at1", "role", "cls", "root", "sim", "text")
+    dealt = spread.join(texts, "cls").select("grp", "at0", "at1", "role", "cls", "root", "sim", "own")
     return dealt.repartition("grp", "at0", "at1").sortWithinPartitions("grp", "at0", "at1", F.desc("role")).mapInArrow(compare, "cls binary, lead binary")
 
 
 def _remainders(large: DataFrame, found: DataFrame) -> DataFrame:
-    """Large remainders (key, cls, met) with root, top (the root that most members have) and open (members with other roots)."""
+    """Large remainders (key, cls, met, size) with root, top (the root that most members have) and open (members with other roots)."""
     large = large.join(_roots(found, "cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     parts = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     tops = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
@@ -307,20 +361,23 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in (sketches(part.column(1)), brief(part.column(1))))], ["cls", "keys", "own"])
-
-    keys = docs.select("cls", "text").mapInArrow(sketch, "cls binary, keys array<bigint>, own array<bigint>")
-    made = materialise(keys.groupBy("cls").agg(F.first("keys").alias("keys"), F.first("own").alias("own")), "sketches")
-    keys = made.select("cls", F.explode("keys").alias("key")).unionByName(materialise(_prefixes(made.where(F.size("own") > 0), least).select("cls", F.col("met_at").alias("key")), "prefixes"))
+            lists = (pa.array(x, pa.list_(pa.int64())) for x in (sketches(part.column(1)), brief(part.column(1))))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths(part.column(1))), *lists], ["cls", "size", "keys", "own"])
+
+    keys = docs.select("cls", "text").mapInArrow(sketch, "cls binary, size bigint, keys array<bigint>, own array<bigint>")
+    made = materialise(keys.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("size", "keys", "own"))), "sketches")
+    prefixes = materialise(_prefixes(made.where(F.size("own") > 0), least).select("cls", F.col("met_at").alias("key")), "prefixes")
+    # Texts that meet by prefixes alone have few shingles: no size.
+    keys = made.select("cls", "size", F.explode("keys").alias("key")).unionByName(prefixes, allowMissingColumns=True)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(keys.join(shared, "key"), "members")
-    met = members.groupBy("cls").agg(F.sum("n").alias("met"))
+    met = members.groupBy("cls").agg(F.sum("n").alias("met"), F.coalesce(F.max("size"), F.lit(0)).alias("size"))
     active = materialise(members.select("key", "cls").join(met, "cls"), "active")
-    # One text for each class that shares a bucket: written once, read by every round.
+    # The shingles of one text for each class that shares a bucket: written once, read by every round.
     first = docs.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(met, "cls", "left_semi")
     same = (docs["cls"] == first["cls"]) & docs["doc_id"].eqNullSafe(first["doc_id"])
     texts = docs.join(first, same, "left_semi").select("cls", "text")
-    texts = materialise(texts, "texts").dropDuplicates(["cls"])
+    texts = materialise(texts.mapInArrow(_packed, "cls binary, own binary"), "texts").dropDuplicates(["cls"])
     found = spark.createDataFrame([], "cls binary, lead binary")
     tried = spark.createDataFrame([], "cls binary, lead binary, sim double")
     for turn in range(2 * LEADERS):
@@ -332,18 +389,19 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
         found = found.unionByName(judged.where(F.col("sim") >= least).select("cls", "lead"))
         failed = judged.where(F.col("sim") < least).select("cls", "lead").distinct()
         rest = materialise(led.join(failed, ["cls", "lead"], "left_semi"), "rest")
-        several = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rest = materialise(rest.select("key", "cls", "met").join(several, "key"), "rest")
-        small = rest.where(F.col("n") <= REST)
+        several = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+        rest = materialise(rest.select("key", "cls", "met", "size").join(several, "key"), "rest")
+        fits = (F.col("n") <= REST) & (F.col("bytes") <= REST_BYTES)
+        small = rest.where(fits)
         found = materialise(found.unionByName(_finish(small.select("key", "cls"), texts, least)), "found")
-        large = rest.where(F.col("n") > REST).drop("n")
+        large = rest.where(~fits).drop("n", "bytes")
         if large.isEmpty():
             break
         large = materialise(_remainders(large, found), "large")
         few = large.where((F.col("open") > 0) & (F.col("open") <= REST))
         sides = few.select(F.col("key").alias("grp"), "cls", "root", F.explode(F.when(F.col("root") == F.col("top"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("role"))
         found = materialise(found.unionByName(_across(sides.withColumn("sim", F.lit(None).cast("double")), texts, least)), "found")
-        large = large.where(F.col("open") > REST).select("key", "cls", "met")
+        large = large.where(F.col("open") > REST).select("key", "cls", "met", "size")
         active = materialise(_finer(large, texts, least) if turn == LEADERS - 1 else large, "active")
         if active.isEmpty():
             break

@@ -171,6 +171,27 @@ def test_unlike_members_of_one_bucket(spark, docs_of, monkeypatch):
     assert got == {i: i % 1000 for i, _ in rows} and len(seen) <= 3  # two rounds of leaders, and one in the finer buckets
 
 
+def test_index_finds_what_shares_enough(monkeypatch):
+    """All pairs that alignment passes are candidates, and none that share too little; over several indexes and cut counts."""
+    rng = np.random.default_rng(3)
+    lists = [rng.permutation(80)[: rng.integers(1, 80)].astype(np.uint64) for _ in range(60)]
+    lists += [np.concatenate([x[: len(x) - len(x) // 20], [np.uint64(900)]]) for x in lists[:30]] + [np.zeros(0, np.uint64)]
+    for most in (1, 100, 1 << 20):
+        monkeypatch.setattr(order_minhash, "INDEX", most)
+        held = order_minhash.Held(lists)
+        for own in lists:
+            shared = [len(np.intersect1d(own, x)) for x in lists]
+            assert held.near(own, 0.8) == [k for k, (c, x) in enumerate(zip(shared, lists, strict=True)) if c and c >= 0.8 * (len(x) + len(own) - c)]
+    assert order_minhash.Held([]).near(lists[0], 0.8) == []
+
+
+def test_packed_shingles_are_the_texts():
+    texts = pa.array([None, "", " ", "eins zwei", "a b c d e f g a b c d e f g", "É è " * 9])
+    batch = pa.RecordBatch.from_arrays([pa.array([b"%d" % k for k in range(6)]), texts], ["cls", "text"])
+    own = pa.concat_arrays([b.column(1) for b in order_minhash._packed(iter([batch]))])
+    assert [x.tolist() for x in order_minhash._listed(own)] == [x.tolist() for x in order_minhash._shingles_of(texts)]
+
+
 def test_aligned():
     a = np.arange(100, dtype=np.uint64)
     assert order_minhash.aligned(a, a) == 1
