@@ -55,7 +55,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
-#: Children that a wrapper element keeps apart, those with most text; all others are one group of anything, "#rest".
+#: Children up to which a wrapper element aligns them in order. Beyond, those of one name become one, and what doesn't fit
+#: stands in a group "#rest", by name and whole: decisions speak of it like of the others.
 WIDEST = 60
 #: Class and id values from this length on are named by their digest.
 LONG_NAME = 60
@@ -225,11 +226,8 @@ def _append(kids: list, node: list) -> None:
 
 def unite(a: list, b: list) -> list:
     """Align node b with a, of one name; a becomes their wrapper."""
-    work, wide = [(a, b)], []
-    while work or wide:
-        if not work:
-            _narrow(wide.pop(), work, wide)
-            continue
+    work = [(a, b)]
+    while work:
         x, y = work.pop()
         if x[TEXT] != y[TEXT]:
             x[TEXT] = None
@@ -238,9 +236,11 @@ def unite(a: list, b: list) -> list:
             x[flag] = x[flag] or y[flag]
         x[CHARS] += y[CHARS]
         x[LINKS] += y[LINKS]
-        x[KIDS] = _align(x[KIDS], y[KIDS], work)
-        if len(x[KIDS]) > WIDEST:
-            wide.append(x)
+        mine, its = [k[NAME] for k in x[KIDS]], [k[NAME] for k in y[KIDS]]
+        if ANY in mine[-1:] + its[-1:] or _length(mine, its) > WIDEST:
+            _by_name(x, y, work)
+        else:
+            x[KIDS] = _align(x[KIDS], y[KIDS], work)
     return a
 
 
@@ -305,42 +305,58 @@ def _align(a: list, b: list, work: list) -> list:
     return out
 
 
-def _narrow(node: list, work: list, wide: list) -> None:
-    """Children of one name become one; then those beyond the WIDEST with most text become one group of anything."""
-    by_name: dict[str, list] = {}
-    for kid in node[KIDS]:
-        if kid[NAME] in by_name:
-            work.append((by_name[kid[NAME]], kid))
-        else:
-            by_name[kid[NAME]] = kid
-            kid[OPTIONAL] = kid[REPEATED] = True
-    node[KIDS] = list(by_name.values())
-    if len(by_name) <= WIDEST:
-        return
-    if work:  # weighed once they have met
-        wide.append(node)
-        return
-    rest = by_name.pop(ANY, None) or [ANY, False, True, True, [], 0, 0, None, []]
-    sums = {name: _sums(kid) for name, kid in by_name.items()}
-    kept = set(sorted(by_name, key=lambda name: -sums[name][0])[: WIDEST - 1])
-    for name, kid in by_name.items():
-        if name not in kept:
-            rest[CHARS] += sums[name][0]
-            rest[LINKS] += sums[name][1]
-            rest[WHOLES] = _wholes(rest[WHOLES], kid[WHOLES])
-    node[KIDS] = [kid for name, kid in by_name.items() if name in kept] + [rest]
-
-
-def _sums(node: list) -> tuple[int, int]:
-    """Characters of text below a node, template parts left out, and how many of them stand in links."""
-    chars = links = 0
-    work = [node]
-    while work:
-        x = work.pop()
-        if not x[DROPPED]:
-            chars, links = chars + x[CHARS], links + x[LINKS]
-            work += x[KIDS]
-    return chars, links
+def _length(a: list[str], b: list[str]) -> int:
+    """How many children `_align` makes of these."""
+    n, last, i, j = 0, None, 0, 0
+    for p, q in [*_common(a, b), (len(a), len(b))]:
+        for name in (*a[i:p], *b[j:q]):
+            n, last = n + (name != last), name
+        if p < len(a):
+            n, last = n + 1, a[p]
+        i, j = p + 1, q + 1
+    return n
+
+
+class Rest(list):
+    """The children of a group "#rest"; `named` has all children of the element by name, so that a page costs no more than its own."""
+
+    named: dict[str, list]
+
+
+def _children(node: list) -> list:
+    """Children of a wrapper's element, those of the group "#rest" among them."""
+    if not node[KIDS] or node[KIDS][-1][NAME] != ANY:
+        return node[KIDS]
+    return [*node[KIDS][:-1], *node[KIDS][-1][KIDS]]
+
+
+def _by_name(x: list, y: list, work: list) -> None:
+    """Merge y's children into x's by name (as new work); a name is repeated if one side has it twice."""
+    rest = x[KIDS][-1] if x[KIDS] and x[KIDS][-1][NAME] == ANY else None
+    known = rest is not None and isinstance(rest[KIDS], Rest)
+    named: dict[str, list] = rest[KIDS].named if known else {}
+    new = []
+    for kids in ([], _children(y)) if known else (_children(x), _children(y)):
+        seen = set()
+        for kid in kids:
+            own = named.get(kid[NAME])
+            if own is None:
+                named[kid[NAME]] = own = kid
+                own[OPTIONAL] = True
+                new.append(kid)
+            else:
+                work.append((own, kid))
+            if kid[NAME] in seen:
+                own[REPEATED] = True
+            seen.add(kid[NAME])
+    if known:
+        rest[KIDS] += new
+    elif len(new) <= WIDEST:
+        x[KIDS] = new
+    else:
+        held = Rest(new[WIDEST - 1 :])
+        held.named = named
+        x[KIDS] = [*new[: WIDEST - 1], [ANY, False, True, True, [], 0, 0, None, held]]
 
 
 @dataclass
@@ -360,7 +376,7 @@ class View:
             x, up = work.pop()
             if up >= 0:
                 kids[up].append(len(nodes))
-            work += [(kid, len(nodes)) for kid in reversed(x[KIDS])]
+            work += [(kid, len(nodes)) for kid in reversed(_children(x))]
             nodes.append(x), kids.append([]), parents.append(up)
         chars, links = [x[CHARS] for x in nodes], [x[LINKS] for x in nodes]
         varying = [0 if x[TEXT] is not None and len(x[WHOLES]) >= CONSTANT and not x[REPEATED] else x[CHARS] - x[LINKS] for x in nodes]

@@ -115,6 +115,25 @@ def test_more_children_than_kept_apart_lose_no_text(spark):
         assert got[k] == html_wrappers.extract(page, None) and got[k].count("\n\n") == 199
 
 
+def test_decisions_speak_of_children_beyond_the_widest():
+    """Constant elements, link lists and the content element among hundreds of names are found as among few."""
+    name = lambda i: "x" + "".join(chr(97 + i // 26**e % 26) for e in range(3))
+    strange = lambda k: "".join(f"<div class='{name(300 * k + i)}'>{k} {i}</div>" for i in range(300))
+    strap = "<section class='strap'>Written by the desk</section><section class='more'><a href='/'>one more</a></section>"
+    story = lambda k: f"<section class='story'><p>{'own words ' * 900} {k}</p></section>"
+    article = [f"<article>{strange(k)}{strap}</article>" for k in range(4)]
+    got = html_wrappers.decide(wrapper(article))
+    assert got[1]["article"][1] == {"section.strap": ["constant", {}]}
+    plain = [f"<body>{strange(k)}{strap}{story(k)}</body>" for k in range(4)]
+    for pages in (plain, plain[::-1]):
+        got = html_wrappers.decide(wrapper(pages))
+        assert got[1]["body"][1]["section.story"][0] == "root"
+        assert html_wrappers.extract(plain[1], got) == " ".join(f"{'own words ' * 900} 1".split())
+    halves = [wrapper(plain[:2]), wrapper(plain[2:])]
+    assert html_wrappers.decide(html_wrappers.parse(html_wrappers.dump(html_wrappers.unite(*halves)))) == html_wrappers.decide(wrapper(plain))
+    assert len({k[0] for k in html_wrappers._children(wrapper(plain)[KIDS][0])}) == 4 * 300 + 3
+
+
 def test_empty_table_and_other_columns(spark):
     assert html_wrappers.main_text(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, "http://a/", "<p>x</p>", "h", "d", 7, "t"), (1, "http://a/", "<p>x</p>", "h", "d", 7, "t"), (None, None, None, None, None, None, None)]
