@@ -78,14 +78,16 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.
             place = at + j
             inside = place < stop
             hashed = mix(hashed + np.where(inside, word[np.minimum(place, max(len(word) - 1, 0))] if len(word) else np.uint64(0), np.uint64(j + 1)))
-        order = np.lexsort((hashed, owner))
+        # shingles that meet no other one in a slot occur once in their text; the others are sorted
+        slot = (mix(hashed + mix(owner.astype(np.uint64))) >> np.uint64(64 - min(22, len(at).bit_length() + 2))).astype(np.int64)
+        some = np.flatnonzero(np.bincount(slot)[slot] > 1)
+        order = some[np.lexsort((hashed[some], owner[some]))]
         same = (hashed[order][1:] == hashed[order][:-1]) & (owner[order][1:] == owner[order][:-1])
         if same.any():
             run = np.concatenate([[0], np.cumsum(~same)])
             start = np.concatenate([[0], np.flatnonzero(~same) + 1])
-            turn = np.empty(len(at), np.int64)
-            turn[order] = np.arange(len(at)) - start[run]
-            hashed = np.where(turn > 0, mix(hashed + turn.astype(np.uint64)), hashed)
+            turn = (np.arange(len(order)) - start[run]).astype(np.uint64)
+            hashed[order] = np.where(turn > 0, mix(hashed[order] + turn), hashed[order])
     return hashed, bounds
 
 
@@ -95,21 +97,26 @@ def sketches(col: pa.Array, count: int = SKETCHES, ell: int = ELL) -> list[np.nd
     with np.errstate(over="ignore"):
         seeds = mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
         odd = mix(seeds) | np.uint64(1)
-        out = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        out = [np.zeros(0, np.int64)] * len(col)
+        chosen: dict[int, list[tuple[int, np.ndarray]]] = {}  # by their number: texts, and places of the least shingles of each sketch
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
             own = hashed[a:b]
             if not len(own):
-                out.append(np.zeros(0, np.int64))
                 continue
             e = min(ell, len(own))
-            ranks = (own[None, :] ^ seeds[:, None]) * odd[:, None]
+            ranks = own[None, :] ^ seeds[:, None]
+            ranks *= odd[:, None]
             ranks ^= ranks >> np.uint64(32)
             ranks *= np.uint64(0x9E3779B97F4A7C15)
-            least = np.sort(np.argpartition(ranks, e - 1, axis=1)[:, :e], axis=1) if len(own) > e else np.tile(np.arange(e), (count, 1))
-            key = seeds.copy()
+            least = np.argpartition(ranks, e - 1, axis=1)[:, :e] if len(own) > e else np.tile(np.arange(e), (count, 1))
+            chosen.setdefault(e, []).append((i, least + a))
+        for e, found in chosen.items():
+            least = hashed[np.sort(np.stack([at for _, at in found]), axis=2)]
+            key = np.tile(seeds, (len(found), 1))
             for j in range(e):
-                key = mix(key + own[least[:, j]])
-            out.append(key.view(np.int64))
+                key = mix(key + least[:, :, j])
+            for (i, _), own in zip(found, key.view(np.int64), strict=True):
+                out[i] = own
     return out
 
 

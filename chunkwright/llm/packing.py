@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkwright.llm.common import materialise, slices
-from chunkwright.llm.tokens import WordEncoder
+from chunkwright.llm.tokens import word_encoder
 
 CAPACITY = 2048
 FAN = 8
@@ -86,7 +86,7 @@ def _cutter(tokenizer: str | None, end_id: int, capacity: int, with_ids: bool) -
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for part in slices(batches, "text", 4 << 20):
-            coder = coder or WordEncoder(tokenizer)
+            coder = coder or word_encoder(tokenizer)
             ids, offsets = coder.encode(part.column(1))
             raw = ids.astype("<u4").tobytes()
             end = np.array([end_id], "<u4").tobytes()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkwright.llm.common import filesystem, slices, work_dir
-from chunkwright.llm.tokens import WordEncoder
+from chunkwright.llm.tokens import word_encoder
 
 MAGIC = b"CWSST01"
 FOOTER = struct.Struct("<QIQIQQB7s")
@@ -185,7 +185,7 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         name, last, turn = "", None, -1
         for part in slices(batches, "text", 8 << 20):
             if table is None:
-                coder = WordEncoder(tokenizer)
+                coder = word_encoder(tokenizer)
                 store, path = filesystem(folder)
                 store.create_dir(path, recursive=True)
                 name = f"shard-{uuid.uuid4().hex}.sst"

@@ -1,9 +1,10 @@
-"""Exact token ids of a public BPE vocabulary, with each different word encoded once per worker.
+"""Exact token ids of a public BPE vocabulary, with each different piece encoded once per worker.
 
 Where a file's normalizer and pre-tokenizer are those stated in `RULE`, which drop white space and never join across
-it, the ids of a text are the ids of its words in order. Words of plain Latin letters, digits and signs go straight
-to the library's BPE model; all others (apostrophes, other scripts, special-token strings) go through the whole
-library pipeline. With any other file every text goes through that pipeline as a whole.
+it, the ids of a text are the ids of its words in order. Words of ASCII letters, digits and signs and the letters
+U+00C0 to U+00FF are cut into pieces for a whole column at once, and pieces go straight to the library's BPE model;
+all other words (apostrophes, other scripts, special-token strings) go through the whole library pipeline. With any
+other file every text goes through that pipeline as a whole.
 """
 
 from __future__ import annotations
@@ -11,17 +12,28 @@ from __future__ import annotations
 import json
 import os
 from array import array
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 
 from chunkwright.llm.common import buffer, ranges, strings
 
-#: Cached words per worker; the cache is emptied when a column finds it full, which changes only speed.
+#: Cached pieces per worker; the cache is emptied when a column finds it full, which changes only speed.
 CACHE_WORDS = 500_000
 
+#: Kinds of bytes: separators, letters, digits, signs, the lead byte of U+00C0 to U+00FF, and all that only the library cuts.
+_SPACE, _LETTER, _DIGIT, _SIGN, _LEAD, _OTHER = range(6)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[33:127] = _SIGN
+_KINDS[[10, 32]] = _SPACE
+_KINDS[48:58] = _DIGIT
+_KINDS[65:91] = _KINDS[97:123] = _LETTER
+_KINDS[[ord("'"), ord("<")]] = _OTHER
+_KINDS[0xC3] = _LEAD
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
 # The normalizer and pre-tokenizer of a file whose words can be encoded one by one.
 RULE = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -58,8 +70,6 @@ class WordEncoder:
         if not self.by_words:
             return
         self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []})).model
-        self.pieces = regex.compile(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.plain = regex.compile(r"[!-&(-;=-~¡-įı-ž]*")
         self.signs = self._signs()
         self.clear()
 
@@ -71,31 +81,30 @@ class WordEncoder:
         return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.by_piece: dict[str, bytes] = {}  # ids as unsigned 32-bit integers: an eighth of what lists take
+        self.known = pa.array([], pa.string())
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.starts = array("q")
-        self.counts = array("q")
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.by_piece.get(piece)
-        if ids is None:
-            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.signs)
-            ids = self.by_piece[piece] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
-        return ids
-
-    def _ids(self, word: str) -> bytes:
-        if word[0] in " \n":
-            word = word[1:]
-        if word.isascii():
-            if word.isalpha():  # one run of letters
-                return self._piece(word.lower())
-            if word[:-1].isalpha() and word[-1] in ".,":
-                return self._piece(word[:-1].lower()) + self._piece(word[-1])
-        if not self.plain.fullmatch(word):
-            return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
-        return b"".join([self._piece(piece) for piece in self.pieces.findall(normalize("NFC", word).lower())])
+        self.starts = self.counts = np.zeros(0, np.int64)
+
+    def _add(self, fresh: pa.Array, whole: list[bool]) -> None:
+        """Encode pieces that are not known yet; those of `whole` are words for the library."""
+        ids, counts = array("I"), np.empty(len(fresh), np.int64)
+        tokenize, encode, signs = self.model.tokenize, self.whole.encode, self.signs
+        for k, (piece, odd) in enumerate(zip(fresh.to_pylist(), whole, strict=True)):
+            if odd:
+                own = encode(piece, add_special_tokens=False).ids
+            else:
+                own = [t.id for t in tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(signs))]
+            ids.extend(own)
+            counts[k] = len(own)
+        end = self.used + len(ids)
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(end - len(self.pool), len(self.pool)), np.uint32)])
+        self.pool[self.used : end] = np.frombuffer(ids, np.uint32)
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.used = end
+        self.known = pa.concat_arrays([self.known, fresh])
 
     def _encode_whole(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.whole.encode_batch([t or "" for t in col.to_pylist()], add_special_tokens=False)]
@@ -109,38 +118,73 @@ class WordEncoder:
         data, offsets = buffer(col)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        cut = data == 32
-        cut |= data == 10
-        cut[offsets[:-1][np.diff(offsets) > 0]] = True
-        bounds = np.append(np.flatnonzero(cut), len(data))
-        if bounds[0]:
-            bounds = np.insert(bounds, 0, 0)
-        coded = strings(data, bounds).dictionary_encode()
-        fresh = coded.dictionary.to_pylist()
-        if len(self.index) > CACHE_WORDS:
+        begin, pieces, odd = _pieces(data, offsets)
+        if not len(begin):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if len(self.known) > CACHE_WORDS:
             self.clear()
-        places = np.empty(len(fresh), np.int64)
-        get, index = self.index.get, self.index
-        new: list[bytes] = []
-        end = self.used
-        for k, word in enumerate(fresh):
-            at = get(word)
-            if at is None:
-                at = index[word] = len(self.starts)
-                ids = self._ids(word)
-                self.starts.append(end)
-                self.counts.append(len(ids) >> 2)
-                end += len(ids) >> 2
-                new.append(ids)
-            places[k] = at
-        if end > self.used:
-            if end > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(end - len(self.pool), len(self.pool)), np.uint32)])
-            self.pool[self.used : end] = np.frombuffer(b"".join(new), np.uint32)
-            self.used = end
+        coded = pieces.dictionary_encode()
         which = coded.indices.to_numpy()
-        starts, counts = np.frombuffer(self.starts, np.int64)[places], np.frombuffer(self.counts, np.int64)[places]
+        places = pc.index_in(coded.dictionary, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = places < 0
+        if new.any():
+            places[new] = np.arange(len(self.known), len(self.known) + int(new.sum()))
+            whole = np.zeros(len(places), bool)
+            whole[which[odd]] = True
+            self._add(coded.dictionary.filter(pa.array(new)), whole[new].tolist())
+        starts, counts = self.starts[places], self.counts[places]
         counts, starts = counts[which], starts[which]
         ids = self.pool[ranges(starts, counts)]
-        per_bound = np.concatenate([[0], np.cumsum(counts)])
-        return ids, per_bound[np.searchsorted(bounds, offsets, side="left")]
+        before = np.concatenate([[0], np.cumsum(counts)])
+        return ids, before[np.searchsorted(begin, offsets, side="left")]
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:
+    """(place of each piece in the buffer, the pieces, which of them are words that only the library cuts).
+
+    Pieces are runs of letters, single digits and runs of signs, in lower case; a word with any other character stays as it is.
+    """
+    kind, text = _KINDS[data], _LOWER[data]
+    lead = np.flatnonzero(kind == _LEAD)
+    if len(lead):
+        after = np.minimum(lead + 1, len(data) - 1)
+        letter = (data[after] != 0x97) & (data[after] != 0xB7)  # the two signs among them
+        kind[lead] = np.where(letter, _LETTER, _OTHER)
+        kind[after[letter]] = _LETTER
+        text[after[letter & (data[after] <= 0x9E)]] += 0x20
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    new = kind != _SPACE
+    keep = new.copy()
+    new[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    new[heads] = keep[heads]
+    other = np.flatnonzero(kind == _OTHER)
+    if len(other):
+        edge = ~keep
+        edge[heads] = True
+        edge = np.append(np.flatnonzero(edge), len(data))
+        word = np.unique(np.searchsorted(edge, other, side="right") - 1)
+        first, size = edge[word], edge[word + 1] - edge[word]
+        size -= ~keep[first]
+        first += ~keep[first]
+        inside = ranges(first, size)
+        text[inside] = data[inside]
+        new[inside] = False
+        new[first] = True
+    begin = np.flatnonzero(new)
+    odd = np.searchsorted(begin, first) if len(other) else np.zeros(0, np.int64)
+    at = np.cumsum(keep, dtype=np.int32)
+    return begin, strings(text[keep], np.append(at[begin] - 1, at[-1])), odd
+
+
+_coders: dict[tuple, WordEncoder] = {}
+
+
+def word_encoder(path: str | None = None) -> WordEncoder:
+    """The worker's encoder of a file: it stays for later tasks, as reading a vocabulary takes longer than many a task."""
+    path = vocabulary_path(path)
+    at = os.stat(path)
+    key = (path, at.st_mtime_ns, at.st_size)
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = WordEncoder(path)
+    return _coders[key]

@@ -268,6 +268,29 @@ def test_factors_by_brute_force():
             assert order.tolist() == sorted(order.tolist(), key=lambda i: (at(i), i)) and previous.any() and not previous.all()
 
 
+def test_only_windows_that_meet_are_sorted():
+    """Of a block's windows those with an equal one go to the suffix sort, no others."""
+    rng = np.random.default_rng(21)
+    text = rng.integers(0, 256, 3000).astype(np.uint8)
+    text[2000:2300] = text[500:800]
+    for length in (1, 5, 48, 240):
+        starts = np.concatenate([np.arange(0, 1400 - length + 1), np.arange(1400, 3000 - length + 1)])
+        held = Counter(text[i : i + length].tobytes() for i in starts)
+        want = [k for k, i in enumerate(starts.tolist()) if held[text[i : i + length].tobytes()] > 1]
+        assert suffix_dedup._met(text, starts, length).tolist() == want == sorted(suffix_dedup.equal_windows(text, starts, length)[0].tolist())
+        assert len(suffix_dedup.equal_windows(text, starts[:1], length)[0]) == 0
+
+
+def test_sketch_keys_are_made_for_all_texts_at_once(monkeypatch):
+    rng = np.random.default_rng(22)
+    texts = [" ".join(rng.choice(["a", "b", "c", "dd", "ee"], n)) for n in [*range(40), *range(100, 160)]]
+    alone = [order_minhash.sketches(pa.array([t]))[0].tolist() for t in texts]
+    calls, mix = [], order_minhash.mix
+    monkeypatch.setattr(order_minhash, "mix", lambda x: (calls.append(1), mix(x))[1])
+    together = order_minhash.sketches(pa.array(texts))
+    assert [k.tolist() for k in together] == alone and len(calls) < len(texts)
+
+
 @pytest.mark.parametrize("most", [2, 3000])
 def test_repeated_rows_keep_their_first(spark, docs_of, monkeypatch, most):
     """A row that occurs twice, beside others that share some of its passages: as the first holder it loses nothing."""
@@ -340,6 +363,29 @@ def test_full_word_cache(monkeypatch):
     assert np.array_equal(np.concatenate([coder.encode(pa.array(texts[k : k + 7]))[0] for k in range(0, 300, 7)]), want)
 
 
+def test_pieces_are_encoded_once_per_worker():
+    """A piece goes to the model once, whatever stands around it and whichever task it is in; a later task reads no vocabulary."""
+    from chunkwright.llm import tokens
+
+    class Counting:
+        def __init__(self, model):
+            self.model, self.seen = model, []
+
+        def tokenize(self, piece):
+            self.seen.append(piece)
+            return self.model.tokenize(piece)
+
+    tokens._coders.clear()
+    coder = tokens.word_encoder()
+    coder.model = Counting(coder.model)
+    want = coder.whole.encode("Éclair (word) word, WORD. éclair/word 77 x×y", add_special_tokens=False).ids
+    for _ in range(2):
+        ids, _ = tokens.word_encoder().encode(pa.array(["Éclair (word) word,", None, "WORD. éclair/word 77 x×y"]))
+        assert ids.tolist() == want
+    assert sorted(coder.model.seen) == sorted(["éclair".encode().decode("latin-1").translate(coder.signs), "word", "(", ")", ",", ".", "/", "7"])
+    tokens._coders.clear()
+
+
 def test_token_tables(spark, docs_of):
     rows = [*ODD, *((100 + i, t) for i, t in enumerate(ODD_TEXTS)), (-7, "negative")]
     folder = f"{work_dir(spark)}/tables"
