@@ -40,8 +40,7 @@ def long_groups(rows: DataFrame, group: list[str], most: int) -> DataFrame | Non
     if not group:
         return rows.sparkSession.range(1).select() if rows.count() > most else None
     counted = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most).drop("_rows")
-    found = kept(counted)
-    return None if found.isEmpty() else found
+    return None if counted.isEmpty() else kept(counted)
 
 
 def matched(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
