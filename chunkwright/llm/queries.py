@@ -92,6 +92,35 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chunkwright.llm.prefix_trie import trie, with_family_heads
+
+    return trie(with_family_heads(_table(spark, sf_dir, "conversations")))
+
+
+OP12_SQL = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+     z AS (SELECT c, c::VARCHAR AS s, max(i) AS n FROM t GROUP BY 1),
+     k AS (SELECT c, n, c - c % 100 AS fam, xor(list_reduce(list_prepend(4294967295::BIGINT, range(8 * strlen(s))), lambda crc, j:
+             xor(xor(crc, CASE WHEN j % 8 = 0 THEN ord(substr(s, (j // 8 + 1)::INT, 1)) ELSE 0 END::BIGINT) >> 1, 3988292384::BIGINT * (xor(crc, CASE WHEN j % 8 = 0 THEN ord(substr(s, (j // 8 + 1)::INT, 1)) ELSE 0 END::BIGINT) & 1))), 4294967295::BIGINT) % 6 AS h FROM z),
+     f AS (SELECT k.c, k.fam, k.h, least(k.h, coalesce(r.n, 0)) AS b FROM k LEFT JOIN k r ON r.c = k.fam),
+     r AS (SELECT f.c, i AS d, role, text FROM f JOIN t ON t.c = f.fam AND i <= f.h UNION ALL SELECT f.c, i - h + b, role, text FROM f JOIN t ON t.c = f.c AND i > f.h),
+     p AS (SELECT c, d, length(text) AS chars, list((role, text)) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS seq FROM r),
+     m AS (SELECT c, d, chars, min(c) OVER (PARTITION BY seq) AS o, count(*) OVER (PARTITION BY seq) AS n FROM p
+           UNION ALL SELECT c, 0, 0, min(c) OVER (), count(*) OVER () FROM k),
+     x AS (SELECT o, d, max(n) AS n, max((n - 1) * chars) AS own FROM m GROUP BY 1, 2),
+     q AS (SELECT x.*, m.o AS parent FROM x LEFT JOIN m ON m.c = x.o AND m.d = x.d - 1),
+     ch AS (SELECT parent AS o, d - 1 AS d, count(*) AS kids FROM q WHERE parent IS NOT NULL GROUP BY 1, 2),
+     y AS (SELECT q.*, coalesce(kids, 0) AS kids FROM q LEFT JOIN ch USING (o, d)),
+     u AS (SELECT m.o, m.d, sum(own) AS saved, sum((kids = 0)::INT) AS leaves FROM y JOIN m ON m.c = y.o AND m.d <= y.d GROUP BY 1, 2),
+     l AS (SELECT c, max(d) AS d FROM m GROUP BY 1),
+     e AS (SELECT m.o, m.d, string_agg(m.c::VARCHAR, ',' ORDER BY m.c) AS ids FROM m JOIN l USING (c, d) GROUP BY 1, 2)
+SELECT o AS conv_id, d::BIGINT AS depth, parent AS parent_conv_id, n::BIGINT AS n_convs, kids::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM y JOIN u USING (o, d) LEFT JOIN e USING (o, d)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_wrappers": op1_html_wrappers,
     "op2_toxicity": op2_toxicity,
@@ -103,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_warc_round_trip": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc_round_trip": OP4_SQL, "op12_prefix_trie": OP12_SQL}

@@ -18,6 +18,7 @@ COLUMNS = {
     "op8_order_minhash": "doc_id bigint, class_id bigint, n_verified bigint",
     "op9_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op10_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op12_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
 }
 
 
@@ -31,14 +32,14 @@ def test_columns(spark, name):
     want = COLUMNS[name].split(", ")
     assert [f"{f.name} {f.dataType.simpleString()}" for f in got.schema.fields][: len(want)] == want
     tables = {"op1_html_wrappers": "pages", "op4_warc_round_trip": "pages"}
-    if name not in ("op3_decontamination", "op10_best_fit_packing"):
+    if name not in ("op3_decontamination", "op10_best_fit_packing", "op11_hard_negatives", "op12_prefix_trie"):
         assert got.count() == spark.read.parquet(f"{SF}/{tables.get(name, 'documents')}.parquet").count()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     want = con.sql(queries.ORACLE_SQL[name])
