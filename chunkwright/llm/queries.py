@@ -92,6 +92,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chunkwright.llm.hard_negatives import mine, scaled
+
+    return mine(scaled(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH e AS (SELECT row_number() OVER () AS tag, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.tag, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+                  list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda k: a.v[k] * b.v[k]))::BIGINT AS score
+           FROM e a JOIN e b ON a.vec_id % 100 = 0 AND b.vec_id IS DISTINCT FROM a.vec_id),
+     p AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY score DESC, id NULLS LAST) AS place FROM s WHERE same),
+     n AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+                  row_number() OVER (PARTITION BY p.tag, p.place ORDER BY s.score DESC, s.id NULLS LAST) AS rank
+           FROM p JOIN s ON s.tag = p.tag AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score WHERE place <= 5)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chunkwright.llm.prefix_trie import trie, with_family_heads
 
@@ -132,7 +152,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_prefix_trie": op12_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_warc_round_trip": OP4_SQL, "op12_prefix_trie": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc_round_trip": OP4_SQL, "op11_hard_negatives": OP11_SQL, "op12_prefix_trie": OP12_SQL}
