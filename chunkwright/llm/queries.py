@@ -141,6 +141,22 @@ FROM y JOIN u USING (o, d) LEFT JOIN e USING (o, d)
 """
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chunkwright.llm.pii import KINDS, find, fit
+
+    docs = _table(spark, sf_dir, "documents")
+    found = find(docs, fit(docs), ["doc_id"])
+
+    def number(kind: str):  # noqa: ANN202
+        return F.size(F.filter("fixed", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    def joined(spans):  # noqa: ANN001, ANN202
+        placed = F.transform(spans, lambda s: F.struct(s["begin"], F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("place"), s["end"], s["kind"]))
+        return F.array_join(F.transform(F.array_sort(placed), lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"])), ",")
+
+    return found.select("doc_id", *map(number, KINDS[:4]), F.sha2(joined("fixed").cast("binary"), 256).alias("base_sha256"), joined(F.concat("fixed", "added")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_wrappers": op1_html_wrappers,
     "op2_toxicity": op2_toxicity,
@@ -154,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_pii": op13_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_warc_round_trip": OP4_SQL, "op11_hard_negatives": OP11_SQL, "op12_prefix_trie": OP12_SQL}
