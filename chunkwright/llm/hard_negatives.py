@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkwright.llm.common import materialise
+from chunkwright.operators import scan
 
 ANCHORS, ROWS, DIMS = 256, 2048, 32
 #: Place of a row without vec_id among equal scores.
@@ -48,48 +49,23 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _blocks(height: int, dims: int):  # noqa: ANN202
-    """Rows of a partition, which are in order of label, as blocks of chunks."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        number = 0
-
-        def block(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            part = table.column("part")[0].as_py()
-            ids, labels = (table.column(c).combine_chunks().fill_null(LAST).to_numpy(zero_copy_only=False) for c in ("vec_id", "label"))
-            tags = table.column("tag").combine_chunks().to_numpy(zero_copy_only=False)
-            vectors = table.column("v").combine_chunks()
-            sizes = np.diff(vectors.offsets.to_numpy())
-            data = np.zeros((len(ids), -(-max(1, int(sizes.max())) // dims) * dims), np.int64)
-            inside = np.arange(data.shape[1])[None, :] < sizes[:, None]
-            data[inside] = vectors.flatten().to_numpy(zero_copy_only=False)
-            order = np.argsort(ids, kind="stable")  # so that a stable sort by score leaves ties by vec_id
-            rows = []
-            for k in range(data.shape[1] // dims):
-                chunk = _narrow(data[order, k * dims : (k + 1) * dims])
-                first = k == 0
-                rows.append({
-                    "block": (part << 32) + number, "chunk": k, "labels": np.unique(labels).tolist(), "n": len(ids), "width": chunk.dtype.itemsize, "data": chunk.tobytes(),
-                    "ids": ids[order].tobytes() if first else None, "marks": labels[order].tobytes() if first else None, "tags": tags[order].tobytes() if first else None,
-                })
-            number += 1
-            for row in rows:
-                yield pa.RecordBatch.from_pylist([row], schema=OUT)
-
-        count = 0
-        for batch in batches:
-            while batch.num_rows:
-                take = batch.slice(0, height - count)
-                held.append(take)
-                count += take.num_rows
-                batch = batch.slice(take.num_rows)
-                if count == height:
-                    yield from block(pa.Table.from_batches(held))
-                    held, count = [], 0
-        if count:
-            yield from block(pa.Table.from_batches(held))
+def _chunked(dims: int):  # noqa: ANN202
+    """The rows of a block as its chunks."""
+
+    def make(table: pa.Table) -> pa.Table:
+        ids, labels, tags = (table.column(c).combine_chunks().fill_null(LAST).to_numpy(zero_copy_only=False) for c in ("vec_id", "label", "tag"))
+        vectors = table.column("v").combine_chunks()
+        sizes = np.diff(vectors.offsets.to_numpy())
+        data = np.zeros((len(ids), -(-max(1, int(sizes.max())) // dims) * dims), np.int64)
+        inside = np.arange(data.shape[1])[None, :] < sizes[:, None]
+        data[inside] = vectors.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(ids, kind="stable")  # so that a stable sort by score leaves ties by vec_id
+        rows = []
+        for k in range(data.shape[1] // dims):
+            chunk = _narrow(data[order, k * dims : (k + 1) * dims])
+            facts = [x[order].tobytes() if k == 0 else None for x in (ids, labels, tags)]
+            rows.append((table.column("block")[0].as_py(), k, np.unique(labels).tolist(), len(ids), chunk.dtype.itemsize, chunk.tobytes(), *facts))
+        return pa.Table.from_pydict(dict(zip(OUT.names, map(list, zip(*rows, strict=True)), strict=True)), schema=OUT)
 
     return make
 
@@ -100,10 +76,11 @@ OUT = pa.schema([
 ])
 
 
-def blocks(rows: DataFrame, height: int, dims: int, parts: int, name: str) -> DataFrame:
-    """Block chunks of rows (vec_id, label, v, tag) in order of label, as a table."""
-    dealt = rows.repartitionByRange(parts, "label", "vec_id", "tag").sortWithinPartitions("label", "vec_id", "tag")
-    return materialise(dealt.withColumn("part", F.spark_partition_id().cast("bigint")).select("part", "vec_id", "label", "v", "tag").mapInArrow(_blocks(height, dims), BLOCK), name)
+def blocks(rows: DataFrame, height: int, dims: int, name: str) -> DataFrame:
+    """Chunks of blocks of `height` rows (vec_id, label, v, tag) each, in order of label, as a table."""
+    placed = scan.running(rows.select("vec_id", "label", "v", "tag"), [], ["label", "vec_id", "tag"], {"place": (F.lit(1), "count")}, most=4 * height)
+    dealt = placed.withColumn("block", F.floor((F.col("place") - 1) / height)).drop("place")
+    return materialise(dealt.groupBy("block").applyInArrow(_chunked(dims), BLOCK), name)
 
 
 def _matrix(data: bytes, n: int, width: int) -> np.ndarray:
@@ -233,10 +210,8 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     A negative's score lies between `low` and `high` hundredths of the positive's.
     """
     rows = materialise(rows.withColumn("tag", F.monotonically_increasing_id()), "rows")
-    n = rows.count()
-    parts = max(1, min(-(-n // (4 * heights[1])), 1 << 14))
-    a = blocks(rows.where(is_anchor), heights[0], dims, max(1, parts // 8), "anchors")
-    b = blocks(rows, heights[1], dims, parts, "blocks")
+    a = blocks(rows.where(is_anchor), heights[0], dims, "anchors")
+    b = blocks(rows, heights[1], dims, "blocks")
     pairs = materialise(_pairs(a, b, F.arrays_overlap("labels", "labels2")), "near_pairs")
     best = materialise(_ranked(_candidates(a, b, pairs, _reduced("positive", positives, low, high)), positives).select("tag", F.col("rank").cast("int").alias("place"), F.col("other").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
 
