@@ -48,7 +48,8 @@ def dot(a: Column | str, b: Column | str) -> Column:
 def l2_normalise(a: Column | str, eps: float = 1e-10) -> Column:
     """The array over its norm plus eps."""
     norm = F.sqrt(dot(a, a)) + F.lit(eps)
-    return F.transform(_col(a), lambda x: x.cast("double") / norm)
+    # an array of norms, as what a lambda refers to is worked out for each element
+    return F.zip_with(_col(a), F.array_repeat(norm, F.size(_col(a))), lambda x, n: x.cast("double") / n)
 
 
 def min_max(x: Column, low: Column, high: Column) -> Column:

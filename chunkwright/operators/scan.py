@@ -35,8 +35,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def long_groups(rows: DataFrame, group: list[str], most: int) -> DataFrame | None:
-    """Keys of the groups of more than `most` rows; None if there is none."""
+def long_groups(rows: DataFrame, group: list[str], most: int = MOST, source: DataFrame | None = None) -> DataFrame | None:
+    """Keys of the groups of more than `most` rows; None if there is none.
+
+    `source` may be a table with at least as many rows, which is quick to count: where it is short, nothing else is looked at.
+    """
+    if source is not None and source.count() <= most:
+        return None
     if not group:
         return rows.sparkSession.range(1).select() if rows.count() > most else None
     counted = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most).drop("_rows")
@@ -52,9 +57,20 @@ def matched(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFr
     return rows.join(F.broadcast(renamed), same, how).drop(*[f"_key_{c}" for c in on])
 
 
-def by_size(rows: DataFrame, group: list[str], whole: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame], most: int = MOST) -> DataFrame:
-    """`whole` of the rows in groups up to `most` rows, `cut` of the others."""
-    long = long_groups(rows, group, most)
+class Ask:
+    """Stands for long groups that are not known yet."""
+
+
+#: What long groups a function is given: their keys, None if there is none, or Ask, to find them (a pass over the rows).
+Long = DataFrame | None | type[Ask]
+
+
+def by_size(rows: DataFrame, group: list[str], whole: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame], most: int = MOST, long: Long = Ask) -> DataFrame:
+    """`whole` of the rows in groups up to `most` rows, `cut` of the others.
+
+    Steps that follow each other on ever fewer rows may share the long groups of the first one.
+    """
+    long = long_groups(rows, group, most) if long is Ask else long
     if long is None:
         return whole(rows)
     if not group:
@@ -73,32 +89,32 @@ def total_order(rows: DataFrame, group: list[str], order: list[str | Column]) ->
     return [F.col(c) if isinstance(c, str) else c for c in order] + [F.col(c) for c in rest]
 
 
-def ranged(rows: DataFrame, group: list[str], order: list[str | Column], per: int = MOST) -> DataFrame:
+def ranged(rows: DataFrame, group: list[str], order: list[str | Column], per: int = MOST, unique: bool = False) -> DataFrame:
     """The rows with `_range`: ranges of (group, order) of about `per` rows each, numbered in that order.
 
     The table is written once, as bounds are drawn from a sample and must not be drawn again.
     """
     n = max(1, -(-rows.count() // per))
-    dealt = rows.repartitionByRange(n, *[F.col(c) for c in group], *total_order(rows, group, order))
+    dealt = rows.repartitionByRange(n, *[F.col(c) for c in group], *(order if unique else total_order(rows, group, order)))
     return kept(dealt.withColumn("_range", F.spark_partition_id()))
 
 
-def running(rows: DataFrame, group: list[str], order: list[str | Column], values: dict[str, tuple[Column, str]], before: bool = False, most: int = MOST) -> DataFrame:
+def running(rows: DataFrame, group: list[str], order: list[str | Column], values: dict[str, tuple[Column, str]], before: bool = False, most: int = MOST, long: Long = Ask, unique: bool = False) -> DataFrame:
     """Adds running values {name: (column, kind)} along each group, up to each row or (`before`) up to the row ahead of it.
 
-    A value of no rows, or of nulls alone, is null (a count 0).
+    A value of no rows, or of nulls alone, is null (a count 0). `unique`: the order leaves no rows equal for which it matters.
     """
     frame = (Window.unboundedPreceding, -1 if before else 0)
 
     def along(table: DataFrame, keys: list[str]) -> dict[str, Column]:
-        w = Window.partitionBy(*keys).orderBy(*total_order(table, keys, order)).rowsBetween(*frame)
+        w = Window.partitionBy(*keys).orderBy(*(order if unique else total_order(table, keys, order))).rowsBetween(*frame)
         return {name: KINDS[kind][0](col).over(w) for name, (col, kind) in values.items()}
 
     def whole(table: DataFrame) -> DataFrame:
         return table.withColumns(along(table, group))
 
     def cut(table: DataFrame) -> DataFrame:
-        part = ranged(table, group, order, most)
+        part = ranged(table, group, order, most, unique)
         sums = part.groupBy(*group, "_range").agg(*[KINDS[kind][0](col).alias(f"_part_{name}") for name, (col, kind) in values.items()])
         earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
         folded = {"sum": F.sum, "count": F.sum, "xor": F.bit_xor, "max": F.max}
@@ -108,10 +124,10 @@ def running(rows: DataFrame, group: list[str], order: list[str | Column], values
         joined = {name: F.coalesce(KINDS[kind][1](F.col(name), F.col(f"_carry_{name}")), F.col(name), F.col(f"_carry_{name}")) for name, (_, kind) in values.items()}
         return met.withColumns(joined).drop("_range", *[f"_carry_{name}" for name in values])
 
-    return by_size(rows, group, whole, cut, most)
+    return by_size(rows, group, whole, cut, most, long)
 
 
-def shifted(rows: DataFrame, group: list[str], order: list[str | Column], values: dict[str, tuple[str, int, object]], most: int = MOST) -> DataFrame:
+def shifted(rows: DataFrame, group: list[str], order: list[str | Column], values: dict[str, tuple[str, int, object]], most: int = MOST, long: Long = Ask) -> DataFrame:
     """Adds {name: (column, -1 or 1, default)}: the value of the row before or after along each group, the default where there is none."""
 
     def along(table: DataFrame, keys: list[str], defaults: bool) -> dict[str, Column]:
@@ -137,11 +153,11 @@ def shifted(rows: DataFrame, group: list[str], order: list[str | Column], values
             out[name] = F.when(F.col("_head" if side < 0 else "_tail"), F.when(there.isNotNull(), there["v"]).otherwise(F.lit(default))).otherwise(F.col(name))
         return met.withColumns(out).drop("_range", "_head", "_tail", *[f"_halo_{name}" for name in values])
 
-    return by_size(rows, group, whole, cut, most)
+    return by_size(rows, group, whole, cut, most, long)
 
 
-def with_totals(rows: DataFrame, group: list[str], totals: dict[str, Column], most: int = MOST) -> DataFrame:
-    """Adds aggregates of each group to its rows: by a window, or for long groups by their aggregated row, which is broadcast."""
+def with_totals(rows: DataFrame, group: list[str], totals: dict[str, Column], most: int = MOST, long: Long = Ask) -> DataFrame:
+    """Adds aggregates (plain ones, nothing around them) of each group to its rows: by a window, or for long groups by their aggregated row, which is broadcast."""
 
     def whole(table: DataFrame) -> DataFrame:
         w = Window.partitionBy(*group)
@@ -151,7 +167,7 @@ def with_totals(rows: DataFrame, group: list[str], totals: dict[str, Column], mo
         found = table.groupBy(*group).agg(*[col.alias(name) for name, col in totals.items()])
         return matched(table, kept(found), group, "inner")
 
-    return by_size(rows, group, whole, cut, most)
+    return by_size(rows, group, whole, cut, most, long)
 
 
 def place_of(share: float, n: Column) -> Column:
@@ -159,7 +175,7 @@ def place_of(share: float, n: Column) -> Column:
     return F.greatest(F.lit(1).cast("bigint"), n - F.floor(n - F.lit(share) * n))
 
 
-def at_places(rows: DataFrame, group: list[str], value: str, places: dict[str, Callable[[Column], Column]], most: int = MOST, splits: int = 32) -> DataFrame:
+def at_places(rows: DataFrame, group: list[str], value: str, places: dict[str, Callable[[Column], Column]], most: int = MOST, splits: int = 32, long: Long = Ask) -> DataFrame:
     """One row per group: {name: the element at a place in ascending order} and `n`, the count that the places are functions of.
 
     Exact at any size. Each round narrows every long group's search: sketched cut points, which are elements, are
@@ -208,12 +224,19 @@ def at_places(rows: DataFrame, group: list[str], value: str, places: dict[str, C
         out = kept(found.groupBy(*group).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in places]))
         return matched(counts.withColumnRenamed("_n", "n"), out, group, "left").select(*group, *places, "n")
 
-    return by_size(rows, group, whole, cut, most)
+    return by_size(rows, group, whole, cut, most, long)
 
 
-def quantile(rows: DataFrame, group: list[str], value: str, share: float, name: str = "edge", most: int = MOST) -> DataFrame:
+def quantile(rows: DataFrame, group: list[str], value: str, share: float, name: str = "edge", most: int = MOST, long: Long = Ask) -> DataFrame:
     """One row per group: the exact quantile of a value, between two elements in proportion."""
     at = lambda n: F.lit(share) * (n - 1)
-    found = at_places(rows, group, value, {"_low": lambda n: F.floor(at(n)) + 1, "_high": lambda n: F.ceil(at(n)) + 1}, most)
-    part = at(F.col("n")) - F.floor(at(F.col("n")))
-    return found.select(*group, (F.col("_low") + (F.col("_high") - F.col("_low")) * part).alias(name))
+
+    def whole(table: DataFrame) -> DataFrame:
+        return table.groupBy(*group).agg(F.percentile(value, share).alias(name))
+
+    def cut(table: DataFrame) -> DataFrame:
+        found = at_places(table, group, value, {"_low": lambda n: F.floor(at(n)) + 1, "_high": lambda n: F.ceil(at(n)) + 1}, most)
+        part = at(F.col("n")) - F.floor(at(F.col("n")))
+        return found.select(*group, (F.col("_low") + (F.col("_high") - F.col("_low")) * part).alias(name))
+
+    return by_size(rows, group, whole, cut, most, long)

@@ -1,6 +1,7 @@
 """Scores along time, per group: smoothing, thresholds, budgets, merging into segments, caps, cuts and overlaps.
 
-All windows of a stage share one partition key, so a stage needs one exchange. Ties are broken by time.
+All windows of a stage share one partition key, so a stage needs one exchange. Ties are broken by time, then by the other columns. Groups of more
+than `most` rows are cut into ranges (see `scan`); `long` passes on which groups those are, so that they are looked for once in a flow.
 """
 
 from __future__ import annotations
@@ -9,30 +10,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkwright.functions.scalar import safe_ratio
+from chunkwright.operators import scan
 
 
-def smooth(rows: DataFrame, group: str, t: str, score: str, weights: tuple[float, float, float] = (0.2, 0.6, 0.2)) -> DataFrame:
+def smooth(rows: DataFrame, group: str, t: str, score: str, weights: tuple[float, float, float] = (0.2, 0.6, 0.2), most: int = scan.MOST, long: scan.Long = scan.Ask) -> DataFrame:
     """Three-point weighted sum; what lies outside a group counts 0."""
-    w = Window.partitionBy(group).orderBy(t)
+    met = scan.shifted(rows, [group], [t], {"_before": (score, -1, 0.0), "_after": (score, 1, 0.0)}, most, long)
     before, own, after = (F.lit(x) for x in weights)
-    return rows.withColumn("smooth", before * F.lag(score, 1, 0.0).over(w) + own * F.col(score) + after * F.lead(score, 1, 0.0).over(w))
+    return met.withColumn("smooth", before * F.col("_before") + own * F.col(score) + after * F.col("_after")).drop("_before", "_after")
 
 
-def percentile_gate(rows: DataFrame, group: str, score: str, share: float = 0.6, floor: float = 0.35) -> DataFrame:
-    """Rows at or above their group's percentile (an element of the group) and above a floor."""
-    edge = F.percentile_approx(score, share, 1_000_000).over(Window.partitionBy(group))
-    return rows.withColumn("edge", edge).where((F.col(score) >= F.col("edge")) & (F.col(score) > floor))
+def percentile_gate(rows: DataFrame, group: str, score: str, share: float = 0.6, floor: float = 0.35, most: int = scan.MOST, long: scan.Long = scan.Ask) -> DataFrame:
+    """Rows at or above their group's percentile (an element of the group) and above a floor; adds the percentile as `edge`."""
 
+    def whole(table: DataFrame) -> DataFrame:
+        return table.withColumn("edge", F.percentile_approx(score, share, 2 * scan.MOST).over(Window.partitionBy(group)))  # exact for as many rows
 
-def highpass(rows: DataFrame, group: str, t: str, score: str, share: float = 0.6, floor: float = 0.35) -> DataFrame:
+    def cut(table: DataFrame) -> DataFrame:
+        table = scan.kept(table)
+        edges = scan.at_places(table, [group], score, {"edge": lambda n: scan.place_of(share, n)}, most)
+        return scan.matched(table, scan.kept(edges.drop("n")), [group], "inner")
+
+    gated = scan.by_size(rows, [group], whole, cut, min(most, scan.MOST), long)
+    return gated.where((F.col(score) >= F.col("edge")) & (F.col(score) > floor))
+
+
+def highpass(rows: DataFrame, group: str, t: str, score: str, share: float = 0.6, floor: float = 0.35, most: int = scan.MOST, long: scan.Long = scan.Ask) -> DataFrame:
     """Smooth, then keep what passes its group's percentile and the floor."""
-    return percentile_gate(smooth(rows, group, t, score), group, "smooth", share, floor)
+    long = scan.long_groups(rows, [group], most) if long is scan.Ask else long
+    return percentile_gate(smooth(rows, group, t, score, most=most, long=long), group, "smooth", share, floor, most, long)
 
 
-def top_k(rows: DataFrame, group: str, t: str, score: str, k: Column) -> DataFrame:
-    """The k rows of each group with the highest scores, k from each row's own group."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), F.asc(t)))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+def top_k(rows: DataFrame, group: str, t: str, score: str, k: Column, most: int = scan.MOST, long: scan.Long = scan.Ask) -> DataFrame:
+    """The k rows of each group with the highest scores, k from each row's own group; adds `rank`."""
+    ranked = scan.running(rows, [group], [F.desc(score), F.col(t)], {"rank": (F.lit(1), "count")}, most=most, long=long)
+    return ranked.where(F.col("rank") <= k)
 
 
 def budget_rows(duration: Column | str, least: float = 30.0, share: float = 0.2, chunk: float = 5.0) -> Column:
@@ -40,36 +52,58 @@ def budget_rows(duration: Column | str, least: float = 30.0, share: float = 0.2,
     return F.floor(F.greatest(F.lit(least), F.col(duration) * share if isinstance(duration, str) else duration * share) / chunk).cast("int")
 
 
-def merge_islands(rows: DataFrame, group: str, t: str, chunk: float = 5.0, bridge: float = 1.0) -> DataFrame:
-    """Chunks of one length merged over gaps up to `bridge`: (group, start_time, end_time, chunks)."""
-    w = Window.partitionBy(group).orderBy(t)
-    gap = F.col(t) - (F.lag(t).over(w) + chunk)
-    marked = rows.withColumn("_new", F.when(gap <= bridge, 0).otherwise(1))
-    numbered = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(group, "_island").agg(F.min(t).alias("start_time"), (F.max(t) + chunk).alias("end_time"), F.count(F.lit(1)).alias("chunks")).drop("_island")
+def merge_islands(rows: DataFrame, group: str, t: str, chunk: float = 5.0, bridge: float = 1.0, most: int = scan.MOST, long: scan.Long = scan.Ask) -> DataFrame:
+    """Chunks of one length merged over gaps up to `bridge`: (group, start_time, end_time, chunks).
+
+    A long group's ranges are merged each for itself; only an island at either end of a range can go on in the next one, so those (two a range)
+    are merged once more.
+    """
+
+    def islands(table: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(start)
+        fresh = F.when(F.col(start) - (F.lag(end).over(w) + chunk) <= bridge, 0).otherwise(1)
+        numbered = table.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        found = numbered.groupBy(*keys, "_island").agg(F.min(start).alias("_start"), F.max(end).alias("_end"), F.sum("_chunks").alias("_chunks"))
+        return found.drop("_island")
+
+    def whole(table: DataFrame) -> DataFrame:
+        return islands(table.select(group, t, F.lit(1).cast("bigint").alias("_chunks")), [group], t, t)
+
+    def cut(table: DataFrame) -> DataFrame:
+        part = scan.ranged(table.select(group, t, F.lit(1).cast("bigint").alias("_chunks")), [group], [t], most)
+        edge = Window.partitionBy(group, "_range")
+        local = scan.kept(islands(part, [group, "_range"], t, t).withColumn("_outer", (F.col("_start") == F.min("_start").over(edge)) | (F.col("_end") == F.max("_end").over(edge))))
+        outer = islands(local.where("_outer").drop("_outer", "_range"), [group], "_start", "_end")
+        return local.where("not _outer").select(*outer.columns).unionByName(outer)
+
+    found = scan.by_size(rows, [group], whole, cut, most, long)
+    return found.select(group, F.col("_start").alias("start_time"), (F.col("_end") + chunk).alias("end_time"), F.col("_chunks").alias("chunks"))
 
 
-def cap_segments(segments: DataFrame, group: str, duration: str, least: int = 3, per: float = 45.0) -> DataFrame:
+def cap_segments(segments: DataFrame, group: str, duration: str, least: int = 3, per: float = 45.0, most: int = scan.MOST, long: scan.Long = scan.Ask) -> DataFrame:
     """The longest max(least, duration / per) segments of each group; of equal ones the earlier."""
     keep = F.greatest(F.lit(least), F.floor(F.col(duration) / per).cast("int"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(F.col("end_time") - F.col("start_time")), F.asc("start_time")))
-    return segments.withColumn("_rank", rank).where(F.col("_rank") <= keep).drop("_rank")
+    ranked = scan.running(segments, [group], [F.desc(F.col("end_time") - F.col("start_time")), F.col("start_time")], {"_rank": (F.lit(1), "count")}, most=most, long=long)
+    return ranked.where(F.col("_rank") <= keep).drop("_rank")
 
 
-def plan_segments(scores: DataFrame, durations: DataFrame, group: str, t: str, score: str, chunk: float = 5.0, bridge: float = 1.0, least: float = 30.0, share: float = 0.2) -> DataFrame:
+def plan_segments(
+    scores: DataFrame, durations: DataFrame, group: str, t: str, score: str, chunk: float = 5.0, bridge: float = 1.0, least: float = 30.0, share: float = 0.2, most: int = scan.MOST
+) -> DataFrame:
     """Budgeted top chunks merged into segments and capped: (group, start_time, end_time, duration). An unknown duration is 0."""
+    long = scan.long_groups(scores, [group], most)
     known = scores.join(durations.select(group, F.col("duration").alias("_total")), group, "left").fillna({"_total": 0.0})
-    chosen = top_k(known, group, t, score, budget_rows("_total", least, share, chunk))
-    segments = merge_islands(chosen, group, t, chunk, bridge).join(durations.select(group, F.col("duration").alias("_total")), group, "left").fillna({"_total": 0.0})
-    return cap_segments(segments, group, "_total").select(group, "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("duration"))
+    chosen = top_k(known, group, t, score, budget_rows("_total", least, share, chunk), most, long)
+    segments = merge_islands(chosen, group, t, chunk, bridge, most, long).join(durations.select(group, F.col("duration").alias("_total")), group, "left").fillna({"_total": 0.0})
+    return cap_segments(segments, group, "_total", most=most, long=long).select(group, "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("duration"))
 
 
-def cut_plan(segments: DataFrame, group: str, pad: float = 0.25) -> DataFrame:
+def cut_plan(segments: DataFrame, group: str, pad: float = 0.25, most: int = scan.MOST, long: scan.Long = scan.Ask) -> DataFrame:
     """Cuts with padding, numbered in time: seek, length, index."""
     seek = F.greatest(F.lit(0.0), F.col("start_time") - pad)
     length = F.greatest(F.col("start_time") + 1, F.col("end_time")) - F.col("start_time") + 2 * pad
-    index = F.row_number().over(Window.partitionBy(group).orderBy("start_time")) - 1
-    return segments.select(group, "start_time", "end_time", index.alias("index"), seek.alias("seek"), length.alias("length"))
+    numbered = scan.running(segments.select(group, "start_time", "end_time"), [group], ["start_time"], {"index": (F.lit(1), "count")}, most=most, long=long)
+    return numbered.select(group, "start_time", "end_time", (F.col("index") - 1).cast("int").alias("index"), seek.alias("seek"), length.alias("length"))
 
 
 def concat_list(cuts: DataFrame, group: str, folder: str = "temp_chunks") -> DataFrame:
@@ -78,29 +112,30 @@ def concat_list(cuts: DataFrame, group: str, folder: str = "temp_chunks") -> Dat
     return cuts.select(group, "index", line.alias("line"))
 
 
-def redundancy(segments: DataFrame, group: str) -> DataFrame:
+def redundancy(segments: DataFrame, group: str, most: int = scan.MOST, long: scan.Long = scan.Ask) -> DataFrame:
     """Mean overlap of neighbouring segments; 0 with fewer than two."""
-    after = F.lead("start_time").over(Window.partitionBy(group).orderBy("start_time"))
-    overlap = F.when(after.isNotNull(), F.greatest(F.lit(0.0), F.col("end_time") - after))
-    return segments.withColumn("_overlap", overlap).groupBy(group).agg(F.coalesce(F.avg("_overlap"), F.lit(0.0)).alias("redundancy"))
+    met = scan.shifted(segments.select(group, "start_time", "end_time"), [group], ["start_time"], {"_next": ("start_time", 1, None)}, most, long)
+    overlap = F.when(F.col("_next").isNotNull(), F.greatest(F.lit(0.0), F.col("end_time") - F.col("_next")))
+    return met.withColumn("_overlap", overlap).groupBy(group).agg(F.coalesce(F.avg("_overlap"), F.lit(0.0)).alias("redundancy"))
 
 
-def interval_overlap(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
+def interval_overlap(a: DataFrame, b: DataFrame, group: str, most: int = scan.MOST, long: scan.Long = scan.Ask) -> DataFrame:
     """Per group: seconds of a, seconds of b, and seconds in which they overlap, over all pairs.
 
     Overlap is accumulated by a sweep: at each end point the change of the number of open intervals on either
     side, running sums, and time weighted by the product. No pair of intervals is formed.
     """
+
     def ends(rows: DataFrame, side: str) -> DataFrame:
         opened = rows.select(group, F.col("start_time").alias("t"), F.lit(1).alias(side))
         return opened.unionByName(rows.select(group, F.col("end_time").alias("t"), F.lit(-1).alias(side)))
 
     points = ends(a, "da").withColumn("db", F.lit(0)).unionByName(ends(b, "db").withColumn("da", F.lit(0)))
     steps = points.groupBy(group, "t").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    w = Window.partitionBy(group).orderBy("t")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    width = F.coalesce(F.lead("t").over(w) - F.col("t"), F.lit(0.0))
-    swept = steps.select(group, width.alias("width"), F.sum("da").over(run).alias("na"), F.sum("db").over(run).alias("nb"))
+    long = scan.long_groups(steps, [group], most) if long is scan.Ask else long
+    steps = scan.shifted(steps, [group], ["t"], {"_next": ("t", 1, None)}, most, long)
+    steps = scan.running(steps, [group], ["t"], {"na": (F.col("da"), "sum"), "nb": (F.col("db"), "sum")}, most=most, long=long, unique=True)
+    swept = steps.select(group, F.coalesce(F.col("_next") - F.col("t"), F.lit(0.0)).alias("width"), "na", "nb")
     return swept.groupBy(group).agg(
         F.sum(F.col("width") * F.col("na")).alias("a_sec"), F.sum(F.col("width") * F.col("nb")).alias("b_sec"), F.sum(F.col("width") * F.col("na") * F.col("nb")).alias("overlap_sec")
     )
@@ -113,34 +148,24 @@ def precision_recall(overlaps: DataFrame) -> DataFrame:
     return with_pr.withColumn("f1", safe_ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def running_budget(rows: DataFrame, order: str, size: str, budget: float, buckets: int = 64) -> DataFrame:
+def running_budget(rows: DataFrame, order: str, size: str, budget: float, most: int = 1 << 16) -> DataFrame:
     """Rows in order as long as the sizes before them stay below a budget; adds `before`.
 
-    The running sum is taken in two levels (within ranges of the order, then over range totals), so that no
-    task sees all rows; the ranges hold about as many rows each. Rows with a null order come first; rows of one order
-    count one after the other by size, then by their other columns. A null size is 0.
+    The running sum is taken in two levels (within ranges of the order, then over range totals), and there are as many ranges as there are `most` rows.
+    Rows with a null order come first; rows of one order count one after the other by size, then by their other columns, and may lie in several
+    ranges. A null size is 0.
     """
     width = F.coalesce(F.col(size), F.lit(0))
-    rest = sorted(c for c in rows.columns if c not in (order, size))
-    cuts = rows.where(F.col(order).isNotNull()).agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
-    place = F.lit(0)
-    for c in sorted(set(cuts)):
-        place = place + (F.col(order) >= F.lit(c)).cast("int")
-    cut = rows.withColumn("_range", F.coalesce(place, F.lit(-1)))
-    totals = cut.groupBy("_range").agg(F.sum(width).alias("_total"))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))  # one row per range
-    own = Window.partitionBy("_range").orderBy(F.asc_nulls_first(order), width, *rest).rowsBetween(Window.unboundedPreceding, -1)
-    summed = cut.join(F.broadcast(bases), "_range").withColumn("before", F.col("_base") + F.coalesce(F.sum(width).over(own), F.lit(0)))
-    return summed.where(F.col("before") < budget).drop("_range", "_base")
-
-
-def intro_ramp(rows: DataFrame, group: str, t: str, longest: float = 30.0, share: float = 0.1) -> DataFrame:
+    summed = scan.running(rows.withColumn("_width", width), [], [F.col(order).asc_nulls_first(), "_width"], {"before": (F.col("_width"), "sum")}, before=True, most=most)
+    return summed.withColumn("before", F.coalesce("before", F.lit(0))).where(F.col("before") < budget).drop("_width")
+
+
+def intro_ramp(rows: DataFrame, group: str, t: str, longest: float = 30.0, share: float = 0.1, most: int = scan.MOST, long: scan.Long = scan.Ask) -> DataFrame:
     """A factor that rises from 0.7 to 1 over a group's introduction, 1 elsewhere."""
-    w = Window.partitionBy(group)
-    limit = F.least(F.lit(longest), share * (F.max(t).over(w) - F.min(t).over(w)))
-    marked = rows.withColumn("_intro", (F.col(t) < limit).cast("int"))
-    turn = F.row_number().over(w.orderBy(t))
-    size = F.sum("_intro").over(w)
-    ramp = F.when(size == 1, F.lit(0.7)).otherwise(F.lit(0.7) + F.lit(0.3) * (turn - 1) / (size - 1))
-    return marked.withColumn("ramp", F.when(F.col("_intro") == 1, ramp).otherwise(F.lit(1.0))).drop("_intro")
+    long = scan.long_groups(rows, [group], most) if long is scan.Ask else long
+    limit = F.least(F.lit(longest), share * (F.col("_t1") - F.col("_t0")))
+    marked = scan.with_totals(rows, [group], {"_t0": F.min(t), "_t1": F.max(t)}, most, long).withColumn("_intro", (F.col(t) < limit).cast("int")).drop("_t0", "_t1")
+    marked = scan.with_totals(marked, [group], {"_size": F.sum("_intro")}, most, long)
+    marked = scan.running(marked, [group], [t], {"_turn": (F.lit(1), "count")}, most=most, long=long)
+    ramp = F.when(F.col("_size") == 1, F.lit(0.7)).otherwise(F.lit(0.7) + F.lit(0.3) * (F.col("_turn") - 1) / (F.col("_size") - 1))
+    return marked.withColumn("ramp", F.when(F.col("_intro") == 1, ramp).otherwise(F.lit(1.0))).drop("_intro", "_size", "_turn")

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwright.functions import scalar as S
-from chunkwright.operators import attention, features, relevance, temporal, text
+from chunkwright.operators import attention, features, relevance, scan, temporal, text
 from chunkwright.operators.evaluate import evaluate
 from chunkwright.sources.files import (
     caption_arrays,
@@ -65,6 +65,11 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("user_id", "t").agg(F.max("score").alias("score"))
 
 
+def crowded(spark: SparkSession, sf: str) -> DataFrame | None:
+    """Users with more chunks than one task may hold."""
+    return scan.long_groups(chunks(spark, sf), ["user_id"], source=table(spark, sf, "events"))
+
+
 _SECONDS = "date_diff('microsecond', timestamp '2024-01-01', ts)/1e6::double"
 _CHUNKS = f"c AS (SELECT user_id, {_SECONDS} AS t, max(value) AS score FROM events GROUP BY 1, 2)"
 
@@ -239,36 +244,36 @@ _GATE = f"{_SMOOTH}, g AS (SELECT *, quantile_disc(smooth, 0.6) OVER (PARTITION
 
 @query(f"WITH {_SMOOTH} SELECT user_id, t, round(smooth, 6) AS smooth FROM s")
 def smooth_lag_lead(spark, sf):
-    return rounded(temporal.smooth(chunks(spark, sf), "user_id", "t", "score").select("user_id", "t", "smooth"), "smooth")
+    return rounded(temporal.smooth(chunks(spark, sf), "user_id", "t", "score", long=crowded(spark, sf)).select("user_id", "t", "smooth"), "smooth")
 
 
 @query(f"WITH {_CHUNKS}, g AS (SELECT *, quantile_disc(score, 0.6) OVER (PARTITION BY user_id) AS edge FROM c) SELECT user_id, t, score, edge FROM g WHERE score >= edge AND score > {FLOOR}")
 def percentile_gate(spark, sf):
-    return temporal.percentile_gate(chunks(spark, sf), "user_id", "score", 0.6, FLOOR)
+    return temporal.percentile_gate(chunks(spark, sf), "user_id", "score", 0.6, FLOOR, long=crowded(spark, sf))
 
 
 @query(f"WITH {_GATE} SELECT user_id, t, round(smooth, 6) AS smooth FROM h")
 def temporal_highpass(spark, sf):
-    return rounded(temporal.highpass(chunks(spark, sf), "user_id", "t", "score", 0.6, FLOOR).select("user_id", "t", "smooth"), "smooth")
+    return rounded(temporal.highpass(chunks(spark, sf), "user_id", "t", "score", 0.6, FLOOR, long=crowded(spark, sf)).select("user_id", "t", "smooth"), "smooth")
 
 
 @query(f"WITH {_CHUNKS} SELECT user_id, round(quantile_cont(score, 0.8), 6) AS edge FROM c GROUP BY 1")
 def exact_quantile(spark, sf):
-    return rounded(chunks(spark, sf).groupBy("user_id").agg(F.percentile("score", 0.8).alias("edge")), "edge")
+    return rounded(scan.quantile(chunks(spark, sf), ["user_id"], "score", 0.8, long=crowded(spark, sf)), "edge")
 
 
 _K = "CAST(floor(greatest(5::double, 0.2::double * d) / 1) AS INT)"
 _TOP = f"""{_CHUNKS}, n AS (SELECT *, count(*) OVER (PARTITION BY user_id)::double AS d, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, t) AS rank FROM c), k AS (SELECT * FROM n WHERE rank <= {_K})"""
 
 
-def _budgeted(spark, sf):
-    counted = chunks(spark, sf).withColumn("d", F.count(F.lit(1)).over(Window.partitionBy("user_id")).cast("double"))
-    return temporal.top_k(counted, "user_id", "t", "score", temporal.budget_rows("d", 5.0, 0.2, 1.0))
+def _budgeted(spark, sf, long):
+    counted = scan.with_totals(chunks(spark, sf), ["user_id"], {"d": F.count(F.lit(1))}, long=long).withColumn("d", F.col("d").cast("double"))
+    return temporal.top_k(counted, "user_id", "t", "score", temporal.budget_rows("d", 5.0, 0.2, 1.0), long=long)
 
 
 @query(f"WITH {_TOP} SELECT user_id, t, score, rank FROM k")
 def topk_budget(spark, sf):
-    return _budgeted(spark, sf).select("user_id", "t", "score", F.col("rank").cast("bigint").alias("rank"))
+    return _budgeted(spark, sf, crowded(spark, sf)).select("user_id", "t", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 _ISLANDS = f"""{_TOP}, f AS (SELECT *, CASE WHEN t - (lag(t) OVER w + {CHUNK}::double) <= {BRIDGE} THEN 0 ELSE 1 END AS fresh FROM k WINDOW w AS (PARTITION BY user_id ORDER BY t)),
@@ -276,38 +281,40 @@ _ISLANDS = f"""{_TOP}, f AS (SELECT *, CASE WHEN t - (lag(t) OVER w + {CHUNK}::d
  m AS (SELECT user_id, min(t) AS start_time, max(t) + {CHUNK}::double AS end_time, count(*) AS chunks FROM i GROUP BY user_id, island)"""
 
 
-def _segments(spark, sf):
-    return temporal.merge_islands(_budgeted(spark, sf), "user_id", "t", CHUNK, BRIDGE)
+def _segments(spark, sf, long):
+    return temporal.merge_islands(_budgeted(spark, sf, long), "user_id", "t", CHUNK, BRIDGE, long=long)
 
 
 @query(f"WITH {_ISLANDS} SELECT user_id, start_time, end_time, chunks FROM m")
 def island_merge(spark, sf):
-    return _segments(spark, sf)
+    return _segments(spark, sf, crowded(spark, sf))
 
 
 _CAPPED = f"""{_ISLANDS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY end_time - start_time DESC, start_time) AS p FROM m), dur AS (SELECT user_id, max(t) - min(t) AS total FROM c GROUP BY 1),
  capped AS (SELECT user_id, start_time, end_time FROM r JOIN dur USING (user_id) WHERE p <= greatest(3, floor(total / {PER})::INT))"""
 
 
-def _capped(spark, sf):
+def _capped(spark, sf, long):
     spans = chunks(spark, sf).groupBy("user_id").agg((F.max("t") - F.min("t")).alias("total"))
-    return temporal.cap_segments(_segments(spark, sf).join(spans, "user_id"), "user_id", "total", per=PER).select("user_id", "start_time", "end_time")
+    return temporal.cap_segments(_segments(spark, sf, long).join(spans, "user_id"), "user_id", "total", per=PER, long=long).select("user_id", "start_time", "end_time")
 
 
 @query(f"WITH {_CAPPED} SELECT user_id, start_time, end_time FROM capped")
 def segment_cap(spark, sf):
-    return _capped(spark, sf)
+    return _capped(spark, sf, crowded(spark, sf))
 
 
 @query(f"""WITH {_CAPPED} SELECT user_id, start_time, end_time, row_number() OVER (PARTITION BY user_id ORDER BY start_time) - 1 AS "index", greatest(0::double, start_time - 0.25::double) AS seek,
  greatest(start_time + 1, end_time) - start_time + 0.5::double AS length FROM capped""")
 def cut_plan(spark, sf):
-    return temporal.cut_plan(_capped(spark, sf), "user_id").withColumn("index", F.col("index").cast("bigint"))
+    long = crowded(spark, sf)
+    return temporal.cut_plan(_capped(spark, sf, long), "user_id", long=long).withColumn("index", F.col("index").cast("bigint"))
 
 
 @query(f"""WITH {_CAPPED} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_time) - 1 AS "index", 'file ''temp_chunks/' || user_id || '_' || (row_number() OVER (PARTITION BY user_id ORDER BY start_time) - 1) || '.mp4''' AS line FROM capped""")
 def concat_list(spark, sf):
-    cuts = temporal.cut_plan(_capped(spark, sf), "user_id").withColumn("index", F.col("index").cast("bigint"))
+    long = crowded(spark, sf)
+    cuts = temporal.cut_plan(_capped(spark, sf, long), "user_id", long=long).withColumn("index", F.col("index").cast("bigint"))
     return temporal.concat_list(cuts.withColumn("key", F.col("user_id")), "user_id")
 
 
@@ -322,7 +329,7 @@ _RAMP = f"""{_CHUNKS}, l AS (SELECT *, least(900000::double, 0.1::double * (max(
 
 @query(f"WITH {_RAMP} SELECT user_id, t, round(CASE WHEN intro = 1 THEN CASE WHEN k = 1 THEN 0.7::double ELSE 0.7::double + 0.3::double * (rn - 1) / (k - 1) END ELSE 1 END, 6) AS ramp FROM y")
 def intro_ramp(spark, sf):
-    return rounded(temporal.intro_ramp(chunks(spark, sf), "user_id", "t", 900000.0).select("user_id", "t", "ramp"), "ramp")
+    return rounded(temporal.intro_ramp(chunks(spark, sf), "user_id", "t", 900000.0, long=crowded(spark, sf)).select("user_id", "t", "ramp"), "ramp")
 
 
 _PAIRS = f"""{_ISLANDS}, e AS (SELECT user_id, quantile_cont(score, 0.8) AS edge FROM c GROUP BY 1), imp AS (SELECT c.user_id, t AS start_time, t + {CHUNK}::double AS end_time FROM c JOIN e USING (user_id) WHERE score >= edge),
@@ -332,15 +339,16 @@ _PAIRS = f"""{_ISLANDS}, e AS (SELECT user_id, quantile_cont(score, 0.8) AS edge
  f1 AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM pr)"""
 
 
-def _important(spark, sf):
+def _important(spark, sf, long):
     scores = chunks(spark, sf)
-    edges = scores.groupBy("user_id").agg(F.percentile("score", 0.8).alias("edge"))
+    edges = scan.quantile(scores, ["user_id"], "score", 0.8, long=long)
     return scores.join(edges, "user_id").where("score >= edge").select("user_id", F.col("t").alias("start_time"), (F.col("t") + CHUNK).alias("end_time"))
 
 
 @query(f"WITH {_PAIRS} SELECT user_id, round(a_sec, 3) AS a_sec, round(b_sec, 3) AS b_sec, round(overlap_sec, 3) AS overlap_sec, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM f1")
 def interval_overlap_f1(spark, sf):
-    found = temporal.precision_recall(temporal.interval_overlap(_segments(spark, sf), _important(spark, sf), "user_id"))
+    long = crowded(spark, sf)
+    found = temporal.precision_recall(temporal.interval_overlap(_segments(spark, sf, long), _important(spark, sf, long), "user_id", long=long))
     return rounded(rounded(found, "precision", "recall", "f1"), "a_sec", "b_sec", "overlap_sec", digits=3)
 
 
@@ -350,7 +358,8 @@ _RED = f"{_ISLANDS}, {_RED_PART}"
 
 @query(f"WITH {_RED} SELECT user_id, round(redundancy, 6) AS redundancy FROM red")
 def redundancy(spark, sf):
-    return rounded(temporal.redundancy(_segments(spark, sf), "user_id"), "redundancy")
+    long = crowded(spark, sf)
+    return rounded(temporal.redundancy(_segments(spark, sf, long), "user_id", long=long), "redundancy")
 
 
 @query(f"""WITH {_PAIRS}, {_RED_PART},
@@ -363,10 +372,11 @@ def redundancy(spark, sf):
  round_even(round(coalesce(mean, 0), 9), 3) AS avg_importance, round_even(round(redundancy, 9), 3) AS redundancy_score, round_even(round(p, 9), 3) AS temporal_precision, round_even(round(r, 9), 3) AS temporal_recall, round_even(round(f1, 9), 3) AS temporal_f1
  FROM a JOIN tot USING (user_id) JOIN w USING (user_id) LEFT JOIN ch USING (user_id) JOIN red USING (user_id) JOIN f1 USING (user_id)""")
 def eval_report(spark, sf):
-    segments = _segments(spark, sf).withColumn("duration", F.col("end_time") - F.col("start_time"))
+    long = crowded(spark, sf)
+    segments = _segments(spark, sf, long).withColumn("duration", F.col("end_time") - F.col("start_time"))
     scores = chunks(spark, sf).withColumnRenamed("t", "start_time")
     durations = scores.select("user_id").distinct().withColumn("duration", F.lit(2592000.0))
-    return evaluate(segments, scores, durations, "user_id", chunk=CHUNK)
+    return evaluate(segments, scores, durations, "user_id", chunk=CHUNK, long=long)
 
 
 # attention
@@ -430,8 +440,8 @@ def grouped_map_attention(spark, sf):
 
 @query(f"WITH {_CHUNKS} SELECT user_id, t, round(CASE WHEN max(score) OVER w <> min(score) OVER w THEN 0.1::double + 0.9::double * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0.5 END, 6) AS norm FROM c WINDOW w AS (PARTITION BY user_id)")
 def minmax_norm(spark, sf):
-    w = Window.partitionBy("user_id")
-    return rounded(chunks(spark, sf).select("user_id", "t", S.min_max(F.col("score"), F.min("score").over(w), F.max("score").over(w)).alias("norm")), "norm")
+    known = scan.with_totals(chunks(spark, sf), ["user_id"], {"low": F.min("score"), "high": F.max("score")}, long=crowded(spark, sf))
+    return rounded(known.select("user_id", "t", S.min_max(F.col("score"), F.col("low"), F.col("high")).alias("norm")), "norm")
 
 
 # text
@@ -548,7 +558,7 @@ def mfcc_chunks(spark, sf):
 def timeline_rows(spark, sf):
     from chunkwright.sources.files import timeline
 
-    return timeline(chunks(spark, sf).withColumnRenamed("t", "start_time"), _segments(spark, sf), "user_id")
+    return timeline(chunks(spark, sf).withColumnRenamed("t", "start_time"), _segments(spark, sf, crowded(spark, sf)), "user_id")
 
 
 @query("SELECT DISTINCT event_type FROM events")
