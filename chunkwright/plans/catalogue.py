@@ -500,8 +500,15 @@ def bpe_best_pair(spark, sf):
 
 @query()
 def training_pairs(spark, sf):
-    merges = text.train_bpe(table(spark, sf, "benchmark"), "item_id", "text", 300)
-    return text.training_pairs(table(spark, sf, "benchmark"), "item_id", "text", merges)
+    docs = table(spark, sf, "documents")
+    return text.training_pairs(docs, "doc_id", "text", text.train_bpe(docs, "doc_id", "text", 300))
+
+
+@query()
+def bpe_train(spark, sf):
+    """The merges of a vocabulary trained on all documents, in order."""
+    merges = text.train_bpe(table(spark, sf, "documents"), "doc_id", "text", 300)
+    return spark.createDataFrame([(a, b, new) for (a, b), new in merges.items()], "left int, right int, id int")
 
 
 @query()
@@ -513,8 +520,8 @@ def bpe_encode(spark, sf):
 
 @query()
 def bpe_encode_documents(spark, sf):
-    merges = text.train_bpe(table(spark, sf, "benchmark"), "item_id", "text", 300)
-    return table(spark, sf, "documents").select("doc_id", text.bpe_encode(merges)("text").alias("ids"))
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", text.bpe_encode(text.train_bpe(docs, "doc_id", "text", 300))("text").alias("ids"))
 
 
 # arrays, vectors, features
