@@ -101,3 +101,32 @@ def padded(a: Column | str, size: int, fill: int) -> Column:
 def framed(a: Column | str, most: int, first: int, last: int) -> Column:
     """A token array cut to leave room for a first and a last mark, and framed by them."""
     return F.concat(F.array(F.lit(first)), F.slice(_col(a), 1, most - 2), F.array(F.lit(last)))
+
+
+def laplacian(pixels: Column | str, width: int) -> Column:
+    """The 3 x 3 Laplacian of a gray image, whose rows follow each other in an array; beyond an edge the row next to it counts again (the edge itself in an image of one row or column)."""
+    p, n = _col(pixels), F.size(_col(pixels))
+    height = F.floor(n / width).cast("int")
+    flat = (height < 2) | F.lit(width < 2)
+
+    def mirrored(x: Column, size: Column) -> Column:
+        return F.when(flat, F.greatest(F.lit(0), F.least(x, size - 1))).when(x < 0, -x).when(x >= size, 2 * size - 2 - x).otherwise(x)
+
+    def at(row: Column, col: Column) -> Column:
+        place = mirrored(row, height) * width + mirrored(col, F.lit(width))
+        return F.get(p, place.cast("int")).cast("double")
+
+    def one(x: Column, i: Column) -> Column:
+        row, col = F.floor(i / width).cast("int"), i % width
+        return at(row - 1, col) + at(row + 1, col) + at(row, col - 1) + at(row, col + 1) - 4 * x.cast("double")
+
+    return F.transform(p, one)
+
+
+def variance(a: Column | str) -> Column:
+    """Population variance of an array; 0 of an empty one."""
+    a = _col(a)
+    size = F.size(a)
+    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / size
+    apart = F.zip_with(a, F.array_repeat(mean, size), lambda x, m: (x - m) * (x - m))  # the mean is worked out once
+    return F.when(size > 0, F.aggregate(apart, F.lit(0.0), lambda s, x: s + x) / size).otherwise(F.when(size == 0, F.lit(0.0)))

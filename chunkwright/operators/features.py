@@ -9,13 +9,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwright.functions.scalar import basename, chunked
+from chunkwright.functions.scalar import basename, chunked, laplacian, variance
+from chunkwright.operators import clusters
 
 CHUNKS = "file string, start_time float, sample_rate int, samples array<float>, error string"
 
@@ -140,15 +140,10 @@ def cluster_count(n: int) -> int:
     return min(max(int((n / 2) ** 0.5), 20), 80)
 
 
-def cluster_tokens(rows: DataFrame, features: str, order: list[str], k: int | None = None, seed: int = 42, out: str = "token_id") -> tuple[DataFrame, KMeansModel]:
-    """Adds the cluster of each vector. Rows are put in order first, so that equal inputs give equal clusters."""
-    vectors = rows.withColumn("_v", array_to_vector(features)).repartitionByRange(8, *order).sortWithinPartitions(*order)
-    vectors.persist()
-    try:
-        model = KMeans(k=k or cluster_count(vectors.count()), seed=seed, featuresCol="_v", predictionCol=out).fit(vectors)
-    finally:
-        vectors.unpersist()
-    return model.transform(rows.withColumn("_v", array_to_vector(features))).drop("_v"), model
+def cluster_tokens(rows: DataFrame, features: str, k: int | None = None, seed: int = 42, out: str = "token_id") -> tuple[DataFrame, clusters.Clusters | None]:
+    """Adds the cluster of each vector, and gives the clusters: the same ones however rows are partitioned. A null vector has no cluster."""
+    found = clusters.fit(rows, features, k or cluster_count(rows.where(F.col(features).isNotNull()).count()), seed)
+    return rows.withColumn(out, found.token(features) if found else F.lit(None).cast("int")), found
 
 
 def laplacian_variance(gray: np.ndarray | None) -> float:
@@ -159,6 +154,13 @@ def laplacian_variance(gray: np.ndarray | None) -> float:
     return float((g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]).var())
 
 
+def sharpness(images: DataFrame, pixels: str, width: int, out: str = "blur_score", edge: float = 100.0) -> DataFrame:
+    """Adds the sharpness of gray images that are arrays of pixels, row by row, and `status`; nothing leaves the JVM. A null image scores 0."""
+    stencil = images.withColumn("_laplacian", laplacian(F.when(F.size(pixels) > 0, F.col(pixels)), width))
+    scored = stencil.withColumn(out, F.coalesce(variance("_laplacian"), F.lit(0.0))).drop("_laplacian")
+    return scored.withColumn("status", F.when(F.col(out) > edge, "SHARP").otherwise("BLURRY"))
+
+
 def read_pgm(data: bytes) -> np.ndarray | None:
     """A binary gray (P5) or colour (P6) portable image as gray levels; None if it is neither."""
     try:

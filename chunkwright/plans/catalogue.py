@@ -549,10 +549,26 @@ def standard_scale(spark, sf):
     return scaled.select("vec_id", F.posexplode("scaled").alias("dim", "scaled")).select("vec_id", F.col("dim").cast("bigint").alias("dim"), F.round("scaled", 6).alias("scaled"))
 
 
+#: Places -1 and 8 are 1 and 6.
+_FOLD = "(7 - abs(7 - abs({})))"
+
+
+def _stencil(row: str, col: str) -> str:
+    return f"e[{_FOLD.format(row)} * 8 + {_FOLD.format(col)} + 1]"
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::double[] AS e FROM embeddings),
+ l AS (SELECT vec_id, list_transform(range(64), lambda i: {_stencil("(i // 8 - 1)", "(i % 8)")} + {_stencil("(i // 8 + 1)", "(i % 8)")} + {_stencil("(i // 8)", "(i % 8 - 1)")} + {_stencil("(i // 8)", "(i % 8 + 1)")} - 4 * e[i + 1]) AS d FROM v)
+ SELECT vec_id, round(list_var_pop(d), 6) AS blur_score, CASE WHEN list_var_pop(d) > 1 THEN 'SHARP' ELSE 'BLURRY' END AS status FROM l""")
+def image_sharpness(spark, sf):
+    """Embeddings as gray images of 8 x 8 pixels."""
+    return rounded(features.sharpness(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 8, edge=1.0).drop("embedding"), "blur_score")
+
+
 @query()
 def kmeans_tokens(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return features.cluster_tokens(rows, "embedding", ["vec_id"])[0].select("vec_id", "token_id")
+    return features.cluster_tokens(rows, "embedding")[0].select("vec_id", "token_id")
 
 
 @query()

@@ -32,7 +32,7 @@ class Params:
 def tokens_and_relevance(vectors: DataFrame, p: Params = Params()) -> DataFrame:
     """(file, start_time, mfcc, token_id, score) from (file, start_time, mfcc)."""
     scaled = standard_scale(vectors.where("mfcc is not null"), "mfcc")
-    tokens, _ = cluster_tokens(scaled, "scaled", ["file", "start_time"], p.clusters, p.seed)
+    tokens, _ = cluster_tokens(scaled, "scaled", p.clusters, p.seed)
     return tfidf_rows(tokens.drop("scaled"), "file", "token_id").select("file", "start_time", "mfcc", "token_id", "score")
 
 
