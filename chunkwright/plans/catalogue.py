@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from chunkwright.functions import scalar as S
 from chunkwright.operators import attention, features, relevance, scan, temporal, text
 from chunkwright.operators.evaluate import evaluate
+from chunkwright.sources.audio import wav_chunks, write_wavs
 from chunkwright.sources.files import (
     caption_arrays,
     caption_document,
@@ -23,7 +24,6 @@ from chunkwright.sources.files import (
     caption_table,
     committed,
     corpus_lines,
-    headered_csv,
     heatmap,
     json_lines,
     missing_from,
@@ -33,6 +33,7 @@ from chunkwright.sources.files import (
     write_document,
     write_parquet,
 )
+from chunkwright.sources.quoted import read_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -625,7 +626,7 @@ def grouped_display(spark, sf):
 def csv_round_trip(spark, sf):
     path = scratch(spark)
     write_csv(table(spark, sf, "conversations"), path)
-    return headered_csv(spark, path, "conv_id bigint, turn bigint, role string, text string")
+    return read_csv(spark, path, "conv_id bigint, turn bigint, role string, text string")
 
 
 @query("SELECT label, vec_id, embedding FROM embeddings")
@@ -653,6 +654,17 @@ def caption_round_trip(spark, sf):
     return caption_table(caption_rows(spark, path))
 
 
+@query("""WITH v AS (SELECT vec_id || '.wav' AS file, embedding::double[] AS e, unnest(range(4)) AS pos FROM embeddings)
+ SELECT file, (pos * 1.25)::double AS start_time, 16 AS sample_rate, list_transform(range(20), lambda k: greatest(-32768, least(32767, coalesce(round_even(e[pos * 20 + k + 1] * 32768, 0), 0))) / 32768) AS samples FROM v""")
+def audio_round_trip(spark, sf):
+    """Embeddings as wav files of 64 samples, cut into chunks of 20."""
+    path = scratch(spark)
+    rows = table(spark, sf, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(".wav")).alias("file"), "embedding")
+    write_wavs(rows, path, "file", "embedding", 16).count()
+    cut = wav_chunks(spark, path, 1.25)
+    return cut.select("file", F.col("start_time").cast("double").alias("start_time"), "sample_rate", F.transform("samples", lambda x: x.cast("double")).alias("samples"))
+
+
 @query("SELECT text AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM benchmark) GROUP BY 1")
 def text_lines(spark, sf):
     """A plain-text corpus, read line by line."""

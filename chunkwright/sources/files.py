@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chunkwright.sources.quoted import read_csv
+
 CAPTIONS = "map<string,struct<text:array<string>,start:array<double>,end:array<double>>>"
 MANIFEST = "video_id string, task_id int, rank int, category_1 string, category_2 string"
 TRANSCRIPTS = "file string, start_time string, text string"
@@ -41,18 +43,21 @@ def found_in(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
 
 
 def headered_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV with header and declared columns; quotes are doubled, fields may span lines, broken rows become nulls."""
+    """A CSV with header and declared columns; quotes are doubled, fields may span lines, broken rows become nulls.
+
+    A file is one task, so that quotes may stand anywhere; well-formed files are read by `quoted.read_csv` in many.
+    """
     return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
 
 
 def scored_csv(spark: SparkSession, path: str) -> DataFrame:
     """(file, start_time, score) as numbers; repeated header rows go."""
-    rows = headered_csv(spark, path, SCORES).where("start_time <> 'start_time'")
+    rows = read_csv(spark, path, SCORES).where("start_time <> 'start_time'")
     return rows.select("file", F.col("start_time").try_cast("double").alias("start_time"), F.col("tfidf_score").try_cast("double").alias("score"))
 
 
 def transcripts_csv(spark: SparkSession, path: str) -> DataFrame:
-    rows = headered_csv(spark, path, TRANSCRIPTS).where("start_time <> 'start_time'")
+    rows = read_csv(spark, path, TRANSCRIPTS).where("start_time <> 'start_time'")
     return rows.select("file", F.col("start_time").try_cast("double").alias("start_time"), "text")
 
 
