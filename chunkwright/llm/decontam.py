@@ -2,7 +2,8 @@
 
 A seed is, at each word of an item, the shortest of the `GRAMS` n-grams whose chance of standing at a place of
 the corpus, under independent words with their corpus frequencies, is at most `RARE`. Frequencies are counted
-over all documents. Copies of a passage do not make its seeds common: the bound is on words, not on the n-gram.
+over all documents. Copies of a passage do not make its seeds common: the bound is on words, not on the n-gram. An item that
+has no rare n-gram (a short one, or one of common words alone) has its whole word sequence as its seed: it is found where it stands word for word.
 Every seed hit opens a window around its diagonal; windows of the same item that overlap are one. The item is
 aligned locally with the window (words equal: +2, different: -1, gap: -1); score / (2 * item words) is the score.
 
@@ -84,12 +85,15 @@ class Items:
         for i, own in enumerate(lists):
             logs = np.log([frequency.get(int(w), 0.0) or 1e-12 for w in own]) if len(own) else np.zeros(0)
             sums = np.concatenate([[0.0], np.cumsum(logs)])
-            grams = {n: _grams(own, n) for n in GRAMS}
+            grams, seeded = {n: _grams(own, n) for n in GRAMS}, False
             for p in range(len(own)):
                 for n in GRAMS:
                     if p + n <= len(own) and sums[p + n] - sums[p] <= np.log(RARE):
                         found[n][int(grams[n][p])].append((i, p))
+                        seeded = True
                         break
+            if len(own) and not seeded:
+                found.setdefault(len(own), defaultdict(list))[int(_grams(own, len(own))[0])].append((i, 0))
         seeds = {}
         for n, by in found.items():
             hashes = np.array(sorted(by), np.uint64)

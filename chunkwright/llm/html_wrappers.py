@@ -51,7 +51,8 @@ CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td",
 SCOPE = ("ul", "ol", "dl", "table", "select", "div", "section", "article", "main", "body", "td", "th")
 CELLS = frozenset(("tr", "td", "th"))
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+NAME_OF = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -111,10 +112,75 @@ class Open:
         return own >= 0 and all(self.last(s) <= own for s in (("table",) if tag in CELLS else SCOPE))
 
 
+class Marks:
+    """Where the tags, comments and declarations of a page stand.
+
+    A tag ends at the first ">" outside quotes; a "<" whose tag has no end is text. What a scan met at a quote or at a ">" is remembered, so
+    that any number of open "<" costs no more than one pass.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.stop = (0, -1)  # from here on the next of > " ' is there
+        self.ends: dict[int, int] = {}  # from a quote outside of quotes: the tag's end, -1 without one
+
+    def next_stop(self, at: int) -> int:
+        begin, found = self.stop
+        if not begin <= at <= found:
+            m = STOP.search(self.page, at)
+            found = m.start() if m else len(self.page)
+            self.stop = (at, found)
+        return found
+
+    def end_of(self, at: int) -> int:
+        """The place of the ">" that ends a tag whose attributes begin here; -1 without one."""
+        passed, end = [], -1
+        while at <= self.last:
+            at = self.next_stop(at)
+            if at >= len(self.page):
+                break
+            if self.page[at] == ">":
+                end = at
+                break
+            if at in self.ends:
+                end = self.ends[at]
+                break
+            passed.append(at)
+            closing = self.page.find(self.page[at], at + 1)
+            if closing < 0:
+                break
+            at = closing + 1
+        self.ends |= dict.fromkeys(passed, end)
+        return end
+
+    def find(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(begin, end, slash, name, attributes) of the first mark from here on; the name of what is no tag is empty."""
+        page, n = self.page, len(self.page)
+        begin = page.find("<", at)
+        while begin >= 0:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                return begin, end + 3 if end >= 0 else n - (page.endswith("\n") and n - 1 >= begin + 4), "", "", ""
+            if begin > self.last:
+                begin = page.find("<!--", begin)
+                continue
+            if page[begin + 1 : begin + 2] in ("!", "?"):
+                return begin, page.find(">", begin) + 1, "", "", ""
+            m = NAME_OF.match(page, begin)
+            if m:
+                # a quote may stand in a name; without an end then it begins the attributes
+                for cut in [m.end(), *(m.start(2) + k for k in range(len(m[2]) - 1, 0, -1) if m[2][k] in "\"'")]:
+                    end = self.end_of(cut)
+                    if end >= 0:
+                        return begin, end + 1, m[1], page[m.start(2) : cut], page[cut:end]
+            begin = page.find("<", begin + 1)
+        return None
+
+
 def events(page: str) -> Iterator[tuple[str, str, bool]]:
     """Balanced events of a page: ("<", signature, template part), (">", tag, False), ("t", text, False)."""
     stack = Open()
-    at, n = 0, len(page)
+    at, n, marks = 0, len(page), Marks(page)
 
     def close(tag: str) -> Iterator[tuple[str, str, bool]]:
         while stack.tags:
@@ -124,17 +190,18 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
                 return
 
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
+        mark = marks.find(at)
+        if mark is None:
             yield "t", page[at:], False
             break
-        if m.start() > at:
-            yield "t", page[at : m.start()], False
-        at = m.end()
-        if m[2] is None:
+        begin, end, slash, name, attributes = mark
+        if begin > at:
+            yield "t", page[at:begin], False
+        at = end
+        if not name:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lower()
+        if slash:
             if tag == "br":
                 yield "<", "br", False
                 yield ">", "br", False
@@ -146,13 +213,13 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
         for other in CLOSED_BY.get(tag, ()):
             if stack.reaches(other):
                 yield from close(other)
-        name, drop = signature(tag, m[3])
+        name, drop = signature(tag, attributes)
         yield "<", name, drop
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             yield ">", tag, False
         elif tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            found = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at, marks.last + 1)  # before the last > each one ends
+            at = found.end() if found else n
             yield ">", tag, False
         else:
             stack.push(tag)

@@ -164,3 +164,34 @@ def test_made_pages(spark, main):
         rows.append((k, f"https://{host}.example/{k}", f"<!doctype html><html><head><title>no</title></head><body><nav><ul>{links}</ul></nav><div class='sidebar'>{k} no</div><{holder}>{''.join(parts)}</{holder.split()[0]}><section class='comments'><p>no {k}</p></section><footer>{k} no</footer></body></html>"))
         want[k] = "\n\n".join(said)
     assert texts(spark, rows) == want
+
+
+def test_marks_as_one_pattern_has_them():
+    import random
+    import re
+
+    # Fixed value: what a comment, a tag and a declaration are, as one pattern.
+    stated = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+    rng = random.Random(1)
+    bits = ["<", ">", "a", "/", " ", '"', "'", "<!--", "-->", "!", "?", "\n", "<p>", "</p>", "=", '<a b="c">', "<div class='q'>", "<br/>", "--"]
+    for _ in range(20_000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(0, 22)))
+        want, at, got, to = [], 0, [], 0
+        while at < len(page) and (m := stated.search(page, at)):
+            want.append((m.start(), m.end(), m[1] or "", m[2] or "", m[3] or ""))
+            at = m.end()
+        marks = html_wrappers.Marks(page)
+        while to < len(page) and (m := marks.find(to)):
+            got.append(m)
+            to = m[1]
+        assert got == want, page
+
+
+def test_broken_markup_takes_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<a b " * 200_000, '<a "' * 250_000, "<a <a " * 80_000 + '"' + "x" * 100_000 + ">", "<!a " * 250_000, "<script>" + "</script " * 100_000, "<!--" * 250_000, "<a'a'" * 150_000 + ">"):
+        for _ in html_wrappers.events(page):
+            pass
+    assert time.perf_counter() - began < 30

@@ -299,3 +299,12 @@ def test_decontamination(spark, docs_of):
     assert kept.count() == 40 + len(ODD) and kept.columns == docs_of(rows).columns
     assert decontam.contaminated(docs_of(rows), bench.limit(0)).count() == 0
     assert decontam.contaminated(docs_of([]), bench).count() == 0
+
+
+def test_items_without_rare_words_are_found_word_for_word(spark, docs_of):
+    filler = "to be or not hello world and so on " * 400  # every word is common
+    docs = docs_of([(1, "hello world"), (2, "say to be or not to be now"), (3, filler), (4, "hello there world"), (5, None)])
+    benchmark = spark.createDataFrame([(1, "hello world"), (2, "to be or not to be"), (3, ""), (4, None)], "item_id bigint, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["score"]) for r in decontam.contaminated(docs, benchmark).collect())
+    assert got == [(1, 1, 1.0), (2, 2, 1.0), (3, 1, 1.0)]
+    assert sorted(r["doc_id"] for r in decontam.clean(docs, benchmark).collect()) == [4, 5]
