@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, MapType, VariantType
 
-from chunkwright.sources.files import scratch
+from chunkwright.sources.stores import kept
 
 #: Rows of a group that one task may hold.
 MOST = 1 << 20
@@ -28,13 +28,6 @@ KINDS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Co
 }
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet to the folder that all executors share and read again."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def long_groups(rows: DataFrame, group: list[str], most: int = MOST, source: DataFrame | None = None) -> DataFrame | None:
     """Keys of the groups of more than `most` rows; None if there is none.
 

@@ -19,7 +19,6 @@ from chunkwright.operators.evaluate import evaluate
 from chunkwright.sources.audio import wav_chunks, write_wavs
 from chunkwright.sources.files import (
     caption_arrays,
-    caption_document,
     caption_rows,
     caption_table,
     committed,
@@ -27,13 +26,13 @@ from chunkwright.sources.files import (
     heatmap,
     json_lines,
     missing_from,
-    scratch,
     with_captions,
     write_csv,
-    write_document,
     write_parquet,
 )
+from chunkwright.sources.objects import write_objects
 from chunkwright.sources.quoted import read_csv
+from chunkwright.sources.stores import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -650,7 +649,7 @@ def caption_round_trip(spark, sf):
     one = F.struct(F.col("c_custkey").cast("double").alias("start"), F.col("c_name").alias("text"), F.lit(1.0).alias("duration"))
     pieces = rows.groupBy(F.col("n_name").alias("video_id")).agg(F.sort_array(F.collect_list(one)).alias("pieces"))
     path = scratch(spark)
-    write_document(caption_document(caption_arrays(pieces)), path)
+    write_objects(caption_arrays(pieces).select("video_id", F.struct("text", "start", "end").alias("c")), path, "video_id", "c")
     return caption_table(caption_rows(spark, path))
 
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwright.operators import scan
+from chunkwright.sources.stores import kept, opened
 
 #: Bytes of samples that a task reads at once.
 RANGE = 8 << 20
@@ -20,12 +18,6 @@ HEADS = "path string, rate int, channels int, width int, begin bigint, frames bi
 CHUNKS = "file string, start_time float, sample_rate int, samples array<float>, error string"
 
 
-def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    """The Arrow file system of a path as Spark lists it, and the path there."""
-    local = re.match(r"(?:file:)?(?://(?=/))?(/.*)", path)
-    return (pafs.LocalFileSystem(), local[1]) if local else pafs.FileSystem.from_uri(path)
-
-
 def wav_head(source, length: int) -> tuple[int, int, int, int, int]:  # noqa: ANN001
     """(rate, channels, bytes a sample, where samples begin, frames) from a file's RIFF chunks; what lies between them is passed over."""
     source.seek(0)
@@ -103,7 +95,7 @@ def wav_chunks(spark: SparkSession, folder: str, seconds: float = 5.0, most: int
     must be in a store that Arrow opens.
     """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select("path", "length")
-    heads = scan.kept(listed.mapInArrow(_heads, HEADS))
+    heads = kept(listed.mapInArrow(_heads, HEADS))
     size = F.floor(F.col("rate") * seconds)
     count = F.ceil(F.col("frames") / size)
     many = F.greatest(F.lit(1), F.floor(F.lit(most) / (size * F.col("channels") * F.col("width"))))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chunkwright.sources.objects import entries
 from chunkwright.sources.quoted import read_csv
 
 CAPTIONS = "map<string,struct<text:array<string>,start:array<double>,end:array<double>>>"
@@ -67,9 +64,8 @@ def json_lines(spark: SparkSession, path: str, schema: str | T.StructType | None
 
 
 def caption_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(video_id, text, start, end) of a JSON document of parallel arrays by video."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", CAPTIONS)).alias("video_id", "c")).select("video_id", "c.text", "c.start", "c.end")
+    """(video_id, text, start, end) of JSON documents of parallel arrays by video; a large document is read by ranges."""
+    return entries(spark, path).select(F.explode(F.from_json("entry", CAPTIONS)).alias("video_id", "c")).select("video_id", "c.text", "c.start", "c.end")
 
 
 def caption_table(captions: DataFrame) -> DataFrame:
@@ -101,16 +97,6 @@ def corpus_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share, for files that are read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="chunkwright-")  # one machine, as in tests
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def committed(spark: SparkSession, path: str, read):  # noqa: ANN001, ANN201
     """What `read()` gives, if the writer of the folder came to its end (its marker is there); else an error."""
     jvm = spark.sparkContext._jvm
