@@ -23,9 +23,13 @@ from chunkwright.sources.files import (
     caption_table,
     committed,
     corpus_lines,
+    existing,
+    folder_size,
     heatmap,
     json_lines,
     missing_from,
+    or_default,
+    scored_csv,
     with_captions,
     write_csv,
     write_parquet,
@@ -628,6 +632,31 @@ def csv_round_trip(spark, sf):
     return read_csv(spark, path, "conv_id bigint, turn bigint, role string, text string")
 
 
+@query(f"SELECT user_id::VARCHAR AS file, round({_SECONDS}, 6) AS start_time, round(value, 6) AS score FROM events")
+def scored_round_trip(spark, sf):
+    """Scores as text with a header row inside for each user, read back as numbers."""
+    path = scratch(spark)
+    rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("file"), S.seconds_since("ts").cast("string").alias("start_time"), F.col("value").cast("string").alias("tfidf_score"))
+    headers = rows.select("file").distinct().select(*[F.lit(c).alias(c) for c in rows.columns])
+    write_csv(rows.unionByName(headers), path)
+    return rounded(scored_csv(spark, path), "start_time", "score")
+
+
+@query("SELECT vec_id || '.wav' AS name, 172::BIGINT AS length, count(*) OVER () * 172 / 1073741824 AS gib FROM embeddings")
+def listed_files(spark, sf):
+    """Name and size of embeddings' wav files, and what the folder holds; no content is read."""
+    path = scratch(spark)
+    write_wavs(table(spark, sf, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(".wav")).alias("file"), "embedding"), path, "file", "embedding", 16).count()
+    size = folder_size(spark, path).first()["gib"]
+    return existing(spark, path, 44).select("name", "length", F.lit(size).alias("gib"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def fallback_source(spark, sf):
+    """A source that isn't there gives way to another one."""
+    return or_default(lambda: spark.read.parquet(f"{sf}/absent.parquet"), table(spark, sf, "orders")).select("o_orderkey", "o_totalprice")
+
+
 @query("SELECT label, vec_id, embedding FROM embeddings")
 def json_round_trip(spark, sf):
     path = scratch(spark)
