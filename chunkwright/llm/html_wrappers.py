@@ -28,6 +28,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,7 +52,10 @@ CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td",
 SCOPE = ("ul", "ol", "dl", "table", "select", "div", "section", "article", "main", "body", "td", "th")
 CELLS = frozenset(("tr", "td", "th"))
 
-NAME_OF = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: A tag as nearly all are: no "<" inside, quotes closed. It is one that the scan below would find, and never looks beyond the next "<".
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'<]*+)(?=[\s/>])([^<>\"']*+(?:(?:\"[^\"<>]*+\"|'[^'<>]*+')[^<>\"']*+)*+)>")
+NAME_END = re.compile(r"[\s/>]")
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -122,6 +126,8 @@ class Marks:
     def __init__(self, page: str) -> None:
         self.page, self.last = page, page.rfind(">")
         self.stop = (0, -1)  # from here on the next of > " ' is there
+        self.name = (0, -1)  # from here on names end there
+        self.open_names: set[int] = set()  # ends of names that no tag's end follows, whichever quotes are theirs
         self.ends: dict[int, int] = {}  # from a quote outside of quotes: the tag's end, -1 without one
 
     def next_stop(self, at: int) -> int:
@@ -132,6 +138,14 @@ class Marks:
             self.stop = (at, found)
         return found
 
+    def name_end(self, at: int) -> int:
+        begin, found = self.name
+        if not begin <= at <= found:
+            m = NAME_END.search(self.page, at)
+            found = m.start() if m else len(self.page)
+            self.name = (at, found)
+        return found
+
     def end_of(self, at: int) -> int:
         """The place of the ">" that ends a tag whose attributes begin here; -1 without one."""
         passed, end = [], -1
@@ -158,6 +172,9 @@ class Marks:
         page, n = self.page, len(self.page)
         begin = page.find("<", at)
         while begin >= 0:
+            m = PLAIN.match(page, begin)
+            if m:
+                return begin, m.end(), m[1], m[2], m[3]
             if page.startswith("<!--", begin):
                 end = page.find("-->", begin + 4)
                 return begin, end + 3 if end >= 0 else n - (page.endswith("\n") and n - 1 >= begin + 4), "", "", ""
@@ -166,13 +183,16 @@ class Marks:
                 continue
             if page[begin + 1 : begin + 2] in ("!", "?"):
                 return begin, page.find(">", begin) + 1, "", "", ""
-            m = NAME_OF.match(page, begin)
-            if m:
+            slash = page[begin + 1 : begin + 2] == "/"
+            first = begin + 1 + slash
+            stop = self.name_end(first) if page[first : first + 1] in LETTERS else 0
+            if stop and stop not in self.open_names:
                 # a quote may stand in a name; without an end then it begins the attributes
-                for cut in [m.end(), *(m.start(2) + k for k in range(len(m[2]) - 1, 0, -1) if m[2][k] in "\"'")]:
+                for cut in chain((stop,), (k for k in range(stop - 1, first, -1) if page[k] in "\"'")):
                     end = self.end_of(cut)
                     if end >= 0:
-                        return begin, end + 1, m[1], page[m.start(2) : cut], page[cut:end]
+                        return begin, end + 1, "/" * slash, page[first:cut], page[cut:end]
+                self.open_names.add(stop)
             begin = page.find("<", begin + 1)
         return None
 
