@@ -1,12 +1,14 @@
 """Byte-pair training over a corpus of any size.
 
-The corpus is one stream of tokens (bytes at first) in the order of its lines, and merges may cross lines. It lies in blocks of some megabytes,
+The corpus is one stream of tokens (bytes at first) in the order of its lines, and merges may cross lines. It lies in blocks of a megabyte,
 which are rows of a table. A round counts the pairs of every block and between neighbouring blocks, takes the most frequent ones, and merges
-them in all blocks at once. The driver holds the merges and a bounded number of counts, never text.
+them in all blocks at once. A task adds its blocks' counts up in a table of all pairs, so that it hands on one row per pair. The driver holds
+the merges and a bounded number of counts, never text.
 
-A round takes several pairs where that is what one at a time would give. Merging a pair changes counts of pairs that share a token with it, and
-makes new ones that are no more frequent than those. So in the order of counts all pairs up to the first that shares a token with an
-earlier one may be taken, if they are more frequent than that one (at an equal count a new pair might stand first).
+A round takes several pairs where that is what one at a time would give. Merging a pair (a, b) changes counts of pairs that meet it, (x, a) and (b, x),
+and makes new ones that are no more frequent than those; (a, x) and (x, b) stay, as an a before another token is not merged. So in the order of
+counts all pairs up to the first that meets an earlier one may be taken, if they are more frequent than that one (at an equal count a new pair
+might stand first).
 
 Where a block ends in the first token of a merged pair and the next block begins with its second one, the merged token goes to the first block. Of a run of
 one token (a pair of equal tokens) every second place counts, so a run that crosses blocks is counted through from its start.
@@ -25,7 +27,11 @@ from chunkwright.operators import scan
 
 Pair = tuple[int, int]
 #: Bytes of the corpus in a block; pairs that the driver sees a round; rounds before the blocks are written anew.
-BLOCK, SEEN, KEPT = 4 << 20, 256, 8
+BLOCK, SEEN, KEPT = 1 << 20, 256, 4
+#: Pairs of tokens up to which a table holds the counts of all of them; with more tokens a block's pairs are sorted.
+DENSE = 1 << 22
+#: Tokens of a block among which most of its pairs stand first.
+FEW = 1 << 16
 
 
 def merge_pair(ids: np.ndarray, left: int, right: int, new: int) -> np.ndarray:
@@ -47,6 +53,18 @@ def pairs_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.unique(ids[:-1].astype(np.int64) << 32 | ids[1:], return_index=True, return_counts=True)
 
 
+def table_of(ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each pair left * width + right of neighbours occurs, and where it stands first (if anywhere); tokens are below `width`."""
+    codes = ids[:-1].astype(np.int64)
+    codes *= width
+    codes += ids[1:]
+    first, new = np.full(width * width, -1), np.arange(min(len(codes), FEW))
+    first[codes[new[::-1]]] = new[::-1]  # from the end, as the last value of a place stays
+    new = len(new) + np.flatnonzero(first[codes[len(new) :]] < 0)  # few pairs don't stand in the beginning
+    first[codes[new[::-1]]] = new[::-1]
+    return np.bincount(codes, minlength=width * width), first
+
+
 def best_pair(ids: np.ndarray) -> Pair | None:
     """The most frequent pair of neighbours; of equal ones that which stands first."""
     if len(ids) < 2:
@@ -59,24 +77,25 @@ def best_pair(ids: np.ndarray) -> Pair | None:
 def batch_of(counts: list[tuple[int, int, int]], whole: bool) -> list[Pair]:
     """Pairs to merge in one round, from (left, right, n) in order of count and place; `whole`: there are no others.
 
-    The first always; then those that share no token with an earlier one, down to the first that does, with counts above that one's. A pair of equal
-    tokens goes alone, as its merged token may follow itself.
+    The first always; then those that meet no earlier one (one's left token is the other's right one), down to the first that does, with counts above
+    that one's. A pair of equal tokens goes alone, as its merged token may follow itself.
     """
     if not counts:
         return []
-    taken, tokens = [counts[0]], set(counts[0][:2])
+    taken, lefts, rights = [counts[0]], {counts[0][0]}, {counts[0][1]}
     floor = 0 if whole else counts[-1][2]
     for left, right, n in counts[1:]:
-        if counts[0][0] == counts[0][1] or left == right or left in tokens or right in tokens:
+        if counts[0][0] == counts[0][1] or left == right or left in rights or right in lefts:
             floor = n
             break
         taken.append((left, right, n))
-        tokens |= {left, right}
+        lefts.add(left)
+        rights.add(right)
     return [(left, right) for k, (left, right, n) in enumerate(taken) if k == 0 or n > floor]
 
 
-def stream_blocks(corpus: DataFrame, order: str, text: str, newline: bool, size: int) -> DataFrame:
-    """(block, ids): the lines in order (equal ones by their text) as blocks of bytes; ids are 32-bit. Null lines are left out."""
+def stream_blocks(corpus: DataFrame, order: str, text: str, newline: bool, size: int, kind: str = "int32") -> DataFrame:
+    """(block, ids): the lines in order (equal ones by their text) as blocks of bytes; `kind` is the type of an id. Null lines are left out."""
     line = F.concat(F.col(text).cast("string"), F.lit("\n" if newline else ""))
     lines = corpus.where(F.col(text).isNotNull()).select(F.col(order).alias("_order"), line.cast("binary").alias("_line"))
     total = lines.agg(F.sum(F.length("_line"))).first()[0] or 0
@@ -88,7 +107,7 @@ def stream_blocks(corpus: DataFrame, order: str, text: str, newline: bool, size:
         def row(piece: bytes) -> pa.RecordBatch:
             nonlocal number
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number - 1]), pa.array([np.frombuffer(piece, np.uint8).astype(np.int32).tobytes()], pa.binary())], ["block", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number - 1]), pa.array([np.frombuffer(piece, np.uint8).astype(kind).tobytes()], pa.binary())], ["block", "ids"])
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -120,8 +139,15 @@ def applied(ids: np.ndarray, block: int, rounds: list[Round]) -> np.ndarray:
                 ids[-1] = last
             continue
         ids = ids[1:] if first else ids
+        # pairs of a round don't meet, so that none of their occurrences overlap
+        met = np.zeros(max(0, len(ids) - 1), bool)
+        for (left, right), _ in merges:
+            met |= (ids[:-1] == left) & (ids[1:] == right)
+        at, out = np.flatnonzero(met), ids.copy()
+        lefts, rights = ids[at], ids[at + 1]
         for (left, right), new in merges:
-            ids = merge_pair(ids, left, right, new)
+            out[at[(lefts == left) & (rights == right)]] = new
+        ids = np.delete(out, at + 1)
         if last and len(ids):
             ids[-1] = last
     return ids
@@ -129,43 +155,60 @@ def applied(ids: np.ndarray, block: int, rounds: list[Round]) -> np.ndarray:
 
 def _run(ids: np.ndarray) -> int:
     """Length of the run of equal tokens at the start."""
-    other = np.flatnonzero(ids != ids[0])
-    return int(other[0]) if len(other) else len(ids)
+    for part in (ids[:64], ids):
+        other = np.flatnonzero(part != ids[0])
+        if len(other):
+            return int(other[0])
+    return len(ids)
 
 
 LOOK = "block bigint, first int, head bigint, last int, tail bigint, size bigint, left int, right int, n bigint, at bigint"
 
 
-def _look(rounds: list[Round]):  # noqa: ANN202
-    """For each block one row of its ends (n null) and one row for each pair (first null)."""
+def _look(rounds: list[Round], kind: str, width: int):  # noqa: ANN202
+    """One row for each block, of its ends (n null), and rows for pairs (first null): one a task for each, or one a block where there are too many pairs for a table."""
+    dense = width * width <= DENSE
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in LOOK.split(", ")]
         kinds = [pa.int32() if "bigint" not in c else pa.int64() for c in LOOK.split(", ")]
+        total, place, start = (np.zeros(width * width if dense else 0, np.int64) for _ in range(3))
+
+        def pairs(left: np.ndarray, right: np.ndarray, n: np.ndarray, block: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+            m = len(left)
+            return pa.RecordBatch.from_arrays([pa.array(block), *[pa.nulls(m, t) for t in kinds[1:6]], pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(at.astype(np.int64))], names)
+
         for batch in batches:
             for k in range(batch.num_rows):
                 block = batch.column(0)[k].as_py()
-                ids = applied(np.frombuffer(batch.column(1)[k].as_buffer(), np.int32), block, rounds)
+                ids = applied(np.frombuffer(batch.column(1)[k].as_buffer(), kind), block, rounds)
                 if not len(ids):
                     continue
                 ends = [block, int(ids[0]), _run(ids), int(ids[-1]), _run(ids[::-1]), len(ids), None, None, None, None]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(ends, kinds, strict=True)], names)
-                keys, first, n = pairs_of(ids)
-                m = len(keys)
-                own = [pa.array(np.full(m, block)), *[pa.nulls(m, t) for t in kinds[1:6]], pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(first.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(own, names)
+                if not dense:
+                    keys, first, n = pairs_of(ids)
+                    yield pairs(keys >> 32, keys & 0xFFFFFFFF, n, np.full(len(keys), block), first)
+                    continue
+                n, first = table_of(ids, width)
+                sooner = np.flatnonzero((n > 0) & ((total == 0) | (block < place)))
+                place[sooner], start[sooner] = block, first[sooner]
+                total += n
+        some = np.flatnonzero(total)
+        if len(some):
+            yield pairs(some // width, some % width, total[some], place[some], start[some])
 
     return look
 
 
-def _rewritten(state: DataFrame, rounds: list[Round]) -> DataFrame:
+def _rewritten(state: DataFrame, rounds: list[Round], kind: str) -> DataFrame:
     """The blocks after some rounds, as a new table; empty ones go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 block = batch.column(0)[k].as_py()
-                ids = applied(np.frombuffer(batch.column(1)[k].as_buffer(), np.int32), block, rounds)
+                ids = applied(np.frombuffer(batch.column(1)[k].as_buffer(), kind), block, rounds)
                 if len(ids):
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids.tobytes()], pa.binary())], ["block", "ids"])
 
@@ -200,12 +243,13 @@ def _ends(edges: DataFrame, merges: list[tuple[Pair, int]]) -> Ends:
 
 def train(corpus: DataFrame, order: str, text: str, vocab_size: int, first_id: int, newline: bool = True, block: int = BLOCK) -> dict[Pair, int]:
     """Merges of a byte-pair vocabulary in order: the most frequent pair of the whole stream each time, of equal ones that which stands first."""
-    state = stream_blocks(corpus, order, text, newline, block)
+    kind = "uint16" if max(vocab_size, first_id) <= 1 << 16 else "int32"
+    state = stream_blocks(corpus, order, text, newline, block, kind)
     long = scan.long_groups(state, [])
     merges: dict[Pair, int] = {}
     pending: list[Round] = []
     while first_id + len(merges) < vocab_size:
-        looked = scan.kept(state.mapInArrow(_look(pending), LOOK))
+        looked = scan.kept(state.mapInArrow(_look(pending, kind, max(256, first_id + len(merges))), LOOK))
         edges = scan.shifted(looked.where("n is null").select("block", "first", "head", "last", "tail", "size"), [], ["block"], {"next": ("block", 1, None), "next_first": ("first", 1, None)}, long=long)
         between = edges.where("next is not null").select(F.col("last").alias("left"), F.col("next_first").alias("right"), F.lit(1).cast("bigint").alias("n"), "block", (F.col("size") - 1).alias("at"))
         counted = looked.where("n is not null").select("left", "right", "n", "block", "at").unionByName(between)
@@ -218,5 +262,5 @@ def train(corpus: DataFrame, order: str, text: str, vocab_size: int, first_id: i
         merges |= dict(numbered)
         pending = [*pending, (numbered, _ends(edges, numbered))]
         if len(pending) >= KEPT:
-            state, pending = _rewritten(state, pending), []
+            state, pending = _rewritten(state, pending, kind), []
     return merges

@@ -57,3 +57,28 @@ def test_queue_gives_the_ids_of_merging_in_order():
     for _ in range(200):
         t = "".join(rng.choice(["low", "er", "a", "aa", " ", "né", "est", "x"]) for _ in range(rng.randrange(0, 30)))
         assert text.encode_queue(t, merges) == text.encode_ids(t, merges) == text.encode_fast(t, merges)
+
+
+def test_a_round_takes_pairs_that_share_a_side():
+    """Pairs (a, b) and (a, c) don't meet; a round took one of them at a time."""
+    counts = [(1, 2, 9), (1, 3, 8), (4, 3, 7), (3, 5, 6), (6, 7, 5)]
+    assert bytepairs.batch_of(counts, True) == [(1, 2), (1, 3), (4, 3)]
+
+
+def test_tables_of_pairs_are_the_sorted_pairs():
+    rng = np.random.default_rng(2)
+    for size in (2, 3, 50, 200_000):
+        ids = rng.integers(0, 40, size).astype(np.uint16)
+        ids[-min(size, 9) :] = 41  # stands in the end alone
+        n, first = bytepairs.table_of(ids, 42)
+        keys, at, m = bytepairs.pairs_of(ids)
+        codes = (keys >> 32) * 42 + (keys & 0xFFFFFFFF)
+        assert (np.flatnonzero(n) == codes).all() and (n[codes] == m).all() and (first[codes] == at).all()
+
+
+def test_more_tokens_than_a_table_holds(spark, monkeypatch):
+    made = lines("words", random.Random(1))
+    df = spark.createDataFrame(list(enumerate(made)), "k int, line string")
+    want = text.train_bpe(df, "k", "line", text.FIRST_MERGE + 5, True, 9)
+    monkeypatch.setattr(bytepairs, "DENSE", 0)
+    assert text.train_bpe(df, "k", "line", text.FIRST_MERGE + 5, True, 9) == want
