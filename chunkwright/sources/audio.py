@@ -14,12 +14,12 @@ from chunkwright.sources.stores import kept, opened
 
 #: Bytes of samples that a task reads at once.
 RANGE = 8 << 20
-HEADS = "path string, rate int, channels int, width int, begin bigint, frames bigint, error string"
+HEADS = "path string, rate int, channels int, width int, floats boolean, begin bigint, frames bigint, error string"
 CHUNKS = "file string, start_time float, sample_rate int, samples array<float>, error string"
 
 
-def wav_head(source, length: int) -> tuple[int, int, int, int, int]:  # noqa: ANN001
-    """(rate, channels, bytes a sample, where samples begin, frames) from a file's RIFF chunks; what lies between them is passed over."""
+def wav_head(source, length: int) -> tuple[int, int, int, bool, int, int]:  # noqa: ANN001
+    """(rate, channels, bytes a sample, whether samples are 32-bit floats, where they begin, frames) from a file's RIFF chunks; what lies between them is passed over."""
     source.seek(0)
     kind, _, form = struct.unpack("<4sI4s", source.read(12))
     if kind != b"RIFF" or form != b"WAVE":
@@ -30,9 +30,9 @@ def wav_head(source, length: int) -> tuple[int, int, int, int, int]:  # noqa: AN
         name, size = struct.unpack("<4sI", source.read(8))
         if name == b"fmt ":
             tag, channels, rate, _, block, _ = struct.unpack("<HHIIHH", source.read(16))
-            if tag not in (1, 0xFFFE) or not channels or block % channels or block // channels not in (1, 2, 4) or not rate:
+            if tag not in (1, 3, 0xFFFE) or not channels or block % channels or block // channels not in ((4,) if tag == 3 else (1, 2, 4)) or not rate:
                 raise ValueError(f"samples of format {tag}, {block} bytes a frame")
-            shape = rate, channels, block // channels
+            shape = rate, channels, block // channels, tag == 3
         elif name == b"data":
             if shape is None:
                 raise ValueError("samples before their format")
@@ -42,13 +42,15 @@ def wav_head(source, length: int) -> tuple[int, int, int, int, int]:  # noqa: AN
     raise ValueError("no samples")
 
 
-def samples_of(raw: bytes, channels: int, width: int) -> np.ndarray:
-    """Mono samples in -1 .. 1 of PCM bytes; channels are averaged."""
-    if width == 1:
+def samples_of(raw: bytes, channels: int, width: int, floats: bool = False) -> np.ndarray:
+    """Mono samples in -1 .. 1 of PCM bytes or 32-bit floats; channels are averaged."""
+    if floats:
+        x = np.frombuffer(raw, "<f4")
+    elif width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
     else:
         x = np.frombuffer(raw, f"<i{width}").astype(np.float32) / float(1 << (8 * width - 1))
-    return x.reshape(-1, channels).mean(axis=1)
+    return x if channels == 1 else x.reshape(-1, channels).mean(axis=1)  # a mean loses the sign of zero
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,8 +62,8 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 with system.open_input_file(name) as source:
                     rows.append((path, *wav_head(source, length), None))
             except Exception as e:  # noqa: BLE001  any broken file becomes a row of its own
-                rows.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+                rows.append((path, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], [c.split()[0] for c in HEADS.split(", ")])
 
 
@@ -80,7 +82,7 @@ def _read(seconds: float):  # noqa: ANN202
                     system, path = opened(r["path"])
                     with system.open_input_file(path) as source:
                         source.seek(r["begin"] + first * frame)
-                        x = samples_of(source.read((stop - first) * frame), r["channels"], r["width"])
+                        x = samples_of(source.read((stop - first) * frame), r["channels"], r["width"], r["floats"])
                     x = np.pad(x, (0, -len(x) % size)).reshape(-1, size)
                     rows = [(name, (r["from"] + i) * size / r["rate"], r["rate"], row, None) for i, row in enumerate(x)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -108,8 +110,10 @@ def wav_chunks(spark: SparkSession, folder: str, seconds: float = 5.0, most: int
     return dealt.unionByName(broken).repartition(n, "path", "from").mapInArrow(_read(seconds), CHUNKS)
 
 
-def write_wavs(rows: DataFrame, folder: str, file: str, samples: str, rate: int) -> DataFrame:
-    """(file): each row's samples (-1 .. 1) as a mono file of 16 bits. A task that runs again writes the same bytes to the same name."""
+def write_wavs(rows: DataFrame, folder: str, file: str, samples: str, rate: int, floats: bool = False) -> DataFrame:
+    """(file): each row's samples (-1 .. 1), in steps of 16 bits, as a mono file of 16-bit integers, or of 32-bit floats, which keep a negative zero. NaN counts as the highest step. A task that runs again writes the same bytes to the same name."""
+
+    kind, width = (3, 4) if floats else (1, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = opened(folder)
@@ -117,9 +121,10 @@ def write_wavs(rows: DataFrame, folder: str, file: str, samples: str, rate: int)
         for batch in batches:
             for name, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 values = x.values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64) if x.is_valid else np.zeros(0)
-                raw = np.clip(np.rint(values * 32768), -32768, 32767).astype("<i2").tobytes()
+                steps = np.fmax(np.fmin(np.rint(values * 32768), 32767), -32768)
+                raw = ((steps / 32768).astype("<f4") if floats else steps.astype("<i2")).tobytes()
                 with system.open_output_stream(f"{base}/{name}") as out:
-                    out.write(struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(raw), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", len(raw)) + raw)
+                    out.write(struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(raw), b"WAVE", b"fmt ", 16, kind, 1, rate, width * rate, width, 8 * width, b"data", len(raw)) + raw)
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["file"])
 
     return rows.select(F.col(file).cast("string").alias("file"), F.transform(samples, lambda x: x.cast("float")).alias("samples")).mapInArrow(run, "file string")
