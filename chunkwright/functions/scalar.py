@@ -15,6 +15,11 @@ def clamp(x: Column | str, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), _col(x)))
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """x rounded half up by size; what rounds to zero from below stays a negative zero, as in SQL engines that round in floating point."""
+    return F.round(F.abs(_col(x)), digits) * F.signum(_col(x))
+
+
 def safe_ratio(a: Column | str, b: Column | str) -> Column:
     """a / b where b is positive, else 0."""
     return F.when(_col(b) > 0, _col(a) / _col(b)).otherwise(F.lit(0.0))
