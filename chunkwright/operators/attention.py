@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from chunkwright.functions.scalar import clamp, dot, l2_normalise, min_max
 from chunkwright.operators import scan
@@ -12,6 +17,8 @@ from chunkwright.operators.temporal import intro_ramp
 TAU, BAND = 45.0, 90.0
 #: Dimensions that are summed side by side; longer vectors take several such blocks.
 WIDE = 8
+#: Rows of a span of time that is one group of the grouped map.
+PER_CELL = 4096
 
 
 def _sums_in_reach(cells: DataFrame, tau: float, band: float, wide: int, most: int) -> DataFrame:
@@ -70,6 +77,57 @@ def band_attention(rows: DataFrame, group: str, t: str, features: str, tau: floa
     return met.select(*rows.columns, dot(filled, F.slice(F.concat("_near", F.array_repeat(F.lit(0.0), wide * blocks)), 1, F.size(filled))).alias("local"))
 
 
+def band_of(when: np.ndarray, x: np.ndarray, own: np.ndarray, tau: float, band: float, tile: int = 512) -> np.ndarray:
+    """Summed, decayed products of the `own` rows with the rows at most `band` away; times ascend. Tiles of `tile` by 8 * `tile` products are held at once."""
+    out = np.zeros(len(own))
+    for i in range(0, len(own), tile):
+        mine = own[i : i + tile]
+        low, high = np.searchsorted(when, when[mine[0]] - 1.001 * band), np.searchsorted(when, when[mine[-1]] + 1.001 * band, "right")
+        for j in range(low, high, 8 * tile):
+            near = slice(j, min(high, j + 8 * tile))
+            apart = np.abs(when[mine][:, None] - when[near][None, :])
+            out[i : i + tile] += np.where(apart <= band, (x[mine] @ x[near].T) * np.exp(-apart / tau), 0).sum(1)
+    return out
+
+
+def band_in_groups(rows: DataFrame, group: str, t: str, features: str, tau: float = TAU, band: float = BAND, most: int = scan.MOST, per: int = PER_CELL) -> DataFrame:
+    """The same as `band_attention` as a grouped map: a group of the map is a span of a group's time with about `per` rows and the rows within the band around it.
+
+    Spans are as wide as the band at least, so that a row goes to its own and at most two others. Where times are so dense that a span has over 16 * `per` rows
+    its sums are those of `band_attention`, so that no task holds more.
+    """
+    good = rows.where(F.col(group).isNotNull() & F.col(t).isNotNull() & F.col(features).isNotNull())
+    known = scan.with_totals(good, [group], {"_t0": F.min(t), "_t1": F.max(t), "_n": F.count(F.lit(1))}, most)
+    width, since = F.greatest(F.lit(band), (F.col("_t1") - F.col("_t0")) * per / F.col("_n")), F.col(t) - F.col("_t0")
+    cell = F.floor(since / width).cast("bigint")
+    reach = 1.001 * band
+    cells = F.array(cell, F.when(since - cell * width <= reach, cell - 1), F.when((cell + 1) * width - since <= reach, cell + 1))
+    dealt = known.select(*rows.columns, F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("_cell"), cell.alias("_home"))
+    dealt = scan.kept(dealt.withColumn("_own", F.col("_cell") == F.col("_home")).drop("_home"))
+    dense = scan.long_groups(dealt, [group, "_cell"], 16 * per)
+    thin = dealt if dense is None else scan.matched(dealt, dense, [group, "_cell"], "left_anti")
+
+    names = rows.columns
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(t)
+        when = table[t].to_numpy().astype(float)
+        lists = table[features].combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        x = np.zeros((len(when), size.max()))
+        x[np.arange(x.shape[1]) < size[:, None]] = np.nan_to_num(lists.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(float), nan=0.0, posinf=np.inf, neginf=-np.inf)
+        x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-10
+        own = np.flatnonzero(table["_own"].to_numpy())
+        return table.take(pa.array(own)).select(names).append_column("local", pa.array(band_of(when, x, own, tau, band)))
+
+    schema = StructType([*rows.schema.fields, StructField("local", DoubleType())])
+    out = thin.groupBy(group, "_cell").applyInArrow(run, schema)
+    if dense is None:
+        return out
+    crowded = scan.matched(dealt, dense, [group, "_cell"], "left_semi").withColumn("_both", F.struct(group, "_cell"))
+    return out.unionByName(band_attention(crowded, "_both", t, features, tau, band, most).where("_own").select(*rows.columns, "local"))
+
+
 def anchors(rows: DataFrame, group: str, t: str, score: str, features: str, most: int = scan.MOST, long: scan.Long = scan.Ask) -> DataFrame:
     """Three anchor rows per group: the best of the first 15 % (or the row after them if all are weak), the middle, the last.
 
@@ -88,12 +146,12 @@ def anchors(rows: DataFrame, group: str, t: str, score: str, features: str, most
     return placed.withColumn("hits", hits).where("hits > 0").select(group, t, F.col(features).alias("anchor"), "hits")
 
 
-def hybrid_attention(rows: DataFrame, group: str, t: str, score: str, features: str, most: int = scan.MOST) -> DataFrame:
-    """(group, t, hybrid_score); groups of fewer than five rows keep their score. Rows without features are left out."""
+def hybrid_attention(rows: DataFrame, group: str, t: str, score: str, features: str, most: int = scan.MOST, banded: Callable[..., DataFrame] = band_attention) -> DataFrame:
+    """(group, t, hybrid_score); `banded` gives the part along the band; groups of fewer than five rows keep their score. Rows without features are left out."""
     rows = rows.where(F.col(features).isNotNull() & F.col(group).isNotNull() & F.col(t).isNotNull())
     long = scan.long_groups(rows, [group], most)
     found = anchors(rows, group, t, score, features, most, long).groupBy(group).agg(F.collect_list(F.struct("anchor", "hits")).alias("_anchors"))  # three at most
-    local = scan.kept(band_attention(rows.select(group, t, score, features), group, t, features, most=most)).join(scan.kept(found), group)
+    local = scan.kept(banded(rows.select(group, t, score, features), group, t, features, most=most)).join(scan.kept(found), group)
     local = local.withColumn("_unit", l2_normalise(features))
     overall = F.aggregate("_anchors", F.lit(0.0), lambda s, a: s + a["hits"] * dot(F.col("_unit"), l2_normalise(a["anchor"])))
     raw = local.select(group, t, score, (F.col("local") + overall / 3).alias("_raw"))
@@ -106,9 +164,7 @@ def hybrid_attention(rows: DataFrame, group: str, t: str, score: str, features:
 
 
 def attention_kernel(pdf, t: str = "t", score: str = "score", features: str = "features"):  # noqa: ANN001, ANN201
-    """The same for one group in numpy; a grouped-map form, and what tests hold the plan against."""
-    import numpy as np
-
+    """The same for one group in numpy, in squares of its rows: what tests hold the plan against."""
     pdf = pdf[pdf[features].notna()].sort_values(t)
     if len(pdf) < 5:
         return pdf.assign(hybrid_score=pdf[score].astype(float))
