@@ -261,6 +261,6 @@ def train(corpus: DataFrame, order: str, text: str, vocab_size: int, first_id: i
         numbered = [(pair, first_id + len(merges) + k) for k, pair in enumerate(chosen)]
         merges |= dict(numbered)
         pending = [*pending, (numbered, _ends(edges, numbered))]
-        if len(pending) >= KEPT:
+        if len(pending) >= KEPT and first_id + len(merges) < vocab_size:
             state, pending = _rewritten(state, pending, kind), []
     return merges
