@@ -313,6 +313,35 @@ def test_repeated_rows_keep_their_first(spark, docs_of, monkeypatch, most):
     assert left.where("doc_id = 6").count() == 0 and left.where("doc_id = 7 or text is null").count() == 2 and left.count() == len(rows) - 1
 
 
+def test_regions_made_to_collide(spark, docs_of):
+    """Texts of 400 bytes that differ and had one 64-bit region hash lose nothing; their copies fall by their bytes."""
+    fill = "".join(np.random.default_rng(0).choice(list("abcdefgh "), 400))
+    one, two = (fill[:192] + x + fill[208:] for x in ("vgcxtefxunpttbai", "sjiwkwghtowjqtqd"))
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.removals(docs_of([(1, one), (2, two)])).collect()}
+    assert got == {1: 0, 2: 0}
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.removals(docs_of([(1, one), (2, two), (3, "x" + one), (4, one)])).collect()}
+    assert got == {1: 400, 2: 0, 3: 400, 4: 400}
+
+
+def test_documents_made_to_collide(spark, docs_of):
+    """Of two texts without a doc_id that have one xxhash64 only the repeated one loses bytes."""
+    begin, wide = "".join(np.random.default_rng(1).choice(list("abcdefgh "), 192)), "k" * 24
+    one, two = (begin + a + wide + b + wide + "q" * 200 for a, b in (("gojpqbav", "ggzmvmqd"), ("iarbfiay", "Oi~HX(Rn")))
+    assert len({r[0] for r in spark.createDataFrame([(one,), (two,)], "text string").select(F.xxhash64("text")).collect()}) == 1
+    got = suffix_dedup.removals(docs_of([(None, one), (None, two), (5, "zz" + one)])).collect()
+    assert sorted((r["kept_sha256"], r["n_removed"]) for r in got) == sorted((hashlib.sha256(t.encode()).hexdigest(), n) for t, n in (("", len(one)), (two, 0), ("zz", len(one))))
+
+
+def test_unlike_regions_of_one_digest():
+    """What hashes tie together and bytes do not is refused."""
+    own = {"blk": 1, "gid": 1, "reg": b"r", "key": 0, "place": 0, "lo": 0, "hi": 0, "m": 2}
+    block = [{**own, "did": 1, "last": 0, "body": b"abcd"}, {**own, "did": 2, "last": 1, "body": b"abcd"}]
+    assert list(suffix_dedup._solve(block, 4, False)) == [(1, b"r", True, 1, 0, 0, 0, 4)]
+    block[1]["body"] = b"abce"
+    with pytest.raises(RuntimeError):
+        list(suffix_dedup._solve(block, 4, False))
+
+
 def test_text_that_is_left(spark, docs_of):
     rows = [(1, "é" * 30 + "abc" * 20), (2, "x" + "é" * 30), (3, None)]
     for r in suffix_dedup.removals(docs_of(rows), 21).collect():
