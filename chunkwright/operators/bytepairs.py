@@ -23,6 +23,7 @@ one token (a pair of equal tokens) every second place counts, so a run that cros
 
 from __future__ import annotations
 
+import ctypes
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,7 +42,7 @@ DENSE = 1 << 22
 #: Tokens of a block among which most of its pairs stand first.
 FEW = 1 << 16
 #: Blocks up to which a corpus is gone through as it is; bytes of text cut at once; short pieces, and bytes of long ones, that a task counts before it hands them on.
-SMALL, STEP, HELD = 8, 4 << 20, 1 << 22
+SMALL, STEP, HELD = 8, 1 << 20, 1 << 20
 #: Lines among which the first of equally frequent pairs is looked for, few at first.
 EARLY = (64, 4096)
 
@@ -253,6 +254,15 @@ def _ends(edges: DataFrame, merges: list[tuple[Pair, int]]) -> Ends:
     return out
 
 
+def trim() -> None:
+    """Return free memory of Arrow and of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def _slices(batches: Iterator[pa.RecordBatch], newline: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bytes of some lines one after another, and where each ends: about STEP bytes, or one longer line."""
     for batch in batches:
@@ -352,7 +362,7 @@ def dictionary(lines: DataFrame, newline: bool, held: np.ndarray, gap: int, kind
             whole, before = data.tobytes(), len(long)
             long.update(whole[a:b] for a, b in zip(starts[~short].tolist(), stops[~short].tolist(), strict=True))
             size += int(sizes[~short].mean() * (len(long) - before)) if len(long) > before else 0
-            if size >= 8 * HELD or len(long) >= HELD // 8:
+            if size >= 8 * HELD or len(long) >= HELD // 16:
                 yield rows(list(long.keys()), np.fromiter(long.values(), np.int64, len(long)))
                 long, size = Counter(), 0
         if fresh:
@@ -360,6 +370,8 @@ def dictionary(lines: DataFrame, newline: bool, held: np.ndarray, gap: int, kind
         yield from numbered(keys, n)
         if long:
             yield rows(list(long.keys()), np.fromiter(long.values(), np.int64, len(long)))
+        del new, keys, n, long
+        trim()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
